@@ -71,6 +71,16 @@ def score_words(w: np.ndarray, before: np.ndarray, pair: np.ndarray, count) -> n
     return np.log(np.where((n_pair > 0) & (n_before > 0), n_pair / np.maximum(n_before, 1), alone))
 
 
+def _pack(a: np.ndarray) -> bytes:
+    """Numbers byte by byte, all first bytes first: what Spark's block compression shortens best."""
+    return a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes()
+
+
+def _unpack(packed: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(packed, np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def _parts(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
     """part, doc_id, text: rows in a part lie together in one input partition."""
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
@@ -93,7 +103,7 @@ def _entries(parts: DataFrame, buckets: int, counted: bool, asks: bool) -> DataF
         cells = list(zip(bounds[:-1], bounds[1:]))
         return pa.table({
             "part": pa.array([part["part"][0].as_py()] * len(which), pa.int64()), "bucket": pa.array(which.astype(np.int32)),
-            "grams": pa.array([keys[a:b].tobytes() for a, b in cells], pa.binary()), "counts": pa.array([count[a:b].tobytes() for a, b in cells], pa.binary()),
+            "grams": pa.array([_pack(keys[a:b]) for a, b in cells], pa.binary()), "counts": pa.array([_pack(count[a:b]) for a, b in cells], pa.binary()),
             "asks": pa.array([asks] * len(which)),
         })
 
@@ -101,21 +111,20 @@ def _entries(parts: DataFrame, buckets: int, counted: bool, asks: bool) -> DataF
 
 
 def _answers(entries: DataFrame) -> DataFrame:
-    """Each asking entry with the corpus counts of its n-grams: the count table of a bucket, joined to what asks."""
+    """For each asking entry the corpus counts of its n-grams, in their order: the bucket's count table, joined to what asks."""
 
     def of(rows: pa.Table) -> pa.Table:
-        grams = [np.frombuffer(x, np.uint64) for x in rows["grams"].to_pylist()]
+        grams = [_unpack(x, "<u8") for x in rows["grams"].to_pylist()]
         keys, place = np.unique(np.concatenate(grams), return_inverse=True)
-        sent = np.frombuffer(b"".join(rows["counts"].to_pylist()), "<u4")
+        sent = np.concatenate([_unpack(x, "<u4") for x in rows["counts"].to_pylist()])
         totals = np.bincount(place, sent, minlength=len(keys)).astype("<i8")[place]
         ends = np.cumsum([len(g) for g in grams])
         asks = [i for i, a in enumerate(rows["asks"].to_pylist()) if a]
-        return pa.table({
-            "part": rows["part"].take(pa.array(asks, pa.int64())), "grams": rows["grams"].take(pa.array(asks, pa.int64())),
-            "totals": pa.array([totals[ends[i] - len(grams[i]) : ends[i]].tobytes() for i in asks], pa.binary()),
-        })
+        at = pa.array(asks, pa.int64())
+        packed = [_pack(totals[ends[i] - len(grams[i]) : ends[i]]) for i in asks]
+        return pa.table({"part": rows["part"].take(at), "bucket": rows["bucket"].take(at), "totals": pa.array(packed, pa.binary())})
 
-    return entries.groupBy("bucket").applyInArrow(of, "part long, grams binary, totals binary")
+    return entries.groupBy("bucket").applyInArrow(of, "part long, bucket int, totals binary")
 
 
 def score(docs: DataFrame, corpus: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, part: int = PART) -> DataFrame:
@@ -132,10 +141,8 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, id_col: str = "doc_i
         entries = entries.unionByName(_entries(_parts(corpus, id_col, text_col, part), buckets, counted=True, asks=False))
 
     def of(mine: pa.Table, answers: pa.Table) -> pa.Table:
-        keys = np.frombuffer(b"".join(answers["grams"].to_pylist()), np.uint64)
-        totals = np.frombuffer(b"".join(answers["totals"].to_pylist()), "<i8")
-        order = np.argsort(keys)
-        keys, totals = keys[order], totals[order]
+        keys, _ = _counts(mine["text"].to_pylist())  # as they were sent; buckets are slices of them in order
+        totals = np.concatenate([_unpack(x, "<i8") for x in answers.sort_by("bucket")["totals"].to_pylist()])
         count = lambda grams: totals[np.searchsorted(keys, grams)]
         n, sums = [], []
         for text in mine["text"].to_pylist():
