@@ -10,10 +10,13 @@ length and its rank among the pieces of that length.
 from __future__ import annotations
 
 import os
+import string
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -26,38 +29,75 @@ VOCABULARY = f"{TOKENIZERS}/word_bpe_49k.json"
 CAPACITY = 4096
 END = 1
 #: Words whose ids a worker remembers.
-_REMEMBER = 300_000
+_REMEMBER = 600_000
+_MARKS = string.punctuation.encode()
 
 
 class WordTokenizer:
     """Encodes word by word and remembers the words' ids.
 
-    The vocabulary's own rule drops white space and never joins what it separates, so a text's ids are those
-    of its words in turn.
+    The vocabulary's own rule lowers case, drops white space and never joins what it separates, so a text's ids
+    are those of its words in turn. It takes a run of letters for one word, the marks after it for another, and leaves lower-case
+    letters in composed form as they are, so such words go to the merges directly.
     """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.merges = self.tokenizer.model.tokenize
         self.known: dict[bytes, bytes] = {}
+        byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.characters = {i: byte_level.pre_tokenize_str(chr(i))[0][0] for i in range(1, 128)}
+        for i in range(128, 256):  # what the rule writes for each byte, read off characters that hold it
+            text = bytes([0xC2 + (i >= 0xC0), 0x80 | i & 0x3F]).decode()
+            first, last = byte_level.pre_tokenize_str(text)[0][0]
+            self.characters |= {text.encode()[0]: first, text.encode()[1]: last}
+        for i in range(0xC2, 0xF5):
+            text = bytes([i, 0xA0 if i in (0xE0, 0xF0) else 0x80, *[0x80] * ((i >= 0xE0) + (i >= 0xF0))]).decode("utf-8", "ignore")
+            if text:
+                self.characters[i] = byte_level.pre_tokenize_str(text)[0][0][0]
+
+    def _plain(self, word: bytes) -> str | None:
+        """A word of lower-case letters in composed form, as the merges take it; None for any other word."""
+        text = word.decode()
+        if not text.isalpha():
+            return None
+        if text.isascii():
+            return text if text.islower() else None
+        return word.decode("latin-1").translate(self.characters) if text == text.lower() and is_normalized("NFC", text) else None
+
+    def _learn(self, word: bytes) -> bytes:
+        known, core = self.known, word.rstrip(_MARKS)
+        if (plain := self._plain(core)) is None:
+            packed = self._whole(word)
+        else:
+            packed = known.get(core) or array("I", [t.id for t in self.merges(plain)]).tobytes()
+            if marks := word[len(core) :]:
+                if marks not in known:
+                    known[marks] = self._whole(marks)
+                packed += known[marks]
+        known[word] = packed
+        return packed
+
+    def _whole(self, word: bytes) -> bytes:
+        return array("I", self.tokenizer.encode(word.decode(), add_special_tokens=False).ids).tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """A text's ids as little-endian unsigned 32-bit numbers."""
-        words = (text or "").encode("utf-8", "replace").split()
+        raw = (text or "").encode("utf-8", "replace")
+        words = (raw if b"<|" in raw else raw.lower()).split()  # special tokens are in lower case alone
         known = self.known
         try:
             return b"".join([known[w] for w in words])
         except KeyError:
             pass
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if len(known) + len(new) > _REMEMBER:
+        if len(known) > _REMEMBER:
             known.clear()
-            new = list(dict.fromkeys(words))
-        for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False)):
-            known[w] = np.array(e.ids, "<u4").tobytes()
-        return b"".join([known[w] for w in words])
+        learn = self._learn
+        return b"".join([known[w] if w in known else learn(w) for w in words])
 
 
 @lru_cache(maxsize=4)
