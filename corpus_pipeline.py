@@ -12,16 +12,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialoom.llm import language_id, packing, pii, quality_classifier, simhash
-from dialoom.llm.common import cut, remainder, table
+from dialoom.llm.common import bound_batches, cut, remainder, table
 
 #: The least posterior of a document's language.
 LEAST_LANGUAGE = 0.5
 #: The least quality score; clean documents score far above it.
 LEAST_QUALITY = 0.5
+#: Words that a worker's tokenizer remembers: fewer than by default, as workers keep what earlier stages remember.
+REMEMBER = 150_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents in a language that the model knows, and gives lang where it was null."""
+    bound_batches(spark)
     model = language_id.fit(docs.where(remainder(F.col("doc_id"), 4) != 2))
     found = docs.withColumn("__found", language_id.predict(spark, model, F.col("text")))
     known = found.where((F.col("__found.lang_pred") != language_id.UNKNOWN) & (F.col("__found.score") >= LEAST_LANGUAGE))
@@ -53,7 +56,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The place of each document's pieces in the training sequences."""
-    return packing.pack(packing.tokenise(docs))
+    return packing.pack(packing.tokenise(docs, remember=REMEMBER))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

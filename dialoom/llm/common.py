@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,7 +18,20 @@ TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
 WORD_SPACE = " \t\n\x0b\x0c\r"
 
 
+#: Rows in a batch that goes to a Python worker.
+BATCH = 1000
+_BATCH_KEY, _SPARKS_OWN = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Sends fewer rows to a Python worker at once than Spark does unasked, as texts can be long. A session's own value stays."""
+    if spark.conf.get(_BATCH_KEY) == _SPARKS_OWN:
+        spark.conf.set(_BATCH_KEY, BATCH)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder, to be read by the operators in bounded batches."""
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -38,6 +53,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def each(column: pa.Array) -> Iterator:
+    """The values of a column one at a time, so that a batch of texts isn't held a second time as strings."""
+    return (x.as_py() for x in column)
+
+
 def remainder(id_col: Column, modulus: int) -> Column:
     """crc32(id as text) mod modulus; null for a null id."""
     return F.crc32(id_col.cast("string").cast("binary")) % modulus

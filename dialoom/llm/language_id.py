@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, remainder, table
+from .common import bounded_sample, each, remainder, table
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -75,7 +75,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     def counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(BUCKETS + 1, np.int64))  # the last: documents
         for batch in batches:
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist()):
+            for text, lang in zip(each(batch.column("text")), each(batch.column("lang"))):
                 found[lang][BUCKETS] += 1
                 for buckets in ngram_buckets(text):
                     found[lang][:BUCKETS] += np.bincount(buckets, minlength=BUCKETS)
@@ -99,7 +99,7 @@ def predict(spark: SparkSession, model: Model, text: Column) -> Column:
 
     def of(texts: pa.Array) -> pa.Array:
         scorer = Model(*shared.value)
-        lang, score = zip(*map(scorer.predict_text, texts.to_pylist())) if len(texts) else ((), ())
+        lang, score = zip(*map(scorer.predict_text, each(texts))) if len(texts) else ((), ())
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
 
     return F.arrow_udf(of, "struct<lang_pred:string,score:double>").asNondeterministic()(text)

@@ -23,13 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import TOKENIZERS, cut, table
+from .common import TOKENIZERS, cut, each, table
 
 VOCABULARY = f"{TOKENIZERS}/word_bpe_49k.json"
 CAPACITY = 4096
 END = 1
-#: Words whose ids a worker remembers.
-_REMEMBER = 600_000
+#: Words whose ids a worker remembers, at about 200 bytes each.
+REMEMBER = 600_000
 _MARKS = string.punctuation.encode()
 
 
@@ -41,7 +41,7 @@ class WordTokenizer:
     letters in composed form as they are, so such words go to the merges directly.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, remember: int = REMEMBER) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
@@ -49,6 +49,7 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = self.tokenizer.model.tokenize
         self.known: dict[bytes, bytes] = {}
+        self.remember = remember
         byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.characters = {i: byte_level.pre_tokenize_str(chr(i))[0][0] for i in range(1, 128)}
         for i in range(128, 256):  # what the rule writes for each byte, read off characters that hold it
@@ -94,18 +95,18 @@ class WordTokenizer:
             return b"".join([known[w] for w in words])
         except KeyError:
             pass
-        if len(known) > _REMEMBER:
+        if len(known) > self.remember:
             known.clear()
         learn = self._learn
         return b"".join([known[w] if w in known else learn(w) for w in words])
 
 
 @lru_cache(maxsize=4)
-def tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+def tokenizer(path: str, remember: int = REMEMBER) -> WordTokenizer:
+    return WordTokenizer(path, remember)
 
 
-def pieces(text: Column, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, keep_ids: bool = False) -> Column:
+def pieces(text: Column, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, keep_ids: bool = False, remember: int = REMEMBER) -> Column:
     """array<struct<piece, start, length, ids_crc32, ids>> of a text column: its ids and id 1, cut at the capacity.
 
     ids is null unless keep_ids. Null and empty texts give one piece, which is id 1 alone.
@@ -114,8 +115,8 @@ def pieces(text: Column, vocabulary: str = VOCABULARY, capacity: int = CAPACITY,
     kind = pa.list_(pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.binary())]))
 
     def of(texts: pa.Array) -> pa.Array:
-        one, rows = tokenizer(vocabulary), []
-        for text in texts.to_pylist():
+        one, rows = tokenizer(vocabulary, remember), []
+        for text in each(texts):
             ids = one.encode(text) + END.to_bytes(4, "little")
             parts = [(at, ids[at : at + step]) for at in range(0, len(ids), step)]
             rows.append([{"piece": i, "start": at // 4, "length": len(x) // 4, "ids_crc32": zlib.crc32(x), "ids": x if keep_ids else None} for i, (at, x) in enumerate(parts)])
@@ -124,10 +125,13 @@ def pieces(text: Column, vocabulary: str = VOCABULARY, capacity: int = CAPACITY,
     return F.arrow_udf(of, "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint,ids:binary>>")(text)
 
 
-def tokenise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, vocabulary: str = VOCABULARY, capacity: int = CAPACITY) -> DataFrame:
-    """A row for each piece of each row of docs; other columns are ignored, whatever their names."""
+def tokenise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, remember: int = REMEMBER) -> DataFrame:
+    """A row for each piece of each row of docs; other columns are ignored, whatever their names.
+
+    remember: words whose ids a worker keeps, which trades its memory for time.
+    """
     cols = ["piece", "start", "length", "ids_crc32", *(["ids"] * keep_ids)]
-    df = docs.select(F.col(id_col).alias("doc_id"), pieces(F.col(text_col), vocabulary, capacity, keep_ids).alias("p"))
+    df = docs.select(F.col(id_col).alias("doc_id"), pieces(F.col(text_col), vocabulary, capacity, keep_ids, remember).alias("p"))
     return df.select("doc_id", F.explode("p").alias("p")).select("doc_id", *[f"p.{c}" for c in cols])
 
 

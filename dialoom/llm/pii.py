@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import each, table
 
 BASE = ("email", "ip", "card", "phone")
 #: Kinds beside the base ones, in the order of the spans column.
@@ -187,7 +187,7 @@ def spans(text: Column) -> Column:
     def of(texts: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
         rows = []
-        for text in texts.to_pylist():
+        for text in each(texts):
             found = find(text)
             rows.append([{"kind": k, "start": s, "end": e} for k in BASE + MORE for s, e in found.get(k, ())])
         return pa.array(rows, kind)
@@ -211,7 +211,7 @@ def redact_text(text: str | None) -> str | None:
 
 def redact(text: Column) -> Column:
     """A text column with its personal data replaced; null stays null."""
-    return F.arrow_udf(lambda texts: pa.array(map(redact_text, texts.to_pylist()), pa.string()), "string")(text)
+    return F.arrow_udf(lambda texts: pa.array(map(redact_text, each(texts)), pa.string()), "string")(text)
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

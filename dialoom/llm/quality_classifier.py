@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, remainder, table
+from .common import bounded_sample, each, remainder, table
 
 BITS = 18
 _CORE = re.compile(r"\w(?:.*\w)?", re.S)
@@ -24,7 +24,7 @@ _SAME, _UPPER, _FEW = 1, 2, 3
 #: Words that are looked up at once, so that a long text takes no more memory.
 _PIECE = 1 << 17
 #: Words that a worker remembers the features of.
-_REMEMBER = 400_000
+_REMEMBER = 100_000
 
 
 class _Words(dict):
@@ -115,7 +115,7 @@ def score(spark: SparkSession, weights: np.ndarray, text: Column) -> Column:
 
     def of(texts: pa.Array) -> pa.Array:
         w = shared.value
-        return pa.array([score_text(w, t) for t in texts.to_pylist()], pa.float64())
+        return pa.array([score_text(w, t) for t in each(texts)], pa.float64())
 
     return F.arrow_udf(of, "double").asNondeterministic()(text)
 

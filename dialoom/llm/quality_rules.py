@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD_SPACE, table
+from .common import WORD_SPACE, each, table
 
 MEASURES = pa.struct([(n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper_words", "n_distinct_words", "longest_word")])
 MEASURES_DDL = "struct<" + ",".join(f"{f.name}:bigint" for f in MEASURES) + ">"
@@ -59,7 +59,7 @@ def measures(text: Column) -> Column:
     """The struct of measurements of a text column."""
 
     def of(texts: pa.Array) -> pa.Array:
-        columns = list(zip(*map(measure_text, texts.to_pylist()))) or [[]] * len(MEASURES)
+        columns = list(zip(*map(measure_text, each(texts)))) or [[]] * len(MEASURES)
         return pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in columns], fields=list(MEASURES))
 
     return F.arrow_udf(of, MEASURES_DDL)(text)

@@ -21,7 +21,7 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TOKENIZERS, table
+from .common import TOKENIZERS, each, table
 
 MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
 SPACE = "▁"
@@ -179,7 +179,7 @@ def encode(text: Column, model: str = MODEL) -> Column:
     def of(texts: pa.Array) -> pa.Array:
         one = codec(model)
         ids, spans = [], []
-        for text in texts.to_pylist():
+        for text in each(texts):
             i, _, s = one.encode(text)
             ids.append(i)
             spans.append(s)
@@ -194,7 +194,7 @@ def decode(ids: Column, model: str = MODEL) -> Column:
 
     def of(lists: pa.Array) -> pa.Array:
         one = codec(model)
-        return pa.array([None if x is None else one.decode(x) for x in lists.to_pylist()], pa.string())
+        return pa.array([None if x is None else one.decode(x) for x in each(lists)], pa.string())
 
     return F.arrow_udf(of, "string")(ids)
 
@@ -204,7 +204,7 @@ def round_trip(text: Column, model: str = MODEL) -> Column:
 
     def of(texts: pa.Array) -> pa.Array:
         one, rows = codec(model), []
-        for text in texts.to_pylist():
+        for text in each(texts):
             ids, decimal, spans = one.encode(text)
             back = one.decode(ids).encode()
             rows.append((len(ids), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(back).hexdigest(), zlib.crc32(spans.tobytes())))

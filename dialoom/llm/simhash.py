@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, each, table
 from .components import components
 
 RADIUS = 2
@@ -46,7 +46,7 @@ def fingerprint(text: Column) -> Column:
     """The signed 64-bit fingerprint of a text column; zero for null and empty texts."""
 
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array(map(fingerprint_text, texts.to_pylist()), pa.int64())
+        return pa.array(map(fingerprint_text, each(texts)), pa.int64())
 
     return F.arrow_udf(of, "bigint")(text)
 
