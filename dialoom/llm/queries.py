@@ -1,4 +1,4 @@
-"""The operators' queries for the driver. None can be written in SQL that DuckDB runs; tests hold them to brute force."""
+"""The operators' queries for the driver. None has SQL yet; tests hold them to brute force."""
 
 from __future__ import annotations
 
