@@ -43,9 +43,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Null ids count as one document, which goes only if it's near one with an id.
     """
     found = simhash.near_duplicates(docs)
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__keep")).distinct()
-    kept = docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__keep")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    # one key without nulls for both steps, so that whole rows are shuffled once
+    key = {"__id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "__null": F.col("doc_id").isNull()}
+    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*[c.alias(n) for n, c in key.items()]).distinct()
+    kept = docs.withColumns(key).join(keep, list(key), "left_semi")
+    return kept.dropDuplicates(list(key)).select(docs.columns)
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
