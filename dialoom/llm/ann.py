@@ -3,7 +3,7 @@
 A vector is represented by its nearest pivots in order. Rows are indexed in blocks: in each block the pivots'
 inverted files hold (row, place of the pivot in the row's permutation). A query reads the files of its own
 pivots, which gives the footrule distance to every row that shares one; the nearest by footrule, ties included,
-are reranked by exact cosine. Queries go to the blocks in blocks of their own.
+are reranked by exact cosine. Queries are cut into blocks too, and a task gets one block of each.
 """
 
 from __future__ import annotations
@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Vectors in a block of the index, and queries in a block.
-BLOCK, QUERIES = 1 << 16, 1 << 11
+#: Vectors in a block of the index, and in a block of queries.
+BLOCK = 1 << 16
+#: Queries of a block that are taken at once.
+QUERIES = 1 << 11
 
 
 def _matrix(vectors: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -125,7 +127,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, n_pivots: int = 2
     depth: distinct rows of a block that are reranked, besides those that tie with the last. Vectors that are
     null, zero, of another length than the commonest, or hold null or non-finite components take no part.
     Ties go to the smaller vec_id. Rows with one vec_id are each a candidate; other columns are ignored.
-    A block of the index is held by one task; queries reach it in blocks of QUERIES.
+    A task holds one block of the index and one block of queries, so that neither grows with the tables.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("v")).where(F.col(id_col).isNotNull())
@@ -133,9 +135,11 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, n_pivots: int = 2
     pivots, dim = choose_pivots(rows, n_pivots, sample, "v")
     length = min(length, len(pivots))
     shared = spark.sparkContext.broadcast(pivots)
-    n_blocks = max(1, -(-rows.count() // block))
-    blocked = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n_blocks)).cast("int"))
-    sent = asked.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    n_rows, n_asked = (max(1, -(-df.count() // block)) for df in (rows, asked))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    blocked = rows.select("id", "v", dealt(n_rows).alias("b"), every(n_asked).alias("q"))
+    sent = asked.select("id", "v", every(n_rows).alias("b"), dealt(n_asked).alias("q"))
 
     def of(mine: pa.Table, theirs: pa.Table) -> pa.Table:
         out: list[tuple[np.ndarray, ...]] = []
@@ -153,7 +157,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, n_pivots: int = 2
         cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
         return pa.table(dict(zip(("query_id", "vec_id", "score"), cols)))
 
-    found = blocked.groupBy("b").cogroup(sent.groupBy("b")).applyInArrow(of, "query_id long, vec_id long, score double")
+    found = blocked.groupBy("b", "q").cogroup(sent.groupBy("b", "q")).applyInArrow(of, "query_id long, vec_id long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -158,6 +158,15 @@ def test_ann_on_odd_vectors(spark):
     got = ann.search(copies, copies.where("vec_id = 100"), block=70).orderBy("rank").collect()
     assert [r.vec_id for r in got] == [0, 1, 2, 3, 4]
     assert ann.search(df.limit(0), df.limit(0)).count() == 0
+    # several blocks of queries and of rows, all rows reranked: brute force
+    v = np.random.default_rng(3).normal(size=(230, 4))
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in ann.search(df, df, k=3, block=60).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    unit = v / np.sqrt((v * v).sum(axis=1, keepdims=True))
+    near = unit @ unit.T - 2 * np.eye(len(v))
+    assert dict(got) == {i: np.argsort(-near[i])[:3].tolist() for i in range(len(v))}
 
 
 @settings(max_examples=60, deadline=None)
@@ -209,6 +218,19 @@ def test_packing_of_odd_rows(odd, empty):
     assert packing.pack(packing.tokenise(empty)).count() == 0
 
 
+def test_packing_of_a_length_in_many_parts(spark, monkeypatch):
+    monkeypatch.setattr(packing, "RANKED", 10)
+    df = spark.range(3000).selectExpr("id as doc_id", "0 as piece", "0L as start", "if(id % 3 = 0, 700L, id % 90 + 1) as length")
+    rows = packing.pack(df).collect()
+    assert len({r.doc_id for r in rows}) == len(rows) == 3000
+    full = defaultdict(list)
+    for r in rows:
+        full[r.sequence_id].append((r.offset, r.length))
+    for parts in full.values():
+        assert [o for o, _ in sorted(parts)] == np.cumsum([0, *[n for _, n in sorted(parts)][:-1]]).tolist()
+        assert sum(n for _, n in parts) <= 4096
+
+
 def plain_scores(docs, corpus):
     words = lambda t: WORD.findall(lower(t))
     one, two, total = Counter(), Counter(), 0
