@@ -30,6 +30,8 @@ CAPACITY = 4096
 END = 1
 #: Words whose ids a worker remembers, at about 200 bytes each.
 REMEMBER = 600_000
+#: Rows of one length that a task ranks, about.
+RANKED = 1_000_000
 _MARKS = string.punctuation.encode()
 
 
@@ -238,8 +240,8 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, n_groups: int = 256,
     return np.array(sorted(runs), np.int64).reshape(-1, 5)
 
 
-def ranked(df: DataFrame, salts: int = 64) -> DataFrame:
-    """Adds rank, from 0, among the rows of the same length; df has a column salt from 0 to salts - 1.
+def ranked(df: DataFrame) -> DataFrame:
+    """Adds rank, from 0, among the rows of the same length; df has a column salt, which deals them into parts.
 
     A length that very many pieces have is ranked in parts by salt, each after the parts before it.
     """
@@ -267,13 +269,15 @@ def place(spark: SparkSession, runs: np.ndarray, length: Column, rank: Column) -
 def pack(piece_rows: DataFrame, capacity: int = CAPACITY, salts: int = 64) -> DataFrame:
     """Adds sequence_id and offset to rows with doc_id, piece, start and length (1 to capacity each).
 
-    Repeated rows each get a place of their own; an empty table stays empty.
+    Repeated rows each get a place of their own; an empty table stays empty. salts: parts of a length that are
+    ranked apart, more where there are many rows, so that a part has at most about RANKED rows of any length.
     """
     spark = piece_rows.sparkSession
-    salted = cut(piece_rows.withColumn("salt", (F.rand(11) * salts).cast("int")), "pieces")
-    counts = {r.length: r.n for r in salted.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    drawn = cut(piece_rows.withColumn("salt", (F.rand(11) * (1 << 30)).cast("int")), "pieces")
+    counts = {r.length: r.n for r in drawn.groupBy("length").agg(F.count("*").alias("n")).collect()}
     runs = plan(counts, capacity)
-    done = ranked(salted, salts).withColumn("at", place(spark, runs, F.col("length"), F.col("rank")))
+    salts = max(salts, -(-max(counts.values(), default=0) // RANKED))
+    done = ranked(drawn.withColumn("salt", F.col("salt") % salts)).withColumn("at", place(spark, runs, F.col("length"), F.col("rank")))
     return done.select(*piece_rows.columns, "at.sequence_id", "at.offset")
 
 
