@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by a permutation index.
 
 A vector is represented by its nearest pivots in order. Rows are indexed in blocks: in each block the pivots'
-inverted files hold (row, place of the pivot in the row's permutation). A query reads the files of its own
-pivots, which gives the footrule distance to every row that shares one; the nearest by footrule, ties included,
-are reranked by exact cosine. Queries are cut into blocks too, and a task gets one block of each.
+inverted files hold, for each row, the place of the pivot in the row's permutation. A query reads the files of
+its own pivots, which gives the footrule distance to every row that shares one; the nearest by footrule, ties
+included, are reranked by exact cosine. Permutations are long (half of the pivots), as with short ones the rows
+that are reranked hold too few of the nearest in a full block; so a file has a byte for each row of the block. Queries are cut into blocks too, and a task gets one block of each.
 """
 
 from __future__ import annotations
@@ -49,7 +50,7 @@ def permutations(m: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
 
 
 class Block:
-    """The inverted files of one block: rows by pivot, with the pivot's place. Copies of a vector are one row."""
+    """The inverted files of one block: for each pivot and row, length less the pivot's place (zero: none). Copies of a vector are one row."""
 
     def __init__(self, ids: np.ndarray, m: np.ndarray, pivots: np.ndarray, length: int, keep: int) -> None:
         order = np.lexsort((ids, *m.T[::-1]))
@@ -62,19 +63,20 @@ class Block:
         self.norms = np.sqrt((self.rows * self.rows).sum(axis=1))
         self.pivots, self.length = pivots, length
         perm = permutations(self.rows, pivots, length)
-        by = np.argsort(perm.ravel(), kind="stable")
-        self.bounds = np.searchsorted(perm.ravel()[by], np.arange(len(pivots) + 1))
-        self.post_row, self.post_place = (by // length).astype(np.int32), (by % length).astype(np.int32)
+        kind, self.sums = (np.uint8, np.uint16) if length < 256 else (np.uint16, np.uint32)
+        self.files = np.zeros((len(pivots), len(perm)), kind)
+        for place in range(length):
+            self.files[perm[:, place], np.arange(len(perm))] = length - place
 
     def nearest(self, query_id: int, q: np.ndarray, perm: np.ndarray, k: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """ids and cosines of the k nearest of those that footrule ranks first."""
         if not len(self.rows):
             return np.zeros(0, np.int64), np.zeros(0)
-        parts = [slice(self.bounds[p], self.bounds[p + 1]) for p in perm]
-        rows = np.concatenate([self.post_row[s] for s in parts])
-        # footrule = a constant of the length less what each shared pivot saves
-        saved = np.concatenate([2 * self.length - place - self.post_place[s] - np.abs(self.post_place[s] - place) for place, s in enumerate(parts)])
-        total = np.bincount(rows, saved, minlength=len(self.rows))
+        # footrule = a constant of the length less twice what each shared pivot saves: the length less the later place
+        total, saved = np.zeros(len(self.rows), self.sums), np.empty(len(self.rows), self.files.dtype)
+        for place, p in enumerate(perm):
+            np.minimum(self.files[p], saved.dtype.type(self.length - place), out=saved)
+            total += saved
         if len(total) > depth:
             least = np.partition(total, len(total) - depth)[len(total) - depth]
             near = np.flatnonzero(total >= least) if least > 0 else np.union1d(np.flatnonzero(total), np.arange(depth))
@@ -121,7 +123,7 @@ def choose_pivots(vectors: DataFrame, n_pivots: int, sample: int, vec_col: str)
     return m[picked], dim
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, n_pivots: int = 256, length: int = 16, depth: int = 1024, sample: int = 20_000, block: int = BLOCK, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, n_pivots: int = 256, length: int = 128, depth: int = 1024, sample: int = 20_000, block: int = BLOCK, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest of vectors, its own row left out.
 
     depth: distinct rows of a block that are reranked, besides those that tie with the last. Vectors that are

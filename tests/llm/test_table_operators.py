@@ -1,6 +1,7 @@
 """Operators on whole tables against brute force, exact round trips or bounds."""
 
 import hashlib
+import inspect
 import math
 import re
 import zlib
@@ -149,6 +150,26 @@ def test_ann_recall(spark):
         assert all(s == pytest.approx(exact[i], abs=1e-12) for i, s in found if i in exact)
 
 
+def test_ann_recall_in_a_full_block(spark):
+    # drawn from the given vectors' means and covariances; 1,024 of 65,536 rows are reranked
+    given_rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    rng, drawn = np.random.default_rng(0), []
+    for label in sorted({r.label for r in given_rows}):
+        m = np.array([r.embedding for r in given_rows if r.label == label])
+        drawn.append(rng.multivariate_normal(m.mean(axis=0), np.cov(m.T), math.ceil(ann.BLOCK * len(m) / len(given_rows))))
+    m = rng.permutation(np.concatenate(drawn))[: ann.BLOCK]
+    pivots = ann._unit(m[rng.choice(len(m), 256, replace=False)])
+    defaults = {k: p.default for k, p in inspect.signature(ann.search).parameters.items()}
+    length, depth = defaults["length"], defaults["depth"]
+    index = ann.Block(np.arange(len(m)), m, pivots, length, 6)
+    norm, asked, hits = np.sqrt((m * m).sum(axis=1)), range(0, len(m), 331), 0
+    for at, perm in zip(asked, ann.permutations(m[asked], pivots, length)):
+        score = m @ m[at] / norm
+        score[at] = -np.inf
+        hits += len(set(np.argpartition(-score, 5)[:5].tolist()) & set(index.nearest(at, m[at], perm, 5, depth)[0].tolist()))
+    assert depth * 50 < len(m) and hits / (5 * len(asked)) >= 0.9
+
+
 def test_ann_on_odd_vectors(spark):
     rows = [(0, [1.0, 0.0], "x"), (50, [0.0, 0.0], "x"), (1, None, "x"), (2, [1.0, None], "x"), (3, [float("nan"), 1.0], "x"), (4, [1.0], "x"), (5, [1.0, 0.0], "x"), (6, [2.0, 0.0], "x"), (7, [0.0, 1.0], "x"), (None, [1.0, 1.0], "x")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
