@@ -38,14 +38,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near-duplicates the document with the smallest doc_id; of repeated rows, one.
+    """Keeps one row of each group of near-duplicates: that with the smallest doc_id, null ids last, then by a hash of the text.
 
-    Null ids count as one document, which goes only if it's near one with an id.
+    Rows of one doc_id, or without one, are told apart by their texts, so that unlike texts each stay.
     """
-    found = simhash.near_duplicates(docs)
-    # one key without nulls for both steps, so that whole rows are shuffled once
+    # one key without nulls for both steps, so that whole rows are shuffled once; its order is that of survival
+    mark = {"__hash": F.xxhash64("text"), "__hash2": F.hash("text")}
+    first = F.struct(F.col("doc_id").isNull().alias("__null"), "doc_id", *mark)
+    found = simhash.near_groups(docs, **mark).groupBy("root").agg(F.min(first).alias("first")).select("first.*")
     key = {"__id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "__null": F.col("doc_id").isNull()}
-    keep = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(*[c.alias(n) for n, c in key.items()]).distinct()
+    keep = found.select(*[c.alias(n) for n, c in key.items()], *mark)
+    key |= mark
     kept = docs.withColumns(key).join(keep, list(key), "left_semi")
     return kept.dropDuplicates(list(key)).select(docs.columns)
 

@@ -167,6 +167,17 @@ def link_fingerprints(prints: DataFrame, shard: int = 4096, sample: int = 1 << 1
     return dealt.groupBy("shard").applyInArrow(search, "a long, b long")
 
 
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **more: Column) -> DataFrame:
+    """What near_duplicates gives, with root, which names a component even if it holds null ids alone, and columns of docs."""
+    marked = cut(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col)).alias("fp"), *[c.alias(n) for n, c in more.items()]), "fingerprints")
+    classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+    roots = components(link_fingerprints(classes.select("fp")))
+    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = rooted.select("fp", "root").join(smallest, "root")
+    return marked.join(named, "fp")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp (signed) and component_id, the smallest doc_id reachable by links of RADIUS or fewer bits.
 
@@ -174,13 +185,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept; a component of null ids alone has a null component_id. Repeated rows stay repeated, other columns are
     ignored, and an empty table gives an empty result.
     """
-    marked = cut(docs.select(F.col(id_col).alias("doc_id"), fingerprint(F.col(text_col)).alias("fp")), "fingerprints")
-    classes = cut(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(link_fingerprints(classes.select("fp")))
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = rooted.select("fp", "root").join(smallest, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    return near_groups(docs, id_col, text_col).select("doc_id", "fp", "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,6 +62,15 @@ def test_near_duplicate_stage_on_odd_rows(spark, odd):
     assert sorted([r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, repeated, "").collect()], key=str) == [10, None]
 
 
+def test_near_duplicate_stage_keeps_unlike_texts_of_one_id(spark):
+    a, b, c = "the first text of a few words", "quite another one on ships and the sea", "a third that has nothing to do with them"
+    # two null ids and a repeated one, each with unlike texts; near copies without an id; a copy under the larger id
+    rows = [(None, a), (None, b), (None, b), (7, c), (7, "no word of the others in here"), (9, "only once"), (None, c), (8, a + "\n")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = sorted(map(tuple, corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()), key=str)
+    assert got == sorted([(None, b), (7, c), (7, "no word of the others in here"), (9, "only once"), (8, a + "\n")], key=str)
+
+
 @pytest.mark.parametrize("stage", [f for name, f in corpus_pipeline.STAGES if name != "quality_classifier"])
 def test_stages_on_an_empty_table(spark, empty, stage):
     assert stage(spark, empty, "").count() == 0
