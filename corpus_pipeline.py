@@ -18,8 +18,8 @@ from dialoom.llm.common import bound_batches, cut, remainder, table
 LEAST_LANGUAGE = 0.5
 #: The least quality score; clean documents score far above it.
 LEAST_QUALITY = 0.5
-#: Words that a worker's tokenizer remembers: fewer than by default, as workers keep what earlier stages remember.
-REMEMBER = 150_000
+#: Bytes that a worker's tokenizer remembers: fewer than by default, as workers keep what earlier stages remember.
+REMEMBER = 40_000_000
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -28,8 +28,10 @@ from .common import TOKENIZERS, cut, each, table
 VOCABULARY = f"{TOKENIZERS}/word_bpe_49k.json"
 CAPACITY = 4096
 END = 1
-#: Words whose ids a worker remembers, at about 200 bytes each.
-REMEMBER = 600_000
+#: Bytes of words and ids that a worker remembers, twice: those of late and those of before.
+REMEMBER = 110_000_000
+#: What an entry takes beside its word and its ids.
+_ENTRY = 170
 #: Rows of one length that a task ranks, about.
 RANKED = 1_000_000
 _MARKS = string.punctuation.encode()
@@ -50,8 +52,10 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = self.tokenizer.model.tokenize
+        # plain dicts of bytes, which the garbage collector doesn't walk; what is full becomes the older one
         self.known: dict[bytes, bytes] = {}
-        self.remember = remember
+        self.older: dict[bytes, bytes] = {}
+        self.remember = self.room = remember
         byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.characters = {i: byte_level.pre_tokenize_str(chr(i))[0][0] for i in range(1, 128)}
         for i in range(128, 256):  # what the rule writes for each byte, read off characters that hold it
@@ -73,16 +77,23 @@ class WordTokenizer:
         return word.decode("latin-1").translate(self.characters) if text == text.lower() and is_normalized("NFC", text) else None
 
     def _learn(self, word: bytes) -> bytes:
-        known, core = self.known, word.rstrip(_MARKS)
-        if (plain := self._plain(core)) is None:
-            packed = self._whole(word)
-        else:
-            packed = known.get(core) or array("I", [t.id for t in self.merges(plain)]).tobytes()
-            if marks := word[len(core) :]:
-                if marks not in known:
-                    known[marks] = self._whole(marks)
-                packed += known[marks]
-        known[word] = packed
+        """A word's ids, which are remembered; a word and the marks after it are remembered apart too, as many words share them."""
+        packed = self.known.get(word) or self.older.get(word)
+        if packed is None:
+            core = word.rstrip(_MARKS)
+            plain = self._plain(core)
+            if plain is None:
+                packed = self._whole(word)
+            elif len(core) < len(word):
+                packed = self._learn(core) + self._learn(word[len(core) :])
+            else:
+                packed = array("I", [t.id for t in self.merges(plain)]).tobytes()
+        size = len(word) + len(packed) + _ENTRY
+        if 16 * size < self.remember:  # the longest words would drive out all others
+            if self.room < size:
+                self.older, self.known, self.room = self.known, {}, self.remember
+            self.room -= size
+            self.known[word] = packed
         return packed
 
     def _whole(self, word: bytes) -> bytes:
@@ -92,15 +103,11 @@ class WordTokenizer:
         """A text's ids as little-endian unsigned 32-bit numbers."""
         raw = (text or "").encode("utf-8", "replace")
         words = (raw if b"<|" in raw else raw.lower()).split()  # special tokens are in lower case alone
-        known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            pass
-        if len(known) > self.remember:
-            known.clear()
-        learn = self._learn
-        return b"".join([known[w] if w in known else learn(w) for w in words])
+        parts = list(map(self.known.get, words))
+        if None in parts:
+            learn = self._learn
+            parts = [learn(w) if x is None else x for w, x in zip(words, parts)]
+        return b"".join(parts)
 
 
 @lru_cache(maxsize=4)
@@ -130,7 +137,7 @@ def pieces(text: Column, vocabulary: str = VOCABULARY, capacity: int = CAPACITY,
 def tokenise(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, remember: int = REMEMBER) -> DataFrame:
     """A row for each piece of each row of docs; other columns are ignored, whatever their names.
 
-    remember: words whose ids a worker keeps, which trades its memory for time.
+    remember: bytes of words and ids that a worker keeps, twice, which trades its memory for time.
     """
     cols = ["piece", "start", "length", "ids_crc32", *(["ids"] * keep_ids)]
     df = docs.select(F.col(id_col).alias("doc_id"), pieces(F.col(text_col), vocabulary, capacity, keep_ids, remember).alias("p"))
@@ -171,7 +178,17 @@ def _best_configuration(sizes: list[int], counts: list[int], first: int, room: i
     return dict(used)
 
 
-def plan(counts: dict[int, int], capacity: int = CAPACITY, n_groups: int = 256, small: int = CAPACITY // 16) -> np.ndarray:
+#: Group counts and the lengths, as parts of the capacity, from which pieces count as large. With none of the lengths
+#: large the whole plan is best fit in falling order of length, so that no plan is worse than that.
+PLANS = ((256, 16), (1024, 16), (1024, 4), (1, 1))
+
+
+def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
+    """The plan of the fewest sequences that PLANS give, the first on a tie."""
+    return min((grouped_plan(counts, capacity, n, capacity // part) for n, part in PLANS), key=lambda runs: (runs[:, 3] + runs[:, 2]).max(initial=0))
+
+
+def grouped_plan(counts: dict[int, int], capacity: int, n_groups: int, small: int) -> np.ndarray:
     """Runs [length, first rank, number, first sequence, offset]: pieces of a length and of ranks in a row go to
     sequences in a row, all at one offset. The number of runs depends on the lengths there are, not on the pieces."""
     runs: list[tuple[int, int, int, int, int]] = []
