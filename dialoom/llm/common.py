@@ -11,8 +11,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Where the public vocabulary files lie; every operator takes a path instead.
-TOKENIZERS = os.environ.get("TOKENIZERS_DIR", "/opt/tokenizers")
+def public_vocabulary(name: str) -> str:
+    """Where a public vocabulary file lies: in TOKENIZERS_DIR, else where public_tokenizers has it, else in /opt/tokenizers."""
+    if folder := os.environ.get("TOKENIZERS_DIR"):
+        return f"{folder}/{name}"
+    try:
+        import public_tokenizers
+    except ImportError:
+        return f"/opt/tokenizers/{name}"
+    return str(public_tokenizers.path(name))
+
 
 #: The separators of the word pattern [^\x20\x09-\x0D]+; bytes.split() cuts at the same six.
 WORD_SPACE = " \t\n\x0b\x0c\r"
@@ -29,6 +37,37 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_KEY, BATCH)
 
 
+class Recent:
+    """What a worker remembers of keys it has seen, within a number of bytes, in two generations: what is full becomes the older one.
+
+    Plain dicts of plain values, which the garbage collector needn't walk. known.get serves the common case; what it
+    lacks may still be among the older ones. A key that takes more than a sixteenth of the room isn't kept.
+    """
+
+    #: What an entry takes beside its key and value.
+    ENTRY = 150
+
+    def __init__(self, limit: int) -> None:
+        self.known: dict = {}
+        self.older: dict = {}
+        self.limit = self.room = limit
+
+    def find(self, key):  # noqa: ANN001, ANN201
+        """The value of a key, or None; one of the older generation is taken into the newer."""
+        value = self.known.get(key)
+        if value is None and (value := self.older.get(key)) is not None:
+            self.keep(key, value)
+        return value
+
+    def keep(self, key, value) -> None:  # noqa: ANN001
+        size = len(key) + (len(value) if isinstance(value, bytes) else 16) + self.ENTRY
+        if 16 * size < self.limit:
+            if self.room < size:
+                self.older, self.known, self.room = self.known, {}, self.limit
+            self.room -= size
+            self.known[key] = value
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder, to be read by the operators in bounded batches."""
     bound_batches(spark)

@@ -23,15 +23,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import TOKENIZERS, cut, each, table
+from .common import Recent, cut, each, public_vocabulary, table
 
-VOCABULARY = f"{TOKENIZERS}/word_bpe_49k.json"
+VOCABULARY = public_vocabulary("word_bpe_49k.json")
 CAPACITY = 4096
 END = 1
 #: Bytes of words and ids that a worker remembers, twice: those of late and those of before.
 REMEMBER = 110_000_000
-#: What an entry takes beside its word and its ids.
-_ENTRY = 170
 #: Rows of one length that a task ranks, about.
 RANKED = 1_000_000
 _MARKS = string.punctuation.encode()
@@ -52,10 +50,7 @@ class WordTokenizer:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.merges = self.tokenizer.model.tokenize
-        # plain dicts of bytes, which the garbage collector doesn't walk; what is full becomes the older one
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-        self.remember = self.room = remember
+        self.memory = Recent(remember)
         byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.characters = {i: byte_level.pre_tokenize_str(chr(i))[0][0] for i in range(1, 128)}
         for i in range(128, 256):  # what the rule writes for each byte, read off characters that hold it
@@ -78,7 +73,7 @@ class WordTokenizer:
 
     def _learn(self, word: bytes) -> bytes:
         """A word's ids, which are remembered; a word and the marks after it are remembered apart too, as many words share them."""
-        packed = self.known.get(word) or self.older.get(word)
+        packed = self.memory.find(word)
         if packed is None:
             core = word.rstrip(_MARKS)
             plain = self._plain(core)
@@ -88,12 +83,7 @@ class WordTokenizer:
                 packed = self._learn(core) + self._learn(word[len(core) :])
             else:
                 packed = array("I", [t.id for t in self.merges(plain)]).tobytes()
-        size = len(word) + len(packed) + _ENTRY
-        if 16 * size < self.remember:  # the longest words would drive out all others
-            if self.room < size:
-                self.older, self.known, self.room = self.known, {}, self.remember
-            self.room -= size
-            self.known[word] = packed
+            self.memory.keep(word, packed)
         return packed
 
     def _whole(self, word: bytes) -> bytes:
@@ -103,7 +93,7 @@ class WordTokenizer:
         """A text's ids as little-endian unsigned 32-bit numbers."""
         raw = (text or "").encode("utf-8", "replace")
         words = (raw if b"<|" in raw else raw.lower()).split()  # special tokens are in lower case alone
-        parts = list(map(self.known.get, words))
+        parts = list(map(self.memory.known.get, words))
         if None in parts:
             learn = self._learn
             parts = [learn(w) if x is None else x for w, x in zip(words, parts)]

@@ -1,17 +1,17 @@
 """SentencePiece encoding and decoding that keeps each piece's place in the original text.
 
 The text is normalised by longest prefixes of the model's compiled character map, recording for each normalised
-byte the original byte that it comes from. The normalised text is encoded word by word (no piece of the model may
-cross the start of a word; else the whole text is one unit), and the pieces' bounds are projected through the
-recorded alignment to byte spans of the original text.
+byte the original byte that it comes from. The normalised text is encoded in slices that end where a word does (no
+piece of the model may cross the start of a word; else the whole text is one slice), and the pieces' bounds are
+projected through the recorded alignment to byte spans of the original text.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 import struct
 import zlib
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
@@ -21,12 +21,12 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import TOKENIZERS, each, table
+from .common import each, public_vocabulary, table
 
-MODEL = f"{TOKENIZERS}/piece_bpe_32k.model"
+MODEL = public_vocabulary("piece_bpe_32k.model")
 SPACE = "▁"
-#: Units whose pieces a worker remembers.
-_REMEMBER = 300_000
+#: Characters of normalised text that the library gets at once, about.
+_SLICE = 1 << 16
 
 
 def _fields(message: bytes):
@@ -99,9 +99,9 @@ class Codec:
         self.bare = sentencepiece.SentencePieceProcessor(model_proto=bare)
         pieces = [self.bare.id_to_piece(i) for i in range(self.bare.get_piece_size())]
         self.bytes = np.array([1 if self.bare.is_byte(i) else len(p.encode()) for i, p in enumerate(pieces)])
-        splits = self.escape and not any(SPACE in p.lstrip(SPACE) for p in pieces)
-        self.units = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+" if splits else r"(?s).+").findall
-        self.known: dict[str, tuple[list[int], str, list[int]]] = {}
+        self.decimal = [str(i) for i in range(len(pieces))].__getitem__
+        self.splits = self.escape and not any(SPACE in p.lstrip(SPACE) for p in pieces)
+        self.unknown = self.bare.unk_id()
 
     def normalise(self, text: str) -> tuple[str, np.ndarray]:
         """The normalised text, and for each of its bytes and its end the original byte that it comes from."""
@@ -136,33 +136,39 @@ class Codec:
         normal = data.tobytes().decode("utf-8", "replace")
         return normal.replace(" ", SPACE) if self.escape else normal, align
 
-    def _unit(self, unit: str) -> tuple[list[int], str, list[int]]:
-        """Ids, their decimal text and each piece's bytes for one unit."""
-        ids = self.bare.encode(unit, add_bos=False, add_eos=False)
-        sizes = self.bytes[ids].tolist() if ids else []
-        if self.bare.unk_id() in ids:  # an unknown piece's bytes aren't in its name
-            sizes = [len(p.surface.encode()) for p in self.bare.encode(unit, out_type="immutable_proto").pieces]
-        return ids, ",".join(map(str, ids)), sizes
+    def _slices(self, normal: str) -> Iterator[str]:
+        """A normalised text cut at starts of words, so that a long one takes no more memory; whole where pieces may cross them."""
+        at = 0
+        while self.splits and len(normal) - at > _SLICE:
+            stop = normal.find(SPACE, at + _SLICE)
+            while stop > 0 and normal[stop - 1] == SPACE:  # a run of marks belongs to one word
+                stop = normal.find(SPACE, stop + 1)
+            if stop < 0:
+                break
+            yield normal[at:stop]
+            at = stop
+        yield normal[at:]
+
+    def _pieces(self, part: str) -> tuple[list[int], np.ndarray]:
+        """Ids of a slice, and each piece's bytes in it. An unknown piece's aren't in its name, so the library tells them."""
+        ids = self.bare.encode(part, add_bos=False, add_eos=False)
+        if self.unknown not in ids:
+            return ids, self.bytes[ids]
+        named = self.bare.encode(part, out_type=str, add_bos=False, add_eos=False)
+        return ids, np.array([1 if self.bare.is_byte(i) else len(p.encode()) for i, p in zip(ids, named)])
 
     def encode(self, text: str | None) -> tuple[list[int], str, np.ndarray]:
-        """Ids, their decimal text joined by commas, and the original byte bounds [pieces, 2] of the pieces."""
+        """Ids, their decimal text joined by commas, and the original byte bounds [pieces, 2] of the pieces.
+
+        A piece that stands for one byte of a character gets that byte alone.
+        """
         normal, align = self.normalise(text or "")
         if not normal:
             return [], "", np.zeros((0, 2), np.int64)
-        known, parts = self.known, []
-        if len(known) > _REMEMBER:
-            known.clear()
-        for unit in self.units(normal):
-            part = known.get(unit)
-            if part is None:
-                part = self._unit(unit)
-                if len(unit) < 64:
-                    known[unit] = part
-            parts.append(part)
-        ids = list(chain.from_iterable([p[0] for p in parts]))
-        ends = np.fromiter(chain.from_iterable([p[2] for p in parts]), np.int64, len(ids)).cumsum()
-        spans = np.stack([align[np.append(0, ends[:-1])], align[ends]], axis=1)
-        return ids, ",".join([p[1] for p in parts if p[1]]), spans
+        ids, sizes = zip(*map(self._pieces, self._slices(normal)))
+        ids = list(chain.from_iterable(ids))
+        bounds = align[np.append(0, np.concatenate(sizes).cumsum())]
+        return ids, ",".join(map(self.decimal, ids)), np.stack([bounds[:-1], bounds[1:]], axis=1)
 
     def decode(self, ids: list[int]) -> str:
         return self.whole.decode(ids)
