@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clinical
-from ..functions.text import FIELD, MARK, after, lines, strip, without_first
+from ..functions.text import FIELD, MARK, after, bound, lines, strip, without_first
 
 _KEYWORDS = r"(?sU)关键词[:：]?\s*\n(.+?)(?:\n\s*\n|\n(?:文字记录|场景)[:：])"
 _LABEL = r"(?U)^(文字记录|场景)[:：]\s*"
@@ -24,14 +24,16 @@ def keyword_list(block: Column) -> Column:
 
 def keywords(text: Column) -> Column:
     """The keyword block's words, null without a block or a word in it."""
-    kept = keyword_list(strip(F.regexp_extract(text, _KEYWORDS, 1)))
-    return F.when(F.size(kept) > 0, kept)
+    return bound(keyword_list(strip(F.regexp_extract(text, _KEYWORDS, 1))), lambda kept: F.when(F.size(kept) > 0, kept))
 
 
 def body(text: Column) -> Column:
     """The text without its keyword block and the label before the dialogue."""
-    block = F.regexp_extract(text, _KEYWORDS, 0)
-    rest = F.when(block != "", without_first(text, block, "\n")).otherwise(text)
+
+    def without_block(x: Column) -> Column:
+        return F.when(x["block"] != "", without_first(x["text"], x["block"], "\n")).otherwise(x["text"])
+
+    rest = bound(F.struct(text.alias("text"), F.regexp_extract(text, _KEYWORDS, 0).alias("block")), without_block)
     return F.regexp_replace(strip(rest), _LABEL, "")
 
 
@@ -47,11 +49,12 @@ def visits(content: Column) -> Column:
     """
 
     def cut(line: Column) -> Column:
-        s = strip(line)
-        at = F.instr(s, "OUT")
-        around = F.array(strip(F.substring(s, F.lit(1), at - 1)), F.lit(MARK), strip(F.substring(s, at + 3, F.length(s))))
-        wrapped = (s.startswith("（") & s.endswith("）")) | (s.startswith("(") & s.endswith(")"))
-        return F.when(s.isin("OUT", "出去"), F.array(F.lit(MARK))).when(at > 0, F.filter(around, lambda x: x != "")).when(wrapped, F.array(F.lit(MARK))).otherwise(F.array(line))
+        at = lambda s: F.instr(s, "OUT")
+        around = lambda s: F.array(strip(F.substring(s, F.lit(1), at(s) - 1)), F.lit(MARK), strip(F.substring(s, at(s) + 3, F.length(s))))
+        wrapped = lambda s: (s.startswith("（") & s.endswith("）")) | (s.startswith("(") & s.endswith(")"))
+        mark = F.array(F.lit(MARK))
+        special = lambda s: F.when(s.isin("OUT", "出去"), mark).when(at(s) > 0, F.filter(around(s), lambda x: x != "")).when(wrapped(s), mark)
+        return F.coalesce(bound(strip(line), special), F.array(line))
 
     parts = F.split(F.array_join(F.flatten(F.transform(lines(content), cut)), "\n"), MARK)
     return F.filter(F.transform(parts, strip), lambda x: x != "")
@@ -65,17 +68,16 @@ def turns(visit: Column) -> Column:
     """
 
     def mark(line: Column) -> Column:
-        label, text = (F.regexp_extract(line, clinical.MARKER, g) for g in (1, 2))
-        return F.when(line.rlike(clinical.MARKER), F.concat(F.lit(MARK), label, F.lit(FIELD), strip(text))).otherwise(line)
+        opened = line.startswith("[") | line.startswith("【")  # which spares most lines the pattern
+        parts = F.regexp_replace(line, clinical.MARKER, f"{MARK}$1{FIELD}$2")
+        return F.when(opened, parts).otherwise(line)
 
     marked = F.transform(F.filter(F.transform(lines(visit), strip), lambda x: x != ""), mark)
-    parts = F.split(F.array_join(marked, ""), MARK)
-    opened = F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
+    opened = bound(F.split(F.array_join(marked, ""), MARK), lambda p: F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))))
 
     def turn(part: Column) -> Column:
-        label = F.substring_index(part, FIELD, 1)
-        text = strip(F.substring(part, F.length(label) + 2, F.length(part)))
-        return F.struct(clinical.role_of(label).alias("role"), text.alias("text"), clinical.speaker_note(label).alias("speaker_note"))
+        fields = lambda f: F.struct(clinical.role_of(f[0]).alias("role"), strip(f[1]).alias("text"), clinical.speaker_note(f[0]).alias("speaker_note"))
+        return bound(F.split(part, FIELD, 2), fields)
 
     return F.filter(F.transform(opened, turn), lambda t: t["text"] != "")
 

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import clinical
-from ..functions.text import lines, strip
+from ..functions.text import FIELD, MARK, bound, lines, strip
 
 #: Labels, header words and cues; fixed values.
 DOCTOR, PATIENT, FAMILY = "[医生]", "[患者]", "[患者家属]"
@@ -22,10 +22,13 @@ _TAGGED = r"^\[(医生|患者|患者家属)\]："
 
 def bracket_label(line: Column) -> Column:
     """A line with a lenticular D or P label in the square form; null for any other line."""
-    raw, text = strip(F.regexp_extract(line, _BRACKET, 1)), strip(F.regexp_extract(line, _BRACKET, 2))
-    side = F.when(raw.rlike("|".join(FAMILY_LABELS)), FAMILY).when(raw.contains("患者"), PATIENT).when(raw.contains("孩子"), FAMILY).otherwise(PATIENT)
-    label = F.when(raw.startswith("D"), F.lit(DOCTOR)).when(raw.startswith("P"), side)
-    return F.when(line.rlike(_BRACKET), F.concat(label, F.lit("："), text))
+
+    def tag(raw: Column) -> Column:
+        side = F.when(raw.rlike("|".join(FAMILY_LABELS)), FAMILY).when(raw.contains("患者"), PATIENT).when(raw.contains("孩子"), FAMILY).otherwise(PATIENT)
+        return F.when(raw.startswith("D"), F.lit(DOCTOR)).when(raw.startswith("P"), side)
+
+    label = bound(strip(F.regexp_extract(line, _BRACKET, 1)), tag)
+    return F.when(line.contains("【") & line.rlike(_BRACKET), F.concat(label, F.lit("："), strip(F.regexp_extract(line, _BRACKET, 2))))
 
 
 def role_line(line: Column) -> Column:
@@ -33,18 +36,24 @@ def role_line(line: Column) -> Column:
     out = F.lit(None).cast("string")
     for pattern, label in reversed(ROLE_LINES):
         out = F.when(line.rlike(pattern), label).otherwise(out)
-    return out
+    return F.when(line.contains("医生") | line.contains("患者") | line.contains("家属"), out)  # which spares most lines the patterns
 
 
 def is_meta(line: Column) -> Column:
     """Blank, a header, or a line with a date."""
-    s = strip(line)
-    return (s == "") | s.rlike(f"^({'|'.join(HEADERS)})") | s.rlike(_DATE)
+    return bound(strip(line), _meta)
+
+
+def _meta(s: Column) -> Column:
+    header = F.lit(False)
+    for word in HEADERS:
+        header = header | s.startswith(word)
+    return (s == "") | header | (s.contains("年") & s.rlike(_DATE))
 
 
 def is_skipped(line: Column) -> Column:
     """A line that alternation leaves alone."""
-    return is_meta(line) | strip(line).rlike("[:：]$")
+    return bound(strip(line), lambda s: _meta(s) | s.endswith(":") | s.endswith("："))
 
 
 def is_patient_opener(line: Column) -> Column:
@@ -57,41 +66,78 @@ def other_side(age: Column, line: Column) -> Column:
     return F.when(family, FAMILY).otherwise(PATIENT)
 
 
+def _marked(line: Column) -> Column:
+    """A role line as MARK and its label, a line with a label of its own as FIELD and the line in square form, any other as it is."""
+    square = bound(bracket_label(line), lambda b: F.when(b.isNotNull(), F.concat(F.lit(FIELD), b)))
+    role = bound(role_line(line), lambda r: F.when(r.isNotNull(), F.concat(F.lit(MARK), r)))
+    tagged = F.when(line.startswith("[") & line.rlike(_TAGGED), F.concat(F.lit(FIELD), line))
+    return F.coalesce(square, role, tagged, line)
+
+
+def _parts(marked: Column) -> Column:
+    """What stands before each MARK of an array of lines, and after the last."""
+    return F.split(F.array_join(marked, "\n"), f"\n?{MARK}")
+
+
+def explicit_lines(marked: Column) -> Column:
+    """The lines of _marked with their labels: a role line holds for the lines after it and is itself left out."""
+
+    def out(p: Column) -> Column:
+        def one(x: Column) -> Column:
+            carried = F.when((p[0] != "") & (strip(x) != ""), F.concat(p[0], F.lit("："), strip(x))).otherwise(x)
+            return F.when(x.startswith(FIELD), F.substring(x, 2, 1 << 30)).otherwise(carried)
+
+        return F.transform(F.slice(p, 2, F.size(p) - 1), one)
+
+    opened = _parts(F.concat(F.array(F.lit(MARK)), marked))
+    return F.flatten(F.transform(F.filter(opened, lambda p, i: i > 0), lambda p: bound(F.split(p, "\n", -1), out)))
+
+
+def _result(out: Column, explicit: Column, heuristic: Column) -> Column:
+    return F.struct(out.alias("lines"), explicit.cast("long").alias("explicit"), heuristic.cast("long").alias("heuristic"))
+
+
+def alternating_lines(all_lines: Column, age: Column) -> Column:
+    """_result of lines with the labels of two speakers in turn, skipped ones as they are. The doctor begins, unless the first line is a patient's opener.
+
+    A part is a spoken line and the skipped ones after it, so that the number of the part tells who speaks.
+    """
+
+    def said(parts: Column) -> Column:
+        opening = F.substring_index(F.get(parts, F.lit(1)), "\n", 1)
+        sides = F.struct(parts.alias("parts"), other_side(age, opening).alias("other"), is_patient_opener(opening).cast("int").alias("shift"))
+        spoken = lambda k: F.transform(F.slice(k["parts"], 2, F.size(k["parts"]) - 1), lambda p, i: one(p, i, k))
+        return bound(sides, lambda k: _result(F.concat(before(k["parts"][0]), spoken(k)), F.lit(0), F.size(k["parts"]) - 1))
+
+    def before(skipped: Column) -> Column:
+        return F.when(skipped == "", F.array().cast("array<string>")).otherwise(F.array(F.substring(skipped, 2, 1 << 30)))
+
+    def one(part: Column, i: Column, k: Column) -> Column:
+        who = F.when((i + k["shift"]) % 2 == 0, F.lit(DOCTOR)).otherwise(k["other"])
+        return bound(F.split(part, "\n", 2), lambda x: F.concat_ws("\n", F.concat(who, F.lit("："), strip(x[0])), F.get(x, F.lit(1))))
+
+    opened = F.transform(all_lines, lambda x: F.when(is_skipped(x), x).otherwise(F.concat(F.lit(MARK), x)))
+    return bound(_parts(F.concat(F.array(F.lit("")), opened)), said)
+
+
 def label(files: DataFrame, key: str = "file_id") -> DataFrame:
-    """key, text_out, changed, explicit_turns, heuristic_turns of files with key, stem and text; keys are unique.
+    """key, text_out, changed, explicit_turns, heuristic_turns of files with key, stem and text. All on a file's own row.
 
     Lines already tagged in the square form count as explicit, so that labelling a labelled text changes nothing.
     A text keeps its last line's end. A null text stays null, an empty one empty, both unchanged.
     """
-    source = files.select(F.col(key).alias("k"), F.col("stem").alias("stem"), F.col("text").alias("text"))
-    rows = source.select("k", clinical.age_in_stem(F.col("stem")).alias("age"), F.posexplode(lines(F.col("text"))).alias("no", "line"))
-    rows = rows.withColumns({"bracket": bracket_label(F.col("line")), "role": role_line(F.col("line")), "skip": is_skipped(F.col("line"))})
-    rows = rows.withColumn("tagged", F.col("line").rlike(_TAGGED))
-    rows = rows.withColumn("hit", F.col("bracket").isNotNull() | F.col("role").isNotNull() | F.col("tagged"))
-    file, so_far = Window.partitionBy("k"), Window.partitionBy("k").orderBy("no")
-    rows = rows.withColumns({
-        "hits": F.sum(F.col("hit").cast("long")).over(file), "carried": F.last(F.when(F.col("bracket").isNull(), F.col("role")), ignorenulls=True).over(so_far),
-        "nth": F.sum((~F.col("skip")).cast("long")).over(so_far), "first": F.min_by("line", F.when(~F.col("skip"), F.col("no"))).over(file),
-    })
-    s = strip(F.col("line"))
-    explicit = (
-        F.when(F.col("bracket").isNotNull(), F.col("bracket")).when(F.col("role").isNotNull(), F.lit(None)).when(F.col("tagged"), F.col("line"))
-        .when(F.col("carried").isNotNull() & (s != ""), F.concat("carried", F.lit("："), s)).otherwise(F.col("line"))
-    )
-    side = other_side(F.col("age"), F.col("first"))
-    doctor_turn = (F.col("nth") % 2 == 1) != is_patient_opener(F.col("first"))
-    guessed = F.when(F.col("skip"), F.col("line")).otherwise(F.concat(F.when(doctor_turn, F.lit(DOCTOR)).otherwise(side), F.lit("："), s))
-    rows = rows.withColumn("out", F.when(F.col("hits") > 0, explicit).otherwise(guessed))
-    kept = F.sort_array(F.collect_list(F.when(F.col("out").isNotNull(), F.struct("no", "out"))))
-    merged = rows.groupBy("k").agg(
-        F.array_join(F.transform(kept, lambda x: x["out"]), "\n").alias("joined"), F.max("hits").alias("explicit_turns"),
-        F.sum(((F.col("hits") == 0) & ~F.col("skip")).cast("long")).alias("heuristic_turns"),
-    )
+
+    def labelled(k: Column) -> Column:
+        hits = F.size(F.filter(k["marked"], lambda m: m.startswith(MARK) | m.startswith(FIELD)))
+        return bound(hits, lambda n: F.when(n > 0, _result(explicit_lines(k["marked"]), n, F.lit(0))).otherwise(alternating_lines(k["lines"], k["age"])))
+
+    marked = lambda x: F.struct(x.alias("lines"), F.transform(x, _marked).alias("marked"), clinical.age_in_stem(F.col("stem")).alias("age"))
+    found = F.when(F.length("text") > 0, bound(bound(lines(F.col("text")), marked), labelled))
     ending = F.when(F.col("text").endswith("\n"), F.lit("\n")).otherwise(F.lit(""))
-    out = source.join(merged, "k", "left").withColumn("text_out", F.coalesce(F.concat("joined", ending), "text"))
-    changed = ~F.col("text_out").eqNullSafe(F.col("text"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
-    return out.select(F.col("k").alias(key), "text_out", changed.alias("changed"), zero("explicit_turns"), zero("heuristic_turns"))
+    df = files.select(F.col(key).alias("k"), "text", bound(found, lambda f: F.struct(F.concat(F.array_join(f["lines"], "\n"), ending).alias("text_out"), f["explicit"].alias("explicit_turns"), f["heuristic"].alias("heuristic_turns"))).alias("r"))
+    zero = lambda c: F.coalesce(F.col(f"r.{c}"), F.lit(0)).alias(c)
+    df = df.select("k", "text", F.coalesce("r.text_out", "text").alias("text_out"), zero("explicit_turns"), zero("heuristic_turns"))
+    return df.select(F.col("k").alias(key), "text_out", (~F.col("text_out").eqNullSafe(F.col("text"))).alias("changed"), "explicit_turns", "heuristic_turns")
 
 
 def label_counts(labelled: DataFrame) -> DataFrame:
