@@ -45,6 +45,11 @@ def all_ids(named: DataFrame) -> DataFrame:
     return occurrences(named).select("id").distinct()
 
 
+def difference(ids: DataFrame, others: DataFrame) -> DataFrame:
+    """id: the distinct ids that others lacks."""
+    return ids.select("id").distinct().join(others.select("id"), "id", "left_anti")
+
+
 def missing_ids(ids: DataFrame, first: int = 1, last: int = 133) -> DataFrame:
     """id: the numbers of a range that ids lacks."""
     return ids.sparkSession.range(first, last + 1).join(ids.select(F.col("id").cast("long").alias("id")), "id", "left_anti")

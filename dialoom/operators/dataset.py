@@ -18,7 +18,7 @@ def assemble(parsed: DataFrame) -> DataFrame:
     agree give two patients with one patient_id. Rows with an error keep only what identifies them.
     """
     first = F.get("meta.ids", F.lit(0))
-    visit = lambda v: F.struct(clinical.visit_id(first, v["visit_no"]).alias("visit_id"), F.struct(F.col("path").alias("source_file"), v["turns"].alias("turns")).alias("dialogue"))
+    visit = lambda v: F.struct(clinical.visit_id(first, v["visit_no"]).alias("visit_id"), F.struct(F.substring_index("path", "/", -1).alias("source_file"), v["turns"].alias("turns")).alias("dialogue"))
     good = F.col("error").isNull()
     fields = {
         "patient_id": clinical.patient_id(first), "name": F.col("meta.name"), "gender": F.col("meta.gender"), "age": F.col("meta.age"),
@@ -27,6 +27,11 @@ def assemble(parsed: DataFrame) -> DataFrame:
     return parsed.select("file_id", "path", "error", F.col("meta.ids").alias("ids"), *[F.when(good, c).alias(n) for n, c in fields.items()])
 
 
+def converted(patients: DataFrame) -> DataFrame:
+    """The patients of files without an error: a file that failed is no patient."""
+    return patients.where(F.col("error").isNull()) if "error" in patients.columns else patients
+
+
 def build_counts(patients: DataFrame) -> DataFrame:
     """One row of the build's counters; errors lists the files that failed, by path."""
     good = F.col("error").isNull()
@@ -52,8 +57,8 @@ def has_role(visits: Column, role: str = CAREGIVER) -> Column:
 
 
 def split(patients: DataFrame) -> DataFrame:
-    """Adds split: with_caregiver or without_caregiver; every row is in one of them."""
-    return patients.withColumn("split", F.when(has_role(F.col("visits")), "with_caregiver").otherwise("without_caregiver"))
+    """Adds split: with_caregiver or without_caregiver; every patient is in one of them. Failed files are left out."""
+    return converted(patients).withColumn("split", F.when(has_role(F.col("visits")), "with_caregiver").otherwise("without_caregiver"))
 
 
 def split_counts(divided: DataFrame, source_total: int | None = None, source_converted: int | None = None) -> DataFrame:
@@ -64,14 +69,27 @@ def split_counts(divided: DataFrame, source_total: int | None = None, source_con
     )
 
 
-def document(patients: DataFrame, source_dir: str, split_name: str | None = None) -> DataFrame:
-    """One row, one JSON document: for export of a dataset that one machine can hold. Null fields are left out."""
+def turns_with(turns: DataFrame, key: str, role: str = CAREGIVER) -> DataFrame:
+    """The flat form of the split: turns of those keys that have a turn of a role."""
+    return turns.join(turns.where(F.col("role") == role).select(key), key, "left_semi")
+
+
+def turns_without(turns: DataFrame, key: str, role: str = CAREGIVER) -> DataFrame:
+    """Turns of those keys that have no turn of a role."""
+    return turns.join(turns.where(F.col("role") == role).select(key), key, "left_anti")
+
+
+def document(patients: DataFrame, source_dir: str, split_name: str | None = None, source_total: int = 0, source_converted: int = 0) -> DataFrame:
+    """One row, one JSON document: for export of a dataset that one machine can hold. Null fields are left out.
+
+    source_total, source_converted: the counters of the build that a split was made of; without a split they're counted.
+    """
     nested = F.struct("patient_id", "name", "gender", "age", "keywords", "scales", "visits")
     ordered = F.struct(clinical.numeric_suffix(F.col("patient_id")).alias("n"), "path", nested.alias("p"))
-    good = patients.where(F.col("error").isNull())
+    good = converted(patients)
     listed = good.agg(F.sort_array(F.collect_list(F.struct(F.col("file_id"), ordered.alias("o")))).alias("x"))
     listed = listed.select(F.transform(F.array_sort(F.transform("x", lambda x: F.struct(x["o"]["n"].alias("n"), x["o"]["path"].alias("path"), x["o"]["p"].alias("p"))), lambda a, b: F.when(a["n"] != b["n"], F.signum(a["n"] - b["n"]).cast("int")).when(a["path"] < b["path"], -1).when(a["path"] > b["path"], 1).otherwise(0)), lambda x: x["p"]).alias("patients"))
     meta = [F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(True).alias("patient_centered"), F.lit(source_dir).alias("source_dir"), *([F.lit(split_name).alias("split")] if split_name else [])]
-    counts = split_counts(patients.withColumn("split", F.lit(split_name))).drop("split") if split_name else build_counts(patients)
+    counts = split_counts(good.withColumn("split", F.lit(split_name)), source_total, source_converted).drop("split") if split_name else build_counts(patients)
     stats = counts.select(F.struct("*").alias("stats"))
     return listed.crossJoin(stats).select(F.to_json(F.struct(F.struct(*meta).alias("dataset_meta"), "stats", "patients"), {"pretty": "true"}).alias("value"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import io
 import time
+import warnings
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -17,16 +18,17 @@ RESPONSE = "struct<result:struct<layoutParsingResults:array<struct<markdown:stru
 LONGEST_SIDE, JPEG_QUALITY = 2000, 85
 
 
-def request(content: bytes) -> dict:
+def request(content: bytes, prepare: Callable[[bytes], bytes] | None = None) -> dict:
     """The request for one image."""
-    return {"file": base64.b64encode(shrink(content)).decode(), "fileType": 1, "useDocOrientationClassify": True, "useDocUnwarping": False, "useChartRecognition": False}
+    return {"file": base64.b64encode((prepare or shrink)(content)).decode(), "fileType": 1, "useDocOrientationClassify": True, "useDocUnwarping": False, "useChartRecognition": False}
 
 
 def shrink(content: bytes) -> bytes:
-    """The image as JPEG with its longest side bounded; as it is where Pillow isn't installed."""
+    """The image as JPEG with its longest side bounded; as it is, with a warning, where Pillow isn't installed."""
     try:
         from PIL import Image
     except ImportError:
+        warnings.warn("Pillow isn't installed: photos are sent at full size", stacklevel=2)
         return content
     image = Image.open(io.BytesIO(content)).convert("RGB")
     image.thumbnail((LONGEST_SIDE, LONGEST_SIDE), Image.Resampling.LANCZOS)
@@ -40,17 +42,18 @@ def pending(images: DataFrame, done: DataFrame) -> DataFrame:
     return images.join(done.select("stem").distinct(), "stem", "left_anti")
 
 
-def call(images: DataFrame, client: Client, attempts: int = 3, pause: float = 2.0, pacing: float = 0.5) -> DataFrame:
+def call(images: DataFrame, client: Client, attempts: int = 3, pause: float = 2.0, pacing: float = 0.5, timeout: float = 120.0, prepare: Callable[[bytes], bytes] | None = None) -> DataFrame:
     """stem, status_code, body, tries of each image: what the client gave. A null body after exceptions alone.
 
-    Status 500 and exceptions are tried again; any other status is final. Tasks go image by image.
+    Status 500 and exceptions are tried again; any other status is final. Tasks go image by image. timeout: seconds
+    that the client is to wait, beside the request's fields. prepare: what is done to an image first, by default shrink.
     """
 
     def one(content: bytes) -> tuple[int | None, str | None, int]:
         status = body = None
         for n in range(1, attempts + 1):
             try:
-                status, body = client(request(content))
+                status, body = client(request(content, prepare) | {"timeout": timeout})
             except Exception:  # noqa: BLE001  a client's faults are data here
                 status = body = None
             if status not in (None, 500):

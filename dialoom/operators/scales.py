@@ -12,6 +12,10 @@ ID_COLUMN, ITEM_PHRASE = "序号", "在过去2个星期"
 SCALES = {"GAD-7": ("G", 7), "PHQ-9": ("P", 9)}
 
 
+class NoIdColumn(KeyError):
+    """The sheet has no column of ids."""
+
+
 def item_columns(columns: list[str], letter: str, n: int) -> list[str]:
     """The first column for each item, by prefix; KeyError for one that is missing."""
     found = [next((c for c in columns if c.startswith(f"{letter}{i}. {ITEM_PHRASE}")), None) for i in range(1, n + 1)]
@@ -23,7 +27,7 @@ def item_columns(columns: list[str], letter: str, n: int) -> list[str]:
 def _whole(c: Column) -> Column:
     """A number cut to an int; null for anything else."""
     number = plain_digits(c.cast("string")).try_cast("double")
-    return F.when(~F.isnan(number), number.cast("decimal(20,5)").cast("long").try_cast("int"))
+    return F.when(~F.isnan(number) & (F.abs(number) < 2147483648.0), number.cast("int"))
 
 
 def item_sum(items: Column) -> Column:
@@ -38,7 +42,7 @@ def scale_rows(sheet: DataFrame, id_column: str = ID_COLUMN) -> DataFrame:
     number has the error bad_item and null totals.
     """
     if id_column not in sheet.columns:
-        raise KeyError(id_column)
+        raise NoIdColumn(id_column)
     by_name = lambda name: F.col("`" + name.replace("`", "``") + "`")
     cols = {}
     for (scale, (letter, n)), name in zip(SCALES.items(), ("gad7", "phq9")):

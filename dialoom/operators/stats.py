@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clinical
+from .dataset import converted
 
 
 def safe_stats(df: DataFrame, value: str | Column) -> DataFrame:
@@ -43,7 +44,7 @@ def scales_flat(patients: DataFrame) -> DataFrame:
 
 
 def summary(patients: DataFrame) -> DataFrame:
-    """One row of nested statistics. Each is an aggregate of its own over what it needs, and the one-row results meet."""
+    """One row of nested statistics; failed files are no patients. Each is an aggregate of its own over what it needs, and the one-row results meet."""
 
     def named(df: DataFrame, name: str) -> DataFrame:
         return df.select(F.struct("*").alias(name))
@@ -52,6 +53,7 @@ def summary(patients: DataFrame) -> DataFrame:
         pairs = F.sort_array(F.collect_list(F.struct("key", "n")))
         return df.agg(F.map_from_entries(pairs).alias(name))
 
+    patients = converted(patients)
     p, v, t, s = patients_flat(patients), visits_flat(patients), turns_flat(patients), scales_flat(patients)
     base = p.agg(F.count("*").alias("patient_count"), F.count_if(F.col("n_keywords") > 0).alias("patients_with_keywords"), F.count_if(F.col("n_scales") > 0).alias("patients_with_scales"))
     parts = [

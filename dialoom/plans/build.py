@@ -13,7 +13,7 @@ from ..sources import files
 def build(text_rows: DataFrame, sheet: DataFrame | None) -> DataFrame:
     """Patients of files (file_id, path, stem, text, error) and a wide score sheet. Faults are rows with an error.
 
-    Errors: bad_title, bad_utf8, bad_item, and no_column where the sheet lacks a column. The sheet's rows meet the
+    Errors: bad_title, bad_utf8, bad_item, no_id_column where the sheet lacks its ids, no_column where it lacks an item. The sheet's rows meet the
     files by id; Spark broadcasts them while their measured size allows, and shuffles both beyond.
     """
     titled = text_rows.withColumn("meta", clinical.title(F.col("stem")))
@@ -22,6 +22,8 @@ def build(text_rows: DataFrame, sheet: DataFrame | None) -> DataFrame:
     try:
         rows = scales.scale_rows(sheet) if sheet is not None else None
         fault = None
+    except scales.NoIdColumn:
+        rows, fault = None, "no_id_column"
     except KeyError:
         rows, fault = None, "no_column"
     if rows is None:

@@ -8,7 +8,6 @@ part's size an age, an order's quantities the items of a scale, a document's lin
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,28 +15,13 @@ from pyspark.sql import functions as F
 from ..functions import clinical
 from ..functions.text import after, lines, to_int
 from ..operators import audit, dataset, dialogue, masking, scales, speakers, stats
+from . import consultations  # noqa: F401  registers its queries
+from .registry import EMAIL, ORACLE_SQL, QUERIES, query, read  # noqa: F401
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"
 _ROLE = "CASE role WHEN 'user' THEN 'patient' WHEN 'assistant' THEN 'doctor' WHEN 'system' THEN 'caregiver' ELSE 'other' END"
 _STATS = "count({0})::BIGINT AS count, round(avg({0}), 2) AS mean, round(median({0}), 2) AS median, min({0}) AS min, max({0}) AS max"
 
 
-def query(sql: str) -> Callable:
-    """Registers a query under its function's name, with its SQL."""
-
-    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__], ORACLE_SQL[f.__name__] = f, sql
-        return f
-
-    return register
-
-
-def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _label(role: Column) -> Column:
     """A speaker label for a role of the conversations table."""
     return F.when(role == "user", "P1").when(role == "assistant", "医生").when(role == "system", "患者家属").otherwise("x")
@@ -121,14 +105,12 @@ def split_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT conv_id, turn FROM conversations c WHERE EXISTS (SELECT 1 FROM conversations s WHERE s.conv_id = c.conv_id AND s.role = 'system')")
 def caregiver_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flat form of the split: a semi-join."""
-    turns = _turns(spark, sf_dir)
-    return turns.join(turns.where(F.col("role") == dataset.CAREGIVER).select("conv_id"), "conv_id", "left_semi").select("conv_id", "turn")
+    return dataset.turns_with(_turns(spark, sf_dir), "conv_id").select("conv_id", "turn")
 
 
 @query("SELECT conv_id, turn FROM conversations c WHERE NOT EXISTS (SELECT 1 FROM conversations s WHERE s.conv_id = c.conv_id AND s.role = 'system')")
 def turns_without_caregiver(spark: SparkSession, sf_dir: str) -> DataFrame:
-    turns = _turns(spark, sf_dir)
-    return turns.join(turns.where(F.col("role") == dataset.CAREGIVER).select("conv_id"), "conv_id", "left_anti").select("conv_id", "turn")
+    return dataset.turns_without(_turns(spark, sf_dir), "conv_id").select("conv_id", "turn")
 
 
 @query(f"SELECT conv_id, turn, {_ROLE} AS role FROM conversations")
@@ -229,9 +211,11 @@ def id_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.index(_named(spark, sf_dir)).withColumn("names", F.array_join("names", ","))
 
 
-@query("SELECT r AS id FROM range(1, 1001) t(r) WHERE r NOT IN (SELECT doc_id FROM labels)")
+@query("SELECT id FROM (SELECT unnest(range(1, max(doc_id) + 1)) AS id FROM documents) WHERE id NOT IN (SELECT doc_id FROM labels)")
 def missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.missing_ids(read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), 1, 1000)
+    """Ids from 1 to the largest of the documents that no label has."""
+    last = read(spark, sf_dir, "documents").agg(F.max("doc_id")).first()[0] or 0
+    return audit.missing_ids(read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), 1, last)
 
 
 @query("SELECT doc_id AS id FROM documents UNION SELECT doc_id FROM labels")
@@ -243,7 +227,7 @@ def union_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT doc_id AS id FROM documents EXCEPT SELECT doc_id FROM labels")
 def unlabelled_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = (read(spark, sf_dir, t).select(F.col("doc_id").alias("id")) for t in ("documents", "labels"))
-    return docs.exceptAll(labels.distinct()).distinct()
+    return audit.difference(docs, labels)
 
 
 @query("SELECT s_suppkey, replace(s_name, '#', '-') AS patient_id, split_part(s_name, '#', 2)::BIGINT AS sort_key FROM supplier")
@@ -313,6 +297,10 @@ def patient_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query("SELECT metric, definition FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in stats.DEFINITIONS.items()) + ") t(metric, definition)")
+@query("""SELECT path || '.' || stat AS metric, stat || ' of ' || what AS definition FROM (VALUES ('demographics.age_distribution.age_stats', 'valid ages'), ('visits_and_dialogue.visits_per_patient', 'visits of a patient'),
+    ('visits_and_dialogue.turns_per_visit', 'turns of a visit'), ('scales.gad7_total', 'valid GAD-7 totals'), ('scales.phq9_total', 'valid PHQ-9 totals')) m(path, what), (VALUES ('count'), ('mean'), ('median'), ('min'), ('max')) s(stat)
+UNION ALL SELECT * FROM (VALUES ('base.patient_count', 'patients'), ('base.patients_with_keywords', 'patients with a keyword'), ('base.patients_with_scales', 'patients with a scale record'),
+    ('demographics.gender_distribution', 'patients by gender, unknown where missing'), ('demographics.age_distribution.age_buckets', 'patients by age band, unknown where missing'),
+    ('visits_and_dialogue.turn_role_distribution', 'turns by role'), ('scales.gad7_severity_distribution', 'GAD-7 totals by severity'), ('scales.phq9_severity_distribution', 'PHQ-9 totals by severity')) c(metric, definition)""")
 def metric_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.metric_definitions(spark)

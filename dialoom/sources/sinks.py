@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import dataset
+from ..operators import dataset, stats
 
 
 def tables(patients: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -25,16 +25,29 @@ def one_document(document: DataFrame, path: str, mode: str = "errorifexists") ->
 
 def split_documents(patients: DataFrame, path: str, source_dir: str) -> None:
     """The two parts as documents, each with its own label."""
-    divided = dataset.split(patients)
+    divided, counts = dataset.split(patients), dataset.build_counts(patients).select("total_files", "converted_files").first()
     for name in ("with_caregiver", "without_caregiver"):
-        one_document(dataset.document(divided.where(F.col("split") == name).drop("split"), source_dir, name), f"{path}/{name}")
+        one_document(dataset.document(divided.where(F.col("split") == name).drop("split"), source_dir, name, *counts), f"{path}/{name}")
 
 
-def summary_document(summary: DataFrame, path: str) -> None:
-    one_document(summary.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value")), path)
+def summary_document(summary: DataFrame, path: str, meta: DataFrame | None = None) -> None:
+    """The summary as one document, with the meaning of its figures, and dataset_meta where meta (one row) is given."""
+    full = summary.withColumn("metric_definitions", F.create_map(*[F.lit(x) for pair in stats.DEFINITIONS.items() for x in pair]))
+    if meta is not None:
+        full = meta.select(F.struct("*").alias("dataset_meta")).crossJoin(full)  # one row each
+    one_document(full.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value")), path)
 
 
 def mirrored(texts: DataFrame) -> DataFrame:
     """rel_path and text of rel_path, text rows; the error collision marks paths that several rows would write."""
     n = texts.groupBy("rel_path").agg(F.count("*").alias("n"))
     return texts.join(n, "rel_path").select("rel_path", "text", F.when(F.col("n") > 1, "collision").alias("error"))
+
+
+def write_mirrored(texts: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Masked or relabelled texts, or pages' markdown, to a new place: a folder for each rel_path that holds its text.
+
+    Colliding paths are left out; mirrored tells which they are. A text's file ends with one line end more.
+    """
+    good = mirrored(texts).where(F.col("error").isNull())
+    good.select("rel_path", "text").write.mode(mode).partitionBy("rel_path").text(path)

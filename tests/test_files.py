@@ -5,7 +5,8 @@ import os
 
 import pytest
 
-from dialoom.operators import dataset, dialogue, masking, ocr, speakers
+from dialoom.__main__ import main
+from dialoom.operators import dataset, dialogue, masking, ocr, speakers, stats
 from dialoom.plans.build import build, build_folder
 from dialoom.sources import files, sinks
 from dialoom.streaming import ingest
@@ -198,3 +199,49 @@ def test_ocr(spark, tmp_path, monkeypatch):
     results = {r.stem: (r.text, r.status) for r in ocr.results(rows).collect()}
     assert results["a"] == ("一\n二", "success") and results["b"][1] == results["c"][1] == results["d"][1] == "failed"
     assert ocr.counts(images, done, rows).first().asDict() == {"success": 2, "failed": 3, "skipped": 1}
+
+
+def test_failed_files_are_no_patients(spark, folder, tmp_path):
+    patients = build_folder(spark, folder)
+    base = stats.summary(patients).first()
+    assert base.base.patient_count == 2 and base.demographics.gender_distribution == {"男": 1, "女": 1}
+    counts = {r.split: r for r in dataset.split_counts(dataset.split(patients), 4, 2).collect()}
+    assert (counts["with_caregiver"].total_patients, counts["without_caregiver"].total_patients) == (1, 1)
+    sinks.split_documents(patients, f"{tmp_path}/split", "here")
+    text = "\n".join(r.value for r in spark.read.option("wholetext", "true").text(f"{tmp_path}/split/with_caregiver").collect())
+    found = json.loads(text)
+    assert found["stats"] == {"total_patients": 1, "total_visits": 2, "source_total_files": 4, "source_converted_files": 2}
+    assert found["patients"][0]["visits"][0]["dialogue"]["source_file"] == "9 [NAME] 男 34岁.txt"
+    sinks.one_document(dataset.document(patients, "here"), f"{tmp_path}/whole")
+    sinks.summary_document(stats.summary(patients), f"{tmp_path}/summary", files.meta_of(files.dataset(spark, f"{tmp_path}/whole")))
+    summary = json.loads("\n".join(r.value for r in spark.read.option("wholetext", "true").text(f"{tmp_path}/summary").collect()))
+    assert summary["dataset_meta"]["source_total_files"] == 4 and len(summary["metric_definitions"]) == 33
+    assert [r.patient_id for r in dataset.in_order(dataset.converted(patients)).collect()] == ["P-000009", "P-000012"]
+
+
+def test_items_never_end_a_job(spark, folder):
+    answers = sheet_rows(spark, [("9", "2.9999999", *"111111", *"222222222"), ("12", "1e30", *"000000", *"000000001")])
+    rows = by_first_id(build(files.text_files(spark, folder), answers))
+    assert rows[9].scales[0]["GAD-7"]["items"][0] == 2 and rows[12].error == "bad_item"
+    assert by_first_id(build(files.text_files(spark, folder), answers.drop("序号")))[9].error == "no_id_column"
+
+
+def test_command_line(spark, folder, tmp_path, capsys):
+    main(["build", folder, "--out", f"{tmp_path}/d"])
+    main(["split", f"{tmp_path}/d"])
+    main(["stats", f"{tmp_path}/d", "--out", f"{tmp_path}/s"])
+    main(["audit", folder])
+    main(["label", folder, "--out", f"{tmp_path}/l"])
+    main(["mask", folder])
+    said = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert said[0]["converted_files"] == 2 and said[1]["source_total_files"] == 4
+    assert said[-3]["file_count"] == 4 and said[-2]["files_total"] == 4 and said[-1]["files_output"] == 4
+    assert any("_12，13" in x or "12，13" in x for x in os.listdir(f"{tmp_path}/l"))
+
+
+def test_flat_scan(spark, folder, tmp_path):
+    (tmp_path / "deeper").mkdir()
+    (tmp_path / "1x.txt").write_text("a", encoding="utf-8")
+    (tmp_path / "deeper" / "2x.txt").write_text("b", encoding="utf-8")
+    assert [r.stem for r in files.text_files(spark, str(tmp_path), recursive=False).collect()] == ["1x"]
+    assert files.text_files(spark, str(tmp_path)).count() == 2
