@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -56,6 +57,8 @@ class Block:
         order = np.lexsort((ids, *m.T[::-1]))
         ids, m = ids[order], m[order]
         first = np.append(True, (m[1:] != m[:-1]).any(axis=1)) if len(m) else np.zeros(0, bool)
+        once = first | np.append(True, ids[1:] != ids[:-1])[: len(ids)]  # a row that is repeated whole counts once
+        ids, m, first = ids[once], m[once], first[once]
         starts = np.flatnonzero(first)
         self.rows = m[starts]
         ends = np.append(starts[1:], len(m))
@@ -88,7 +91,8 @@ class Block:
             near, cosine = near[-cosine <= cut], cosine[-cosine <= cut]
         ids = np.concatenate([self.ids[i] for i in near])
         score = np.repeat(cosine, [len(self.ids[i]) for i in near])
-        other = ids != query_id
+        own = np.repeat((self.rows[near] == q).all(axis=1), [len(self.ids[i]) for i in near])
+        other = (ids != query_id) | ~own
         ids, score = ids[other], score[other]
         best = np.lexsort((ids, -score))[:k]
         return ids[best], score[best]
@@ -128,7 +132,9 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, n_pivots: int = 2
 
     depth: distinct rows of a block that are reranked, besides those that tie with the last. Vectors that are
     null, zero, of another length than the commonest, or hold null or non-finite components take no part.
-    Ties go to the smaller vec_id. Rows with one vec_id are each a candidate; other columns are ignored.
+    Ties go to the smaller vec_id. A row that is repeated whole counts once, as a query and as a candidate; rows that
+    share a vec_id but not the vector are queries and candidates of their own, and a query leaves out its own row alone.
+    Other columns are ignored.
     A task holds one block of the index and one block of queries, so that neither grows with the tables.
     """
     spark = vectors.sparkSession
@@ -149,18 +155,21 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, n_pivots: int = 2
             vectors_in = lambda t: _matrix(t["v"].combine_chunks(), dim)
             m, which = vectors_in(mine)
             index = Block(mine["id"].to_numpy()[which], m, shared.value, length, k + 1)
+            seen: set[tuple[int, bytes]] = set()
             for at in range(0, len(theirs), QUERIES):
                 part = theirs.slice(at, QUERIES)
                 q, which = vectors_in(part)
                 qids = part["id"].to_numpy()[which]
+                new = [(int(i), v.tobytes()) not in seen and not seen.add((int(i), v.tobytes())) for i, v in zip(qids, q)]
+                q, qids = q[new], qids[new]
                 for qid, one, perm in zip(qids, q, permutations(q, shared.value, length)):
                     ids, score = index.nearest(int(qid), one, perm, k, depth)
-                    out.append((np.full(len(ids), qid), ids, score))
-        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        return pa.table(dict(zip(("query_id", "vec_id", "score"), cols)))
+                    out.append((np.full(len(ids), qid), np.full(len(ids), xxhash.xxh64_intdigest(one.tobytes()), np.uint64).view(np.int64), ids, score))
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
+        return pa.table(dict(zip(("query_id", "of", "vec_id", "score"), cols)))
 
-    found = blocked.groupBy("b", "q").cogroup(sent.groupBy("b", "q")).applyInArrow(of, "query_id long, vec_id long, score double")
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = blocked.groupBy("b", "q").cogroup(sent.groupBy("b", "q")).applyInArrow(of, "query_id long, of long, vec_id long, score double")
+    best = Window.partitionBy("query_id", "of").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
