@@ -40,7 +40,7 @@ def mark_revisits(pages: DataFrame) -> DataFrame:
     df = df.withColumn("key", F.when(F.col("bytes") >= LEAST, F.concat_ws(":", "digest", "bytes")).otherwise(alone))
     slim = pages.withColumn("payload", F.coalesce(F.col("html"), F.lit("")).cast("binary"))
     slim = slim.where(F.octet_length("payload") >= LEAST).select("page_id", F.concat_ws(":", F.sha2("payload", 256), F.octet_length("payload")).alias("key"))
-    copies = slim.groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    copies = slim.groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")  # min leaves out nulls
     return df.join(copies, "key", "left").drop("key")
 
 
@@ -50,17 +50,25 @@ def _header(*fields: tuple[str, Column]) -> Column:
     return F.concat(F.lit(f"WARC/1.1{_NEW_LINE}"), *[F.coalesce(x, F.lit("")) for x in lines], F.lit(_NEW_LINE))
 
 
+def response(page_id: Column, digest: Column) -> Column:
+    """The record id of a page's response, which revisits name. Rows that are repeated whole share it."""
+    return F.concat(F.lit("<urn:page:"), page_id.cast("string"), F.lit("#"), digest, F.lit(">"))
+
+
 def chunk_rows(marked: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """record, page_id, url, bytes, digest, refers_to, chunk number (from 1), chunks and data of each chunk.
+    """row, record, page_id, url, bytes, digest, refers_to, chunk number (from 1), chunks and data of each chunk.
 
-    A revisit has one chunk without data. page_id may repeat or be null: record tells rows apart.
+    A revisit has one chunk without data. page_id may repeat or be null: row tells rows apart.
     """
     revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     page = F.coalesce(F.col("page_id").cast("string"), F.lit("null"))
     df = marked.select(
-        F.concat(F.lit("<urn:page:"), page, F.lit("#"), F.monotonically_increasing_id().cast("string"), F.lit(">")).alias("record"),
+        F.monotonically_increasing_id().cast("string").alias("row"), page.alias("page"),
         "page_id", "url", "bytes", "digest", F.when(revisit, F.col("first")).alias("refers_to"), F.when(~revisit, F.col("payload")).alias("payload"),
     )
+    own = F.concat(F.lit("<urn:page:"), F.col("page"), F.lit("#"), F.col("row"), F.lit(">"))
+    named = F.col("refers_to").isNull() & F.col("page_id").isNotNull()
+    df = df.withColumn("record", F.when(named, response(F.col("page_id"), F.col("digest"))).otherwise(own)).drop("page")
     chunks = F.greatest(F.lit(1), F.ceil(F.coalesce(F.octet_length("payload"), F.lit(0)) / chunk)).cast("int")
     df = df.withColumn("chunks", chunks).withColumn("chunk", F.explode(F.sequence(F.lit(1), F.col("chunks"))))
     data = F.substring(F.col("payload"), (F.col("chunk") - 1) * chunk + 1, F.lit(chunk))
@@ -80,10 +88,11 @@ def write(rows: DataFrame, path: str, records_per_file: int = RECORDS) -> None:
         ("WARC-Target-URI", F.translate(F.regexp_replace(F.col("url"), "\r", "%0D"), "\n", " ")),
         ("WARC-Payload-Digest", F.when(first, F.concat(F.lit("sha256:"), F.col("digest")))),
         ("WARC-Profile", F.when(F.col("refers_to").isNotNull(), F.lit(_PROFILE))),
-        ("WARC-Refers-To", F.when(F.col("refers_to").isNotNull(), F.concat(F.lit("<urn:page:"), F.col("refers_to").cast("string"), F.lit(">")))),
+        ("WARC-Refers-To", F.when(F.col("refers_to").isNotNull(), response(F.col("refers_to"), F.col("digest")))),
         ("WARC-Segment-Origin-ID", F.when(~first, F.col("record"))),
         ("WARC-Segment-Number", F.when(many, F.col("chunk"))),
         ("WARC-Segment-Total-Length", F.when(many & (F.col("chunk") == F.col("chunks")), F.col("bytes"))),
+        ("X-Row", F.col("row")),
         ("X-Payload-Length", F.when(first, F.col("bytes"))),
         ("Content-Type", F.when(first, F.lit("application/http;msgtype=response"))),
         ("Content-Length", F.octet_length(block)),
@@ -94,7 +103,10 @@ def write(rows: DataFrame, path: str, records_per_file: int = RECORDS) -> None:
 
 
 def parse(content: bytes, piece: int = 1 << 20) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header, block) of each record of a gzipped archive, which is inflated a piece at a time."""
+    """(header, block) of each record of a gzipped archive, which is inflated a piece at a time.
+
+    A truncated archive's last block is short; nothing is read after a fault of the compression or a header without a length.
+    """
     inflate, held, at = zlib.decompressobj(31), bytearray(), 0
 
     def more() -> bool:
@@ -105,7 +117,11 @@ def parse(content: bytes, piece: int = 1 << 20) -> Iterator[tuple[dict[str, str]
                 inflate = zlib.decompressobj(31)
             data = inflate.unconsumed_tail or content[at : at + piece]
             at += 0 if inflate.unconsumed_tail else len(data)
-            got = inflate.decompress(data, piece)
+            try:
+                got = inflate.decompress(data, piece)
+            except zlib.error:  # what follows can't be read
+                at, inflate = len(content), zlib.decompressobj(31)
+                return False
             held.extend(got)
             if got:
                 return True
@@ -117,6 +133,8 @@ def parse(content: bytes, piece: int = 1 << 20) -> Iterator[tuple[dict[str, str]
                 return
         lines = held[:end].decode("utf-8", "replace").split(_NEW_LINE)
         header = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
+        if not header.get("content-length", "").isdigit():
+            return
         stop = end + 4 + int(header["content-length"])
         while len(held) < stop + 4 and more():
             pass
@@ -146,10 +164,13 @@ def read(spark: SparkSession, path: str, batch_bytes: int = 1 << 24) -> DataFram
         for contents in batches:
             for content in contents.column("content"):
                 for h, block in parse(content.as_py()):
-                    record = h.get("warc-segment-origin-id") or h["warc-record-id"]
-                    data = block if h["warc-type"] == "continuation" else block[block.index(b"\r\n\r\n") + 4 :]
+                    record = h.get("warc-segment-origin-id") or h.get("warc-record-id")
+                    if not record or h.get("warc-type") not in ("response", "revisit", "continuation"):
+                        continue
+                    body = block.find(b"\r\n\r\n")
+                    data = block if h["warc-type"] == "continuation" else block[body + 4 :] if body >= 0 else b""
                     length, digest = h.get("x-payload-length"), h.get("warc-payload-digest", "").removeprefix("sha256:")
-                    out.append((record, page(record), h.get("warc-target-uri"), h["warc-type"], page(h.get("warc-refers-to")), int(h.get("warc-segment-number", 1)), "warc-segment-number" in h, int(length) if length else None, digest or None, data))
+                    out.append((f"{record} {h.get('x-row', '')}", page(record), h.get("warc-target-uri"), h["warc-type"], page(h.get("warc-refers-to")), int(h.get("warc-segment-number", 1)), "warc-segment-number" in h, int(length) if length else None, digest or None, data))
                     size += len(data) + 500
                     if size >= batch_bytes:
                         yield batch()
@@ -166,7 +187,8 @@ def records(chunks: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to, chunks, intact of each record of chunk rows.
 
     A record in one chunk is digested where it is; the chunks of longer ones meet, sorted, in one task, which
-    carries the digest from chunk to chunk. intact: what was read has the size and digest that its header says.
+    carries the digest from chunk to chunk. intact: what was read has the size and digest that its header says; of a
+    revisit, whose payload is elsewhere, that its header says them.
     """
     whole = ~F.col("segmented")
     slim = chunks.select(
@@ -182,8 +204,10 @@ def records(chunks: DataFrame) -> DataFrame:
 
         def done() -> None:
             sha = state.hexdigest() if state else head["sha"]
-            got = (head["bytes"], head["digest"]) if head["type"] == "revisit" else (size, sha)
-            out.append((head["page_id"], *got, head["type"], head["refers_to"], n, head["type"] == "revisit" or got == (head["bytes"], head["digest"])))
+            told = (head["bytes"], head["digest"])
+            got = told if head["type"] == "revisit" else (size, sha)
+            kind = "revisit" if head["type"] == "revisit" else "response"
+            out.append((head["page_id"], *got, kind, head["refers_to"], n, got == told and None not in told))
 
         for batch in batches:
             for row in batch.to_pylist():
