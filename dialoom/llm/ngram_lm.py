@@ -1,9 +1,10 @@
 """Stupid-backoff scores from n-gram counts of the corpus.
 
-Documents are dealt into parts of a few thousand. A part lists its distinct n-grams with their counts, cut by
+Documents are dealt by content into parts of some MB of text. A part lists its distinct n-grams with their counts, cut by
 hash into buckets; a bucket holds one slice of the count table, sums what all parts sent (so that a common n-gram
 is one entry from each part, however many documents have it) and is joined back to the parts' n-grams; and each
-part then sums its documents' scores. N-grams are 64-bit hashes of words.
+part then sums its documents' scores. N-grams are 64-bit hashes of words. A document of the corpus is scored by what
+the rest of the corpus holds: its own counts are taken off first, as else any text would know itself.
 """
 
 from __future__ import annotations
@@ -14,25 +15,27 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Recent, table
 
 BACKOFF = 0.4
-#: Documents in a part.
-PART = 4096
-#: Words whose hash a worker remembers.
-_REMEMBER = 500_000
+#: Bytes of text in a part, and rows at most, about.
+PART, ROWS = 12 << 20, 1 << 16
+#: Bytes of text whose n-grams make a bucket, about.
+BUCKET = 24 << 20
+#: Bytes of words and hashes that a worker remembers, twice.
+_REMEMBER = 40_000_000
 _START, _TOTAL = np.uint64(1), np.uint64(2)
 
 
-class _Words(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _REMEMBER:
-            self.clear()
-        self[word] = value = xxhash.xxh64_intdigest(word, 9)
-        return value
+_words = Recent(_REMEMBER)
 
 
-_words = _Words()
+def _hash(word: bytes) -> int:
+    value = _words.find(word)
+    if value is None:
+        value = xxhash.xxh64_intdigest(word, 9)
+        _words.keep(word, value)
+    return value
 
 
 def _mix(a: np.ndarray) -> np.ndarray:
@@ -46,7 +49,10 @@ def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased.
     """
     words = (text or "").encode("utf-8", "replace").lower().split()
-    w = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    known = list(map(_words.known.get, words))
+    if None in known:
+        known = [_hash(x) if h is None else h for x, h in zip(words, known)]
+    w = np.array(known, np.uint64)
     before = np.append(_START, w[:-1]) if len(w) else w
     return w, before, _mix(before * np.uint64(0x9E3779B97F4A7C15) + _mix(w))
 
@@ -61,13 +67,23 @@ def _counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(keys, at, more), np.insert(count, at, often)
 
 
-def score_words(w: np.ndarray, before: np.ndarray, pair: np.ndarray, count) -> np.ndarray:  # noqa: ANN001
+def _own(grams: np.ndarray) -> np.ndarray:
+    """How often each n-gram stands in its own document."""
+    _, at, n = np.unique(grams, return_inverse=True, return_counts=True)
+    return n[at]
+
+
+def score_words(w: np.ndarray, before: np.ndarray, pair: np.ndarray, count, within: bool) -> np.ndarray:  # noqa: ANN001
     """ln S of each word: the share of the pair among its first word's, else BACKOFF times the word's share of all.
 
-    count gives the corpus counts of an array of n-grams. A word that the corpus lacks counts as one.
+    count gives the corpus counts of an array of n-grams. within: the document is part of the corpus, and its own
+    counts are taken off. A word that the corpus lacks counts as one.
     """
-    n_pair, n_before = count(pair), count(before)
-    alone = BACKOFF * np.maximum(count(w), 1) / max(1, count(np.array([_TOTAL]))[0])
+    n_pair, n_before, n_word, n_all = count(pair), count(before), count(w), count(np.array([_TOTAL]))[0]
+    if within:
+        own = _own(w)
+        n_pair, n_word, n_before, n_all = n_pair - _own(pair), n_word - own, n_before - np.append(1, own[:-1]), n_all - len(w)
+    alone = BACKOFF * np.maximum(n_word, 1) / max(1, n_all)
     return np.log(np.where((n_pair > 0) & (n_before > 0), n_pair / np.maximum(n_before, 1), alone))
 
 
@@ -81,11 +97,18 @@ def _unpack(packed: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
-def _parts(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """part, doc_id, text: rows in a part lie together in one input partition."""
+def _size(docs: DataFrame, text_col: str) -> tuple[int, int]:
+    """Bytes of text, and rows."""
+    found = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0)), F.count("*")).first()
+    return found[0], found[1]
+
+
+def _parts(docs: DataFrame, id_col: str, text_col: str, part: int) -> DataFrame:
+    """part, doc_id, text: as many parts as the texts' bytes ask for. A row's part depends on its content alone, so that it's the same when a lost task runs again."""
+    size, rows = _size(docs, text_col)
+    n = max(1, -(-size // part), -(-rows // ROWS))
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    row = F.monotonically_increasing_id()
-    return df.withColumn("part", row - row % size)
+    return df.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)))
 
 
 ENTRIES = "part long, bucket int, grams binary, counts binary, asks boolean"
@@ -130,13 +153,15 @@ def _answers(entries: DataFrame) -> DataFrame:
 def score(docs: DataFrame, corpus: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", buckets: int | None = None, part: int = PART) -> DataFrame:
     """doc_id, n_words, log_score (the sum of ln S over the words) and mean_log_score of each row of docs.
 
-    The counts are those of corpus, by default docs itself. Texts without a word, null ones included, score 0.0
+    The counts are those of corpus, by default docs itself, each document's own left out. Texts without a word, null ones included, score 0.0
     and have a null mean. Repeated rows stay repeated and count each time; other columns are ignored.
     """
     spark = docs.sparkSession
-    buckets = buckets or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = _size(docs if corpus is None else corpus, text_col)[0]
+    buckets = buckets or max(2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET))
     parts = _parts(docs, id_col, text_col, part)
-    entries = _entries(parts, buckets, counted=corpus is None, asks=True)
+    within = corpus is None
+    entries = _entries(parts, buckets, counted=within, asks=True)
     if corpus is not None:
         entries = entries.unionByName(_entries(_parts(corpus, id_col, text_col, part), buckets, counted=True, asks=False))
 
@@ -148,7 +173,7 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, id_col: str = "doc_i
         for text in mine["text"].to_pylist():
             grams = ngrams(text)
             n.append(len(grams[0]))
-            sums.append(float(score_words(*grams, count).sum()) if n[-1] else 0.0)
+            sums.append(float(score_words(*grams, count, within).sum()) if n[-1] else 0.0)
         return pa.table({"doc_id": mine["doc_id"], "n_words": pa.array(n, pa.int64()), "log_score": pa.array(sums, pa.float64())})
 
     id_kind = docs.select(id_col).schema[0].dataType.simpleString()
@@ -157,6 +182,6 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, id_col: str = "doc_i
 
 
 def op9_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's score by the bigram counts of all documents, to six decimals, which the order of summing can't change."""
+    """Every document's score by the bigram counts of all other documents, to six decimals, which the order of summing can't change."""
     found = score(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", *[F.round(c, 6).alias(c) for c in ("log_score", "mean_log_score")])
