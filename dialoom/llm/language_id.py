@@ -16,13 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, each, remainder, table
+from .common import each, remainder, table
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
-_LETTER = re.compile(r"[^\W\d_]")
+#: What may be a letter; the few marks and numbers among it are told by isalpha.
+_LETTER = re.compile(r"[^\W\d_]+")
 #: Characters that are hashed at once, so that a long text takes no more memory.
 _PIECE = 1 << 18
 
@@ -54,7 +55,7 @@ class Model:
 
     def predict_text(self, text: str | None) -> tuple[str, float]:
         """The likeliest language and its posterior; (und, 0.0) for a null text, one without a letter or an empty model."""
-        if not text or not self.languages or not _LETTER.search(text):
+        if not text or not self.languages or not any(any(map(str.isalpha, m.group())) for m in _LETTER.finditer(text)):
             return UNKNOWN, 0.0
         total = self.prior.copy()
         for buckets in ngram_buckets(text):
@@ -63,10 +64,11 @@ class Model:
         return self.languages[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = 12_000, smoothing: float = 0.05) -> Model:
-    """Learns from a sample of at most about max_rows rows that have a text and a language (all, if fewer).
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = 3_000, max_languages: int = 256, smoothing: float = 0.05) -> Model:
+    """Learns from a sample of at most about max_rows rows of each language (all, if fewer) that have a text.
 
-    The counts are summed in Spark; what the driver gets has at most BUCKETS rows for each language.
+    Of more than max_languages languages the commonest are learnt, the smaller name first on a tie, which bounds the
+    matrix. The counts are summed in Spark; what the driver gets has at most BUCKETS rows for each language.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
@@ -83,7 +85,11 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(n[at])], ["lang", "bucket", "n"])
 
-    sample = bounded_sample(known, F.col("doc_id"), max_rows).select("text", "lang")
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    share = {r.lang: int((1 << 30) * min(1.0, 0.9 * max_rows / r.n)) if r.n > max_rows else 1 << 30 for r in sizes}
+    least = F.create_map(*[F.lit(x) for pair in share.items() for x in pair]) if share else F.create_map(F.lit(""), F.lit(0))
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < F.coalesce(F.try_element_at(least, F.col("lang")), F.lit(0))
+    sample = known.where(drawn).select("text", "lang")
     got = sample.mapInArrow(counts, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(set(got.column("lang").to_pylist()))
     n = np.zeros((BUCKETS + 1, len(languages)))

@@ -16,7 +16,7 @@ _FAILED = {
     "repeated_windows": "100 * n_repeat_words > 50 * n_words",
     "symbols": "10 * n_symbols > n_words",
     "shouting": "10 * n_upper_words > 3 * n_words",
-    "few_distinct_words": "10 * n_distinct_words < n_words AND n_words < 5000",
+    "few_distinct_words": "n_distinct_words * n_distinct_words < 9 * n_words",
     "long_words": "word_chars > 20 * n_words",
     "short_words": "2 * word_chars < 4 * n_words",
 }
@@ -51,15 +51,20 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN
     refers_to, (CASE WHEN refers_to IS NULL THEN greatest(1, ceil(n / 65536)) ELSE 1 END)::INT AS chunks, true AS intact FROM k
 """
 
-#: All that a document holds is in the corpus, so that no word backs off.
+#: Counts of all documents less the scored document's own.
 STUPID_BACKOFF = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
 w AS (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT r, regexp_extract_all(text, '{_WORD}+') AS ws FROM d)),
 b AS (SELECT r, w, lag(w) OVER (PARTITION BY r ORDER BY i) AS prev FROM w),
-one AS (SELECT w AS prev, count(*) AS n FROM w GROUP BY 1 UNION ALL SELECT NULL, count(DISTINCT r) FROM w),
+one AS (SELECT w, count(*) AS n FROM w GROUP BY 1 UNION ALL SELECT NULL, count(DISTINCT r) FROM w),
+own_one AS (SELECT r, w, count(*) AS n FROM w GROUP BY 1, 2 UNION ALL SELECT r, NULL, 1 FROM w GROUP BY 1),
 two AS (SELECT prev, w, count(*) AS n FROM b GROUP BY 1, 2),
-s AS (SELECT two.prev, two.w, ln(two.n / one.n) AS s FROM two JOIN one ON two.prev IS NOT DISTINCT FROM one.prev),
-x AS (SELECT r, count(*)::BIGINT AS n_words, sum(s) AS score FROM b JOIN s ON b.w = s.w AND b.prev IS NOT DISTINCT FROM s.prev GROUP BY 1)
+own_two AS (SELECT r, prev, w, count(*) AS n FROM b GROUP BY 1, 2, 3),
+a AS (SELECT r, count(*) AS own_all, sum(count(*)) OVER () AS n_all FROM w GROUP BY 1),
+c AS (SELECT ot.r, ot.n AS times, two.n - ot.n AS n_pair, p.n - op.n AS n_before, greatest(q.n - oq.n, 1) AS n_word, greatest(n_all - own_all, 1) AS n_rest
+    FROM own_two ot JOIN two ON two.w = ot.w AND two.prev IS NOT DISTINCT FROM ot.prev JOIN one p ON p.w IS NOT DISTINCT FROM ot.prev JOIN own_one op ON op.r = ot.r AND op.w IS NOT DISTINCT FROM ot.prev
+    JOIN one q ON q.w = ot.w JOIN own_one oq ON oq.r = ot.r AND oq.w = ot.w JOIN a ON a.r = ot.r),
+x AS (SELECT r, sum(times)::BIGINT AS n_words, sum(times * ln(CASE WHEN n_pair > 0 AND n_before > 0 THEN n_pair / n_before ELSE 0.4 * n_word / n_rest END)) AS score FROM c GROUP BY 1)
 SELECT doc_id, coalesce(n_words, 0) AS n_words, round(coalesce(score, 0.0), 6) AS log_score, round(score / n_words, 6) AS mean_log_score
 FROM d LEFT JOIN x USING (r)
 """

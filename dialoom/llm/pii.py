@@ -30,10 +30,12 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_SECRET = re.compile(r"[\w-]{0,20}[\"']?[ \t]*[:=][ \t]*[\"']?([A-Za-z0-9_+/=.-]{16,})")
-_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
-_ACCOUNT = re.compile(r"\w{0,8}\.?[ \t]*(?:no|nr|number)?\.?[ \t]*[:=#]?[ \t]*([0-9](?:[ -]?[0-9]){7,15})(?![0-9])", re.I)
+_SECRET = re.compile(r"[\w-]*[\"']?[ \t]*[:=][ \t]*[\"']?([A-Za-z0-9_+/=.-]{16,})")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+_LINE = re.compile(r"[^\n]*")
+_ACCOUNT = re.compile(r"\w*\.?[ \t]*(?:no|nr|number)?\.?[ \t]*[:=#]?[ \t]*([0-9](?:[ -]?[0-9]){7,15})(?![0-9])", re.I)
 _LOGIN = re.compile(r"[^\s/@:]+:[^\s/@]+@[A-Za-z0-9.-]+(?::[0-9]+)?")
+_CASES = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
 
@@ -113,8 +115,11 @@ class _Secret(_Anchored):
 
 class _Iban(_Anchored):
     def at(self, start: int, after: int) -> None:
-        m = _IBAN.search(self.text, after, after + 48)
-        if after >= self.end and m:
+        """All numbers from the cue to the end of its line; what fails the check isn't one, and the search goes on within it."""
+        at = max(after, self.end)
+        stop = _LINE.match(self.text, at).end()
+        while m := _IBAN.search(self.text, at, stop):
+            at = m.start() + 4
             value = m.group().replace(" ", "")
             for size in range(min(34, len(value)), 14, -1):  # words after the number may look like part of it
                 if int("".join(str(int(c, 36)) for c in value[4:size] + value[:4])) % 97 == 1:
@@ -123,7 +128,9 @@ class _Iban(_Anchored):
                         size -= self.text[end] != " "
                         end += 1
                     self.add(m.start(), end, True)
+                    at = end
                     break
+        self.end = max(self.end, stop)  # a further cue in the line has nothing left to find
 
 
 class _Account(_Anchored):
@@ -139,7 +146,7 @@ class _Login(_Anchored):
 
 
 _PARSERS: dict[str, Callable[[str], _Anchored]] = dict(zip(BASE + MORE, (_Email, _Ip, _Card, _Phone, _Secret, _Iban, _Account, _Login)))
-#: Anchors of each kind. Cues come in lower case, capitalised and in capitals.
+#: Anchors of each kind. Cues and schemes are looked for in the text in lower case.
 _CUES = {"secret": ("token", "secret", "password", "passwd", "api_key", "apikey", "api key", "access_key"), "iban": ("iban",), "account": ("account", "acct", "konto")}
 _SCHEMES = ("http://", "https://", "ftp://", "ssh://", "postgres://", "mysql://", "mongodb://", "redis://")
 
@@ -153,7 +160,7 @@ def _anchors() -> Iterator[tuple[str, str]]:
             for sep in ("", " ", "-"):
                 yield f"{a}{sep}{b}", "card"
     for kind, cues in _CUES.items():
-        for cue in {form for c in cues for form in (c, c.capitalize(), c.upper())}:
+        for cue in cues:
             yield cue, kind
     for scheme in _SCHEMES:
         yield scheme, "login"
@@ -168,10 +175,16 @@ def _automaton() -> ahocorasick.Automaton:
     return machine
 
 
+def _lower(text: str) -> str:
+    """The text in lower case, every character in its place: A-Z alone where lower() would change the length."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_CASES)
+
+
 def find(text: str | None) -> dict[str, list[Span]]:
     """Spans (code points, end exclusive) of each kind in a whole text; kinds without one are missing."""
     parsers: dict[str, _Anchored] = {}
-    for last, (size, kind) in _automaton().iter(text or ""):
+    for last, (size, kind) in _automaton().iter(_lower(text or "")):
         if kind not in parsers:
             parsers[kind] = _PARSERS[kind](text)
         parsers[kind].at(last + 1 - size, last + 1)

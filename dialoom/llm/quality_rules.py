@@ -65,13 +65,13 @@ def measures(text: Column) -> Column:
     return F.arrow_udf(of, MEASURES_DDL)(text)
 
 
-#: Name -> the column that is true where the rule fails. A rule's place is its bit for good: append only.
+#: Name -> the column that is true where the rule fails. Distinct words grow about with the root of a text's length. A rule's place is its bit for good: append only.
 RULES: dict[str, Callable[[Callable[[str], Column]], Column]] = {
     "short": lambda m: m("n_words") < 50,
     "repeated_windows": lambda m: 100 * m("n_repeat_words") > 50 * m("n_words"),
     "symbols": lambda m: 10 * m("n_symbols") > m("n_words"),
     "shouting": lambda m: 10 * m("n_upper_words") > 3 * m("n_words"),
-    "few_distinct_words": lambda m: (10 * m("n_distinct_words") < m("n_words")) & (m("n_words") < 5000),
+    "few_distinct_words": lambda m: m("n_distinct_words") * m("n_distinct_words") < 9 * m("n_words"),
     "long_words": lambda m: m("word_chars") > 20 * m("n_words"),
     "short_words": lambda m: 2 * m("word_chars") < 4 * m("n_words"),
 }

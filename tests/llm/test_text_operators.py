@@ -1,6 +1,7 @@
 """Operators on single texts against plain versions of what they compute."""
 
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -76,6 +77,96 @@ def test_language_id_held_out(spark, odd, empty):
     assert {r.lang_pred for r in language_id.identify(odd, nothing).collect()} == {"und"}
 
 
+def test_text_without_a_letter_is_undetermined(documents):
+    model = language_id.fit(documents)
+    assert model.predict_text("½ ² ① Ⅷ 12") == ("und", 0.0)
+    assert model.predict_text("½ a")[0] != "und"
+
+
+def test_language_model_is_plain_naive_bayes(documents):
+    rows = [(r.text, r.lang) for r in documents.collect() if r.lang and r.text]
+    model = language_id.fit(documents)
+    count, n = {}, Counter(lang for _, lang in rows)
+    for text, lang in rows:
+        letters = f" {re.sub(r'[^a-zA-ZÀ-ɏͰ-￿]+', ' ', text.lower()).strip()} "
+        count.setdefault(lang, Counter()).update(np.concatenate(list(language_id.ngram_buckets(letters))).tolist())
+    for text, _ in rows[::40]:
+        grams = np.concatenate(list(language_id.ngram_buckets(text))).tolist()
+        score = {}
+        for lang, c in count.items():
+            total = sum(c.values()) + 0.05 * language_id.BUCKETS
+            score[lang] = math.log(n[lang] / len(rows)) + sum(math.log((c[g] + 0.05) / total) for g in grams)
+        assert model.predict_text(text)[0] == max(sorted(score), key=score.get)
+
+
+def test_ftrl_against_plain_updates():
+    texts, labels = ["good clean prose of words", "BUY $$$ now now", "more prose of a kind", "$$$ $$$ win"] * 3, [1, 0, 1, 0] * 3
+    z, n, w = Counter(), Counter(), {}
+    alpha, beta, l1, l2 = 2.0, 1.0, 0.02, 0.01
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for _ in range(4):
+        for text, y in zip(texts, labels):
+            x = {i: c / len(text.split()) for i, c in Counter(np.concatenate(list(quality_classifier.features(text))).tolist()).items()} | {0: 1.0}
+            w = {i: weight(i) for i in x}
+            g = 1 / (1 + math.exp(-sum(w[i] * v for i, v in x.items()))) - y
+            for i, v in x.items():
+                step = (math.sqrt(n[i] + (g * v) ** 2) - math.sqrt(n[i])) / alpha
+                z[i] += g * v - step * w[i]
+                n[i] += (g * v) ** 2
+    got = quality_classifier.train(texts, labels)
+    assert {i: pytest.approx(weight(i), abs=1e-6) for i in z} == {i: float(got[i]) for i in z}
+    assert np.count_nonzero(got) <= len(z)
+
+
+def test_few_distinct_words_at_any_length(spark):
+    text = lambda n, v: " ".join(f"word{i * i % v}" for i in range(n))
+    docs = spark.createDataFrame([(n, text(n, 60)) for n in (4999, 5001, 20_000)], "doc_id long, text string")
+    bit = 1 << list(quality_rules.RULES).index("few_distinct_words")
+    assert all(r.fail_bits & bit for r in quality_rules.ledger(docs).collect())
+
+
+def test_far_values_and_cases_of_cues():
+    text = "IBAN of the account holder's own bank: FR14 2004 1010 0505 0001 3M02 606\nIBAN of the beneficiary: MT84 MALT 0110 0001 2345 MTLC AST0 01S"
+    assert [text[s:e] for s, e in pii.find(text)["iban"]] == ["FR14 2004 1010 0505 0001 3M02 606", "MT84 MALT 0110 0001 2345 MTLC AST0 01S"]
+    text = "iban AB12 CDEF 1234 5678 9012 then DE89 3704 0044 0532 0130 00; API key_of_a_very_long_name_indeed: abcdefgh12345678 HTTPS://user:pass@host.example"
+    found = pii.find(text)
+    assert [text[s:e] for s, e in found["iban"]] == ["DE89 3704 0044 0532 0130 00"]
+    assert [text[s:e] for s, e in found["secret"]] == ["abcdefgh12345678"] and "login" in found
+    long = "x " * 300_000 + "a@b.de İ " + "y" * 100_000
+    assert pii.find(long)["email"] == [(600_000, 600_006)]
+
+
+def test_sentencepiece_slices_and_unknown_pieces(monkeypatch, library):
+    one = sentencepiece_codec.codec(sentencepiece_codec.MODEL)
+    text = ("The quick  brown 日本 fox   jumps \U0001f600 " * 40).strip()
+    monkeypatch.setattr(sentencepiece_codec, "_SLICE", 50)
+    ids, _, spans = one.encode(text)
+    assert ids == library.encode(text) and spans[-1, 1] == len(text.encode()) and (spans[1:, 0] == spans[:-1, 1]).all()
+    raw = text.encode()
+    for i, (a, b) in zip(ids, spans.tolist()):  # every piece's name is what stands in its place
+        name = library.id_to_piece(i)
+        assert library.is_byte(i) and name == f"<0x{raw[a]:02X}>" and b == a + 1 or name.replace("▁", " ").lstrip() == raw[a:b].decode().lstrip()
+
+
+def test_sentencepiece_spans_of_an_unknown_piece(monkeypatch):
+    one = sentencepiece_codec.Codec(sentencepiece_codec.MODEL)
+
+    class Bare:  # a library without byte pieces: what it lacks is unknown
+        def encode(self, part, out_type=int, **_):
+            pieces = re.findall("[a-z▁]+|[^a-z▁]+", part)
+            return pieces if out_type is str else [5 if p.isascii() or "▁" in p else 0 for p in pieces]
+
+        def is_byte(self, i):
+            return False
+
+    monkeypatch.setattr(one, "bare", Bare())
+    monkeypatch.setattr(one, "unknown", 0)
+    assert one.encode("ab日本")[2].tolist() == [[0, 2], [2, 8]]
+
+
 def test_language_scores_do_not_depend_on_pieces(monkeypatch, documents):
     model = language_id.fit(documents)
     text = documents.first().text
