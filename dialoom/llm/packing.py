@@ -62,28 +62,40 @@ class WordTokenizer:
             if text:
                 self.characters[i] = byte_level.pre_tokenize_str(text)[0][0][0]
 
-    def _plain(self, word: bytes) -> str | None:
-        """A word of lower-case letters in composed form, as the merges take it; None for any other word."""
-        text = word.decode()
-        if not text.isalpha():
-            return None
-        if text.isascii():
-            return text if text.islower() else None
-        return word.decode("latin-1").translate(self.characters) if text == text.lower() and is_normalized("NFC", text) else None
+    def _core(self, core: bytes) -> bytes | None:
+        """The ids of a word of lower-case letters in composed form, which goes to the merges directly; None for any other."""
+        if core.isalpha() and core.islower():  # of ASCII alone
+            plain = core.decode()
+        else:
+            text = core.decode()
+            if not text.isalpha() or text != text.lower() or not is_normalized("NFC", text):
+                return None
+            plain = core.decode("latin-1").translate(self.characters)
+        return array("I", [t.id for t in self.merges(plain)]).tobytes()
 
     def _learn(self, word: bytes) -> bytes:
-        """A word's ids, which are remembered; a word and the marks after it are remembered apart too, as many words share them."""
-        packed = self.memory.find(word)
+        """A word's ids. What is remembered of a word with marks at its end is its core, at first, as many words share it."""
+        memory = self.memory
+        packed = memory.older.get(word)
         if packed is None:
             core = word.rstrip(_MARKS)
-            plain = self._plain(core)
-            if plain is None:
-                packed = self._whole(word)
-            elif len(core) < len(word):
-                packed = self._learn(core) + self._learn(word[len(core) :])
+            if len(core) == len(word):
+                packed = self._core(word) or self._whole(word)
+            elif (ids := memory.find(core)) is not None and core.decode().isalpha():
+                packed = ids + self._marks(word[len(core) :])
+            elif core and (ids := self._core(core)) is not None:
+                memory.keep(core, ids)
+                return ids + self._marks(word[len(core) :])
             else:
-                packed = array("I", [t.id for t in self.merges(plain)]).tobytes()
-            self.memory.keep(word, packed)
+                packed = self._whole(word)
+        memory.keep(word, packed)
+        return packed
+
+    def _marks(self, marks: bytes) -> bytes:
+        packed = self.memory.find(marks)
+        if packed is None:
+            packed = self._whole(marks)
+            self.memory.keep(marks, packed)
         return packed
 
     def _whole(self, word: bytes) -> bytes:
@@ -170,7 +182,7 @@ def _best_configuration(sizes: list[int], counts: list[int], first: int, room: i
 
 #: Group counts and the lengths, as parts of the capacity, from which pieces count as large. With none of the lengths
 #: large the whole plan is best fit in falling order of length, so that no plan is worse than that.
-PLANS = ((256, 16), (1024, 16), (1024, 4), (1, 1))
+PLANS = ((256, 16), (1024, 16), (1, 1))
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> np.ndarray:
