@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Recent, table
+from .common import Recent, each, table
 
 BACKOFF = 0.4
 #: Bytes of text in a part, and rows at most, about.
@@ -52,7 +52,7 @@ def ngrams(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     known = list(map(_words.known.get, words))
     if None in known:
         known = [_hash(x) if h is None else h for x, h in zip(words, known)]
-    w = np.array(known, np.uint64)
+    w = np.fromiter(known, np.uint64, len(known))
     before = np.append(_START, w[:-1]) if len(w) else w
     return w, before, _mix(before * np.uint64(0x9E3779B97F4A7C15) + _mix(w))
 
@@ -67,22 +67,25 @@ def _counts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(keys, at, more), np.insert(count, at, often)
 
 
-def _own(grams: np.ndarray) -> np.ndarray:
-    """How often each n-gram stands in its own document."""
-    _, at, n = np.unique(grams, return_inverse=True, return_counts=True)
-    return n[at]
+def _own(places: np.ndarray, scratch: np.ndarray) -> np.ndarray:
+    """How often each n-gram stands in its own document; scratch has a number for each n-gram of the part."""
+    scratch[places] = 0
+    np.add.at(scratch, places, 1)
+    return scratch[places]
 
 
-def score_words(w: np.ndarray, before: np.ndarray, pair: np.ndarray, count, within: bool) -> np.ndarray:  # noqa: ANN001
+def score_words(w: np.ndarray, pair: np.ndarray, totals: np.ndarray, n_texts: int, n_all: int, scratch: np.ndarray | None) -> np.ndarray:
     """ln S of each word: the share of the pair among its first word's, else BACKOFF times the word's share of all.
 
-    count gives the corpus counts of an array of n-grams. within: the document is part of the corpus, and its own
-    counts are taken off. A word that the corpus lacks counts as one.
+    w and pair are the places of a document's words and pairs in totals, the corpus counts; n_texts counts the first
+    words, n_all all words. With scratch the document is part of the corpus, and its own counts are taken off. A word
+    that the corpus lacks counts as one.
     """
-    n_pair, n_before, n_word, n_all = count(pair), count(before), count(w), count(np.array([_TOTAL]))[0]
-    if within:
-        own = _own(w)
-        n_pair, n_word, n_before, n_all = n_pair - _own(pair), n_word - own, n_before - np.append(1, own[:-1]), n_all - len(w)
+    n_pair, n_word = totals[pair], totals[w]
+    n_before = np.append(n_texts, n_word[:-1])
+    if scratch is not None:
+        own = _own(w, scratch)
+        n_pair, n_word, n_before, n_all = n_pair - _own(pair, scratch), n_word - own, n_before - np.append(1, own[:-1]), n_all - len(w)
     alone = BACKOFF * np.maximum(n_word, 1) / max(1, n_all)
     return np.log(np.where((n_pair > 0) & (n_before > 0), n_pair / np.maximum(n_before, 1), alone))
 
@@ -166,14 +169,19 @@ def score(docs: DataFrame, corpus: DataFrame | None = None, id_col: str = "doc_i
         entries = entries.unionByName(_entries(_parts(corpus, id_col, text_col, part), buckets, counted=True, asks=False))
 
     def of(mine: pa.Table, answers: pa.Table) -> pa.Table:
-        keys, _ = _counts(mine["text"].to_pylist())  # as they were sent; buckets are slices of them in order
+        grams = [ngrams(t) for t in each(mine["text"])]
+        n = [len(w) for w, _, _ in grams]
+        keys, places = np.unique(np.concatenate([x for w, _, pair in grams for x in (w, pair)]), return_inverse=True)
+        del grams
         totals = np.concatenate([_unpack(x, "<i8") for x in answers.sort_by("bucket")["totals"].to_pylist()])
-        count = lambda grams: totals[np.searchsorted(keys, grams)]
-        n, sums = [], []
-        for text in mine["text"].to_pylist():
-            grams = ngrams(text)
-            n.append(len(grams[0]))
-            sums.append(float(score_words(*grams, count, within).sum()) if n[-1] else 0.0)
+        marks = np.searchsorted(keys, [_START, _TOTAL]) + [0, 1]  # as _counts puts them among the n-grams that were sent
+        (n_texts, n_all), totals = totals[marks].tolist(), np.delete(totals, marks)
+        scratch = np.zeros(len(keys), np.int64) if within else None
+        sums, at = [], 0
+        for size in n:
+            w, pair = places[at : at + size], places[at + size : at + 2 * size]
+            sums.append(float(score_words(w, pair, totals, n_texts, n_all, scratch).sum()) if size else 0.0)
+            at += 2 * size
         return pa.table({"doc_id": mine["doc_id"], "n_words": pa.array(n, pa.int64()), "log_score": pa.array(sums, pa.float64())})
 
     id_kind = docs.select(id_col).schema[0].dataType.simpleString()
