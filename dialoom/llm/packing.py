@@ -68,8 +68,12 @@ class WordTokenizer:
             plain = core.decode()
         else:
             text = core.decode()
-            if not text.isalpha() or text != text.lower() or not is_normalized("NFC", text):
+            if not text.isalpha() or not is_normalized("NFC", text):
                 return None
+            if text != (low := text.lower()):
+                if len(low) != len(text) or "Σ" in text:  # where lower() may differ from the vocabulary's rule
+                    return None
+                core = low.encode()
             plain = core.decode("latin-1").translate(self.characters)
         return array("I", [t.id for t in self.merges(plain)]).tobytes()
 
@@ -78,8 +82,9 @@ class WordTokenizer:
         memory = self.memory
         packed = memory.older.get(word)
         if packed is None:
-            core = word.rstrip(_MARKS)
-            if len(core) == len(word):
+            if word.isalpha() and word.islower():  # the common case first: letters of ASCII
+                packed = array("I", [t.id for t in self.merges(word.decode())]).tobytes()
+            elif (core := word.rstrip(_MARKS)) == word:
                 packed = self._core(word) or self._whole(word)
             elif (ids := memory.find(core)) is not None and core.decode().isalpha():
                 packed = ids + self._marks(word[len(core) :])
