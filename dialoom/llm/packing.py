@@ -15,21 +15,25 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
+from collections.abc import Iterator
 from functools import lru_cache
 from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Recent, cut, each, public_vocabulary, table
+from .common import Recent, cut, public_vocabulary, table
 
 VOCABULARY = public_vocabulary("word_bpe_49k.json")
 CAPACITY = 4096
 END = 1
 #: Bytes of words and ids that a worker remembers, twice: those of late and those of before.
 REMEMBER = 110_000_000
+#: Bytes of text whose words are looked up together; a longer text is a slice of its own.
+SLICE = 4 << 20
 #: Rows of one length that a task ranks, about.
 RANKED = 1_000_000
 _MARKS = string.punctuation.encode()
@@ -108,13 +112,30 @@ class WordTokenizer:
 
     def encode(self, text: str | None) -> bytes:
         """A text's ids as little-endian unsigned 32-bit numbers."""
-        raw = (text or "").encode("utf-8", "replace")
-        words = (raw if b"<|" in raw else raw.lower()).split()  # special tokens are in lower case alone
-        parts = list(map(self.memory.known.get, words))
-        if None in parts:
-            learn = self._learn
-            parts = [learn(w) if x is None else x for w, x in zip(words, parts)]
-        return b"".join(parts)
+        return next(self.encode_all(pa.array([(text or "").encode("utf-8", "replace").decode()])))
+
+    def encode_all(self, texts: pa.Array) -> Iterator[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit numbers; none for null.
+
+        A slice of the texts asks once for each of its distinct words, and Arrow writes their ids out in the words' places.
+        """
+        sizes = pc.binary_length(texts).fill_null(0).to_numpy(False)
+        slices = (np.cumsum(sizes, dtype=np.int64) - sizes) // SLICE
+        firsts = np.flatnonzero(np.diff(slices, prepend=-1)).tolist()
+        for first, end in zip(firsts, [*firsts[1:], len(texts)]):
+            part = texts.slice(first, end - first).fill_null("")
+            low = pc.if_else(pc.match_substring(part, "<|"), part, pc.ascii_lower(part))  # special tokens are in lower case alone
+            words = pc.ascii_split_whitespace(low)
+            coded = words.values.dictionary_encode()
+            distinct = coded.dictionary.cast(pa.large_binary()).to_numpy(False).tolist()
+            ids = list(map(self.memory.known.get, distinct))
+            if None in ids:
+                learn = self._learn
+                ids = [learn(w) if x is None else x for w, x in zip(distinct, ids)]
+            _, ends, packed = pa.array(ids, pa.large_binary()).take(coded.indices).buffers()
+            packed = packed.to_pybytes() if packed else b""
+            bounds = np.frombuffer(ends, np.int64)[words.offsets.to_numpy()].tolist()
+            yield from (packed[a:b] for a, b in zip(bounds, bounds[1:]))
 
 
 @lru_cache(maxsize=4)
@@ -132,8 +153,8 @@ def pieces(text: Column, vocabulary: str = VOCABULARY, capacity: int = CAPACITY,
 
     def of(texts: pa.Array) -> pa.Array:
         one, rows = tokenizer(vocabulary, remember), []
-        for text in each(texts):
-            ids = one.encode(text) + END.to_bytes(4, "little")
+        for ids in one.encode_all(texts):
+            ids += END.to_bytes(4, "little")
             parts = [(at, ids[at : at + step]) for at in range(0, len(ids), step)]
             rows.append([{"piece": i, "start": at // 4, "length": len(x) // 4, "ids_crc32": zlib.crc32(x), "ids": x if keep_ids else None} for i, (at, x) in enumerate(parts)])
         return pa.array(rows, kind)

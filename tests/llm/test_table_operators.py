@@ -10,6 +10,7 @@ from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -291,6 +292,18 @@ def test_packing_of_odd_rows(odd, empty):
     assert packing.pack(packing.tokenise(empty)).count() == 0
 
 
+def test_word_ids_of_slices(monkeypatch):
+    tokenizer, one = Tokenizer.from_file(packing.VOCABULARY), packing.WordTokenizer(packing.VOCABULARY, 20_000)
+    texts = ["", None, " \t", "Ab  ab\x0b\x0cAB,\x85ab\x1cc\n", "<|endoftext|> A <|x", "É é é Σς ΑΣ", "x" * 5000, "a b " * 4000, *(f"w{i} {i}, É{i}é" for i in range(500))]
+    for size in (1, 50, 4 << 20):
+        monkeypatch.setattr(packing, "SLICE", size)
+        for kind in (pa.string(), pa.large_string()):
+            got = list(one.encode_all(pa.array(["cut off", *texts], kind).slice(1)))
+            assert [np.frombuffer(x, "<u4").tolist() for x in got] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert list(one.encode_all(pa.array([], pa.string()))) == [] and list(one.encode_all(pa.array([None], pa.string()))) == [b""]
+
+
+
 def test_packing_of_a_length_in_many_parts(spark, monkeypatch):
     monkeypatch.setattr(packing, "RANKED", 10)
     df = spark.range(3000).selectExpr("id as doc_id", "0 as piece", "0L as start", "if(id % 3 = 0, 700L, id % 90 + 1) as length")
