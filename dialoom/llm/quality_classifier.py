@@ -23,20 +23,22 @@ _CORE = re.compile(r"\w(?:.*\w)?", re.S)
 _SAME, _UPPER, _FEW = 1, 2, 3
 #: Words that are looked up at once, so that a long text takes no more memory.
 _PIECE = 1 << 17
-#: Words that a worker remembers the features of.
-_REMEMBER = 100_000
+#: Words that a worker remembers the features of, and the characters of the longest that it does.
+_REMEMBER, _LONGEST = 100_000, 64
 
 
 class _Words(dict):
-    """word -> core bucket | marks bucket << 20 | upper << 40; forgets all when full."""
+    """word -> core bucket | marks bucket << 20 | upper << 40; forgets all when full, and long words at once."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= _REMEMBER:
-            self.clear()
         found = _CORE.search(word)
         core, marks = (found.group(), word[: found.start()] + " " + word[found.end() :]) if found else ("", word)
         bucket = lambda kind, x: 4 + xxhash.xxh64_intdigest(f"{kind}{x}".encode("utf-8", "replace")) % ((1 << BITS) - 4)
-        self[word] = value = bucket("w", core.lower()) | (bucket("m", marks) if marks.strip() else 0) << 20 | (len(core) > 1 and core.isupper()) << 40
+        value = bucket("w", core.lower()) | (bucket("m", marks) if marks.strip() else 0) << 20 | (len(core) > 1 and core.isupper()) << 40
+        if len(word) <= _LONGEST:
+            if len(self) >= _REMEMBER:
+                self.clear()
+            self[word] = value
         return value
 
 

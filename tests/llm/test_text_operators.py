@@ -197,6 +197,13 @@ def library():
     return sentencepiece.SentencePieceProcessor(model_file=sentencepiece_codec.MODEL)
 
 
+def test_quality_features_of_long_words_are_not_remembered():
+    words = quality_classifier._Words()
+    for word in ("a" * 64, "b" * 65, "Ж" * 9000, "b" * 65):
+        assert words[word] == quality_classifier._Words()[word]
+    assert list(words) == ["a" * 64]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab  \n\tthe▁é日\U0001f600\x00\x1c　<s>0x"), max_size=40))
 def test_sentencepiece_is_the_library(text):
