@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, each, remainder, table
+from .common import bounded_sample, cut, each, remainder, table
 
 BITS = 18
 _CORE = re.compile(r"\w(?:.*\w)?", re.S)
@@ -89,21 +89,25 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 4, alpha: fl
     return weight(np.arange(1 << BITS)).astype(np.float32)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 8_000, shards: int = 4) -> np.ndarray:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_rows: int = 8_000, shard: int = 2_000, epochs: int = 12) -> np.ndarray:
     """Trains on a sample of at most about max_rows labels of 0 or 1 (all, if fewer), with their documents' texts.
 
-    Only the sampled labels, whose number is bounded, are broadcast to the texts. Rows are dealt to a fixed
-    number of shards, each is trained in its own task, and the weights averaged; a task gets about
-    max_rows / shards rows, and the driver one weight vector from each shard. No label at all: weights of zero.
+    Only the sampled labels, whose number is bounded, are broadcast to the texts; rows that are repeated whole count
+    once, and of ids with many texts a sample of max_rows rows is taken again. Rows are dealt to shards of about
+    shard rows, each is trained in its own task, and the weights averaged: as few as that, since an average of models
+    of few rows each is pulled towards the commoner label. The driver gets one weight vector from each shard. No label
+    at all: weights of zero.
     """
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("y")).distinct()
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    rows = texts.join(F.broadcast(bounded_sample(known, F.col("doc_id"), max_rows)), "doc_id")
+    found = texts.join(F.broadcast(bounded_sample(known, F.col("doc_id"), max_rows)), "doc_id").distinct()
+    rows = bounded_sample(cut(found, "labelled"), F.xxhash64("doc_id", "text"), max_rows)
+    shards = max(1, -(-rows.count() // shard))
 
-    def one(shard: pa.Table) -> pa.Table:
-        order = shard.sort_by([("doc_id", "ascending"), ("text", "ascending"), ("y", "ascending")])
+    def one(part: pa.Table) -> pa.Table:
+        order = part.sort_by([("doc_id", "ascending"), ("text", "ascending"), ("y", "ascending")])
         mixed = order.take(np.random.default_rng(7).permutation(len(order)))
-        return pa.table({"w": [train(mixed["text"].to_pylist(), mixed["y"].to_pylist()).tobytes()], "n": [len(mixed)]})
+        return pa.table({"w": [train(mixed["text"].to_pylist(), mixed["y"].to_pylist(), epochs).tobytes()], "n": [len(mixed)]})
 
     got = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards))).groupBy("shard").applyInArrow(one, "w binary, n long").collect()
     if not got:

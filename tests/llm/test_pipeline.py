@@ -2,6 +2,7 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,6 +33,9 @@ def test_stages(spark):
     weights = quality_classifier.fit(kept["language_id"], quality_classifier.learnable(spark.read.parquet(f"{sf}/labels.parquet")))
     assert set(good) == {i for i, r in known.items() if quality_classifier.score_text(weights, r.text) >= corpus_pipeline.LEAST_QUALITY}
 
+    labelled = [i for i in known if labels.get(i) is not None]
+    assert np.mean([(i in good) == (labels[i] == 1) for i in labelled]) > 0.95
+
     classes = plain_components({i: plain_print(r.text) for i, r in good.items()})
     assert set(rows["simhash_near_dedup"]) == set(classes.values())
     assert len(rows["simhash_near_dedup"]) < len(good)
@@ -82,3 +86,18 @@ def test_quality_stage_on_odd_rows(spark, sf, odd):
     assert corpus_pipeline.keep_quality(spark, odd.limit(0), sf).count() == 0
     masked = corpus_pipeline.redact_personal_data(spark, odd, sf)
     assert masked.where(F.col("text").isNull()).count() == 1 and masked.count() == odd.count()
+
+
+def test_run_is_its_stages(spark, sf):
+    docs = corpus_pipeline.table(spark, sf, "documents")
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.cut(stage(spark, docs, sf), name)
+    place = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    got = corpus_pipeline.run(spark, sf)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.select(place).collect())) == sorted(map(tuple, docs.select(place).collect()))
+
+
+def test_quality_stage_without_a_label_keeps_all(spark, odd, tmp_path):
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    assert corpus_pipeline.keep_quality(spark, odd, str(tmp_path)).count() == odd.count()

@@ -185,6 +185,20 @@ def test_quality_classifier_held_out(spark, odd, empty):
     assert {r.score for r in quality_classifier.classify(odd, weights).collect()} == {0.5}
 
 
+def test_quality_of_every_learnt_label_where_labels_are_few(spark, sf):
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    rows = quality_classifier.op3_quality_classifier(spark, sf).join(labels, "doc_id").where("quality IS NOT NULL").collect()
+    assert {r.quality for r in rows} == {0, 1} and all(r.predicted == r.quality for r in rows)
+
+
+def test_quality_rows_of_one_id_are_bounded(spark):
+    good, bad = "a plain line of words that anyone may read at ease and with some joy too in the end of it all", "BUY $$$ now now " * 8
+    docs = spark.createDataFrame([(1, f"{good} {i}") for i in range(300)] + [(2, f"{bad} {i}") for i in range(300)] + [(1, good)] * 50, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    weights = quality_classifier.fit(docs, labels, max_rows=60, shard=30)
+    assert quality_classifier.score_text(weights, good) > 0.5 > quality_classifier.score_text(weights, bad)
+
+
 def test_quality_features_do_not_depend_on_pieces(monkeypatch):
     text = "One two, two THREE!! one | two two three " * 9
     whole = np.sort(np.concatenate(list(quality_classifier.features(text))))
