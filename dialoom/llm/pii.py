@@ -2,7 +2,8 @@
 
 One Aho-Corasick automaton finds the anchors: at-signs, pairs of digits as they stand in addresses and numbers,
 plus signs before digits, schemes with a login, and identifier cues. From an anchor a deterministic parser expands
-to the bounds that the kind's characters allow, and validates what stands there.
+to the bounds that the kind's characters allow, and validates what stands there. No parser reads a stretch of text
+more than a few times, whatever cues repeat in it, so that time is in proportion to a text's length.
 """
 
 from __future__ import annotations
@@ -27,13 +28,15 @@ _DIGITS = "0123456789"
 #: The characters that a match of a kind can consist of.
 _RUNS = {kind: (frozenset(chars), re.compile(f"[{chars}]+")) for kind, chars in {"ip": _DIGITS + ".", "card": _DIGITS + " -"}.items()}
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_SECRET = re.compile(r"[\w-]*[\"']?[ \t]*[:=][ \t]*[\"']?([A-Za-z0-9_+/=.-]{16,})")
+#: What may follow the word that a cue stands in, and the word's own end.
+_REST, _WORD = re.compile(r"[\w-]*+"), re.compile(r"\w*+")
+_SECRET = re.compile(r"[\"']?[ \t]*+[:=][ \t]*+[\"']?([A-Za-z0-9_+/=.-]{16,})")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 _LINE = re.compile(r"[^\n]*")
-_ACCOUNT = re.compile(r"\w*\.?[ \t]*(?:no|nr|number)?\.?[ \t]*[:=#]?[ \t]*([0-9](?:[ -]?[0-9]){7,15})(?![0-9])", re.I)
+_ACCOUNT = re.compile(r"\.?+[ \t]*+(?:no|nr|number)?+\.?+[ \t]*+[:=#]?+[ \t]*+([0-9](?:[ -]?[0-9]){7,15})(?![0-9])", re.I)
 _LOGIN = re.compile(r"[^\s/@:]+:[^\s/@]+@[A-Za-z0-9.-]+(?::[0-9]+)?")
 _CASES = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -106,9 +109,22 @@ class _Phone(_Anchored):
             self.add(*m.span(), 8 <= len(_digits(m.group())) <= 15)
 
 
-class _Secret(_Anchored):
+class _Cued(_Anchored):
+    """A kind whose values follow the word that a cue stands in: all cues of a word have the same value, so each word is looked at once."""
+
+    word_end = -1
+
+    def word(self, after: int, rest: re.Pattern) -> bool:
+        """Whether the word around a cue hasn't been dealt with; its end is word_end then."""
+        if after < self.end or after <= self.word_end:
+            return False
+        self.word_end = rest.match(self.text, after).end()
+        return True
+
+
+class _Secret(_Cued):
     def at(self, _: int, after: int) -> None:
-        if after >= self.end and (m := _SECRET.match(self.text, after)):
+        if self.word(after, _REST) and (m := _SECRET.match(self.text, self.word_end)):
             value = m.group(1)
             self.add(*m.span(1), any(c in _DIGITS for c in value) and any(c.isalpha() for c in value))
 
@@ -133,10 +149,16 @@ class _Iban(_Anchored):
         self.end = max(self.end, stop)  # a further cue in the line has nothing left to find
 
 
-class _Account(_Anchored):
+class _Account(_Cued):
     def at(self, _: int, after: int) -> None:
-        if after >= self.end and (m := _ACCOUNT.match(self.text, after)):
-            self.add(*m.span(1), True)
+        """The number after the cue's word, or the digits that the word itself ends in."""
+        if self.word(after, _WORD):
+            start = self.word_end
+            while start > after and self.text[start - 1] in _DIGITS:
+                start -= 1
+            m = _ACCOUNT.match(self.text, self.word_end) or start < self.word_end and _ACCOUNT.match(self.text, start)
+            if m:
+                self.add(*m.span(1), True)
 
 
 class _Login(_Anchored):

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -139,6 +140,36 @@ def test_far_values_and_cases_of_cues():
     assert pii.find(long)["email"] == [(600_000, 600_006)]
 
 
+def test_account_numbers_at_the_end_of_a_word():
+    of = lambda t: [t[s:e] for s, e in pii.find(t).get("account", ())]
+    assert of("account12345678") == ["12345678"] and of("account2 no. 1234 5678 x") == ["1234 5678"] and of("Konto-Nr 12345678") == []
+    assert of("acct.  number: 12345678") == of("Kontonummer 12345678") == of("account123 12345678") == ["12345678"]
+    assert of("account 1234567890 1234567890") == ["1234567890"] and of("account 1234567") == []
+
+
+@pytest.mark.parametrize("part", ["token", "konto", "account  ", "token-", "a@", "@", "1.", "1", "+1(", "iban ", "https://a:", "12 ", "AB12 ", "account no"])
+@pytest.mark.parametrize("head", ["", "account", "1.1", "iban", "+1", "token", "https://a:b"])
+def test_time_in_proportion_to_length(head, part):
+    """Four times the text takes no more than about four times the time: a quadratic parser would take 16 times, and far longer than this."""
+
+    def took(n):
+        text, best = head + part * n + "x", 9.0
+        for _ in range(3):
+            began = time.perf_counter()
+            pii.find(text)
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    assert took(20_000) < 9 * took(5_000) + 0.02
+
+
+def test_spaces_after_a_cue():
+    for cue in ("account", "token", "token:", "iban"):
+        began = time.perf_counter()
+        pii.find(cue + " " * 100_000 + "x")
+        assert time.perf_counter() - began < 1
+
+
 def test_sentencepiece_slices_and_unknown_pieces(monkeypatch, library):
     one = sentencepiece_codec.codec(sentencepiece_codec.MODEL)
     text = ("The quick  brown 日本 fox   jumps \U0001f600 " * 40).strip()
