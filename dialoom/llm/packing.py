@@ -90,7 +90,7 @@ class WordTokenizer:
                 packed = array("I", [t.id for t in self.merges(word.decode())]).tobytes()
             elif (core := word.rstrip(_MARKS)) == word:
                 packed = self._core(word) or self._whole(word)
-            elif (ids := memory.find(core)) is not None and core.decode().isalpha():
+            elif (ids := memory.find(core)) is not None and core.decode().lower().isalpha():  # İ in lower case ends in a mark, which joins those after it
                 packed = ids + self._marks(word[len(core) :])
             elif core and (ids := self._core(core)) is not None:
                 memory.keep(core, ids)

@@ -304,6 +304,25 @@ def test_word_ids_of_slices(monkeypatch):
 
 
 
+WORDS = ["KENDİSİ", "BELEDİYESİ", "İ", "Straße", "ŁÓDŹ", "ΟΔΟΣ", "naïve", "Ça", "日本", "word", "Word", "x1", "e\u0301", "ŉ", "ǅ", "ﬁ", "I", "İİ"]
+MARKS = ["", ",", ".", "!?", "'", "...", "-", "\u0307", "#"]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.lists(st.tuples(st.sampled_from(WORDS), st.sampled_from(MARKS)).map("".join), max_size=6).map(" ".join), min_size=1, max_size=8))
+def test_packing_ids_in_any_order_of_texts(texts):
+    """What a worker remembers of the texts before, words bare or with marks, changes no ids."""
+    texts = [*texts, "KENDİSİ", "KENDİSİ,", "BELEDİYESİ dedi. BELEDİYESİ, yeni"]
+    tokenizer = Tokenizer.from_file(packing.VOCABULARY)
+    want = {t: np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts}
+    one = packing.tokenizer(packing.VOCABULARY)
+    for order in (texts, texts[::-1], sorted(texts), texts[::2] + texts[1::2]):
+        one.memory = packing.Recent(100_000)
+        for part in ([order], [[t] for t in order]):
+            for some in part:
+                assert list(one.encode_all(pa.array(some))) == [want[t] for t in some]
+
+
 def test_packing_of_a_length_in_many_parts(spark, monkeypatch):
     monkeypatch.setattr(packing, "RANKED", 10)
     df = spark.range(3000).selectExpr("id as doc_id", "0 as piece", "0L as start", "if(id % 3 = 0, 700L, id % 90 + 1) as length")
