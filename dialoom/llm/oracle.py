@@ -6,6 +6,7 @@ not tell.
 
 from __future__ import annotations
 
+from .licenses import DRIFT, LEAST, PHRASES, TEXTS
 from .quality_rules import POLICIES, RULES, SYMBOLS, mask
 
 _WORD = r"[^\x20\x09-\x0D]"
@@ -69,4 +70,29 @@ SELECT doc_id, coalesce(n_words, 0) AS n_words, round(coalesce(score, 0.0), 6) A
 FROM d LEFT JOIN x USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": QUALITY_RULES, "op4_warc": WARC, "op9_stupid_backoff": STUPID_BACKOFF}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TERM = r"[0-9a-z\x{80}-\x{10FFFF}]+"
+_TEMPLATES = ", ".join(f"({i}, '{label}', {i < len(PHRASES)}, '{text}')" for i, (label, text) in enumerate((*PHRASES, *TEXTS)))
+_ROLLING = "lead(w, 1) OVER x AS w2, lead(w, 2) OVER x AS w3, lead(w, 3) OVER x AS w4"
+
+LICENSES = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER}, '{_TERM}') AS ws FROM documents),
+w AS (SELECT r, i, w || ' ' || w2 AS pair, w || ' ' || w2 || ' ' || w3 || ' ' || w4 AS four FROM (SELECT *, {_ROLLING} FROM (SELECT r, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM d) WINDOW x AS (PARTITION BY r ORDER BY i))),
+t AS (SELECT template, label, phrase, regexp_extract_all({_LOWER}, '{_TERM}') AS ws FROM (VALUES {_TEMPLATES}) v(template, label, phrase, text)),
+g AS (SELECT template, label, phrase, i, CASE WHEN phrase THEN w || ' ' || w2 ELSE w || ' ' || w2 || ' ' || w3 || ' ' || w4 END AS gram
+    FROM (SELECT *, {_ROLLING} FROM (SELECT template, label, phrase, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM t) WINDOW x AS (PARTITION BY template ORDER BY i))),
+m AS (SELECT *, count(*) OVER (PARTITION BY template) AS grams FROM g WHERE gram IS NOT NULL),
+hits AS (SELECT r, template, label, phrase, grams, w.i AS place, w.i - m.i AS diagonal FROM w JOIN m ON phrase AND gram = pair
+    UNION ALL SELECT r, template, label, phrase, grams, w.i, w.i - m.i FROM w JOIN m ON NOT phrase AND gram = four),
+voted AS (SELECT r, template, label, phrase, grams, diagonal, count(*) AS votes, min(place) AS first, max(place) AS last FROM hits GROUP BY ALL),
+apart AS (SELECT *, CASE WHEN phrase OR coalesce(diagonal - lag(diagonal) OVER x > {DRIFT}, true) THEN 1 ELSE 0 END AS new FROM voted WINDOW x AS (PARTITION BY r, template ORDER BY diagonal)),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY r, template ORDER BY diagonal) AS span FROM apart),
+spans AS (SELECT r, template, label, phrase, grams, sum(votes) AS votes, min(first) AS first, max(last) AS last FROM numbered GROUP BY r, template, label, phrase, grams, span),
+judged AS (SELECT *, phrase AND votes = grams AS place, NOT phrase AND last + 4 - first <= 2 * (grams + 3) AS verified, least(votes / grams, 1.0) AS share FROM spans),
+s AS (SELECT r, count(*) FILTER (WHERE place) AS n_base, min(first) FILTER (WHERE place) AS first_word, max(first) FILTER (WHERE place) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE place) AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (WHERE place OR (verified AND share >= {LEAST})) AS labels, max(CASE WHEN place THEN 1.0 WHEN verified THEN share END) AS score, count(*) FILTER (WHERE verified AND share >= {LEAST}) AS n_spans FROM judged GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word, coalesce(base_labels, '') AS base_labels,
+    coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score, coalesce(n_spans, 0)::BIGINT AS n_spans FROM d LEFT JOIN s USING (r)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": QUALITY_RULES, "op4_warc": WARC, "op9_stupid_backoff": STUPID_BACKOFF, "op13_license_scan": LICENSES}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .ann import op5_permutation_index
 from .language_id import op7_language_id
+from .licenses import op13_license_scan
 from .ngram_lm import op9_stupid_backoff
 from .oracle import ORACLE_SQL as ORACLE_SQL
 from .packing import op8_best_fit_packing
@@ -23,5 +24,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_simhash, op2_quality_rules, op3_quality_classifier, op4_warc, op5_permutation_index,
         op6_sentencepiece, op7_language_id, op8_best_fit_packing, op9_stupid_backoff, op10_pii,
+        op13_license_scan,
     )
 }
