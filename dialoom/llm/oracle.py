@@ -95,4 +95,44 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base
     coalesce(labels, '') AS labels, coalesce(score, 0)::DOUBLE AS score, coalesce(n_spans, 0)::BIGINT AS n_spans FROM d LEFT JOIN s USING (r)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": QUALITY_RULES, "op4_warc": WARC, "op9_stupid_backoff": STUPID_BACKOFF, "op13_license_scan": LICENSES}
+def _edit(way: str, cost: str, initial: str) -> str:
+    """A way, its cost in nine digits and then its audit, with one more edit."""
+    return f"lpad((substr({way}, 1, 9)::BIGINT + {cost})::VARCHAR, 9, '0') || substr({way}, 10) || '{initial}'"
+
+
+def _turn(state: str, initial: str, *before: str) -> str:
+    """The best way to a state over a turn: it's deleted, or kept or re-roled from a state before."""
+    kept = [f"CASE WHEN sound AND initial = '{initial}' THEN {_edit(b, 'more', 'K')} END" for b in before]
+    rolled = [f"CASE WHEN sound THEN {_edit(b, '1 + more', 'R')} END" for b in before if initial != "s"]
+    return f"list_min([{', '.join([_edit(state, '2', 'D'), *kept, *rolled])}])"
+
+
+#: DuckDB has no crc32, so it's reckoned byte by byte. A row of way holds the best way to each state of the grammar, n before and w after inserts.
+_CRC = "list_reduce([4294967295] || list_transform(string_split({0}, ''), lambda x: ord(x)), lambda c, b: xor(codes[(xor(c, b) & 255) + 1], c >> 8))"
+_INSERTED = f"n0 AS w0, n1 AS w1, list_min([n2, {_edit('n0', '5', 'I')}, {_edit('n1', '5', 'I')}, {_edit('n3', '5', 'I')}]) AS w2, n3"
+_AFTER_INSERTS = f"conv, i, w0, w1, w2, list_min([n3, {_edit('w2', '5', 'I')}]) AS w3"
+
+CONVERSATIONS = f"""
+WITH RECURSIVE codes AS (SELECT list(c ORDER BY i) AS codes FROM (SELECT i, list_reduce([i] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM range(256) r(i))),
+cased AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, xor(4294967295, {_CRC.format("coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')")}) % 20 AS n FROM conversations, codes),
+damaged AS (SELECT conv_id, turn, CASE WHEN n = 4 THEN 'user' ELSE role END AS role, CASE WHEN n = 1 THEN '' WHEN n = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN n = 3 THEN 2 ELSE 1 END)) AS copy FROM cased WHERE n <> 0),
+keys AS (SELECT conv_id, row_number() OVER () AS conv FROM (SELECT DISTINCT conv_id FROM conversations)),
+placed AS (SELECT conv, turn, role, text, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged JOIN keys ON damaged.conv_id IS NOT DISTINCT FROM keys.conv_id),
+judged AS (SELECT *, CASE WHEN NOT regexp_matches(text, '{_WORD}') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE '' END AS fault,
+    substr(role, 1, 1) AS initial, lag(substr(role, 1, 1)) OVER (PARTITION BY conv ORDER BY i) AS before FROM placed),
+t AS MATERIALIZED (SELECT *, fault NOT IN ('blank', 'duplicate') AS sound, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more FROM judged),
+way AS (SELECT {_AFTER_INSERTS} FROM (SELECT conv, i, {_INSERTED} FROM (SELECT conv, 0::BIGINT AS i, '000000000' AS n0, NULL::VARCHAR AS n1, NULL::VARCHAR AS n2, NULL::VARCHAR AS n3 FROM keys))
+    UNION ALL SELECT {_AFTER_INSERTS} FROM (SELECT conv, i, {_INSERTED} FROM (SELECT t.conv, t.i, {_edit('w0', '2', 'D')} AS n0, {_turn('w1', 's', 'w0')} AS n1, {_turn('w2', 'u', 'w0', 'w1', 'w3')} AS n2, {_turn('w3', 'a', 'w2')} AS n3
+        FROM way JOIN t ON t.conv = way.conv AND t.i = way.i + 1))),
+best AS (SELECT conv, arg_max(list_min([w0, w3]), i) AS best FROM way GROUP BY conv),
+edits AS (SELECT conv, j, edit, count(*) FILTER (WHERE edit <> 'I') OVER x AS i, count(*) FILTER (WHERE edit <> 'D') OVER x - 1 AS place FROM (SELECT conv, unnest(string_split(substr(best, 10), '')) AS edit, generate_subscripts(string_split(substr(best, 10), ''), 1) AS j FROM best)
+    WINDOW x AS (PARTITION BY conv ORDER BY j)),
+left_over AS (SELECT conv, j, place, edit, role, CASE WHEN edit = 'I' THEN '' ELSE text END AS text, max(CASE WHEN place = 0 AND edit = 'K' AND initial = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv) AS led FROM edits LEFT JOIN t USING (conv, i) WHERE edit NOT IN ('D', '')),
+fixed AS (SELECT conv, count(*) AS n_repaired, string_agg(CASE WHEN edit = 'K' THEN role WHEN (place + led) % 2 = 0 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY j) AS said FROM left_over GROUP BY conv),
+counts AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+    count(*) FILTER (WHERE i > 1 AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM t GROUP BY conv)
+SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal,
+    substr(best, 1, 9)::BIGINT AS cost, substr(best, 10) AS audit, sha256(coalesce(said, '')) AS repaired_sha256, coalesce(n_repaired, 0)::BIGINT AS n_repaired FROM keys JOIN best USING (conv) LEFT JOIN counts USING (conv) LEFT JOIN fixed USING (conv)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": QUALITY_RULES, "op4_warc": WARC, "op9_stupid_backoff": STUPID_BACKOFF, "op11_conversation_repair": CONVERSATIONS, "op13_license_scan": LICENSES}

@@ -9,6 +9,13 @@ import pytest
 from dialoom.llm.queries import ORACLE_SQL, QUERIES
 
 
+_SAID = ["Hello.", "Hello.", "What?", "", " \t", None, "no end", "Wait!  ", "日本。", "Hello.", "x" * 50_000 + "."]
+ODD_TURNS = [
+    (c if c < 28 else None, t if (c + t) % 11 else None, (["user", "assistant", "system", None, "", "usher", "assistant"] if c % 3 else ["user", "assistant"])[(t * (c % 5 + 1) + c) % (7 if c % 3 else 2)], _SAID[(c * 7 + t * 3) % len(_SAID)], "x", "y")
+    for c in range(30) for t in [*range(c % 9 + 1), *([2, 2, 40] if c % 4 == 0 else [])]
+]
+
+
 def plain(v):
     return round(v, 5) if isinstance(v, float) else v
 
@@ -35,7 +42,11 @@ def test_same_rows(spark, sf, name):
 @pytest.mark.parametrize("name", ORACLE_SQL)
 def test_same_rows_of_odd_tables(spark, odd, empty, tmp_path, name):
     pages = odd.selectExpr("doc_id AS page_id", "'u' AS url", "repeat(text, 40) AS html")
-    for at, docs, rows in (("odd", odd, pages), ("empty", empty, pages.limit(0))):
+    turns = spark.createDataFrame(ODD_TURNS, "conv_id long, turn long, role string, text string, fault string, gone string")
+    items = odd.selectExpr("doc_id AS item_id", "text", "score AS rank").dropDuplicates(["item_id", "text"])
+    for at, docs, rows, convs, asked in (("odd", odd, pages, turns, items), ("empty", empty, pages.limit(0), turns.limit(0), items.limit(0))):
         docs.coalesce(1).write.parquet(f"{tmp_path}/{at}/documents.parquet")
         rows.coalesce(1).write.parquet(f"{tmp_path}/{at}/pages.parquet")
+        convs.coalesce(1).write.parquet(f"{tmp_path}/{at}/conversations.parquet")
+        asked.coalesce(1).write.parquet(f"{tmp_path}/{at}/benchmark.parquet")
         assert bool(same(spark, name, f"{tmp_path}/{at}")) == (at == "odd")
