@@ -31,7 +31,7 @@ VOCABULARY = public_vocabulary("word_bpe_49k.json")
 CAPACITY = 4096
 END = 1
 #: Bytes of words and ids that a worker remembers, twice: those of late and those of before.
-REMEMBER = 110_000_000
+REMEMBER = 75_000_000
 #: Bytes of text whose words are looked up together; a longer text is a slice of its own.
 SLICE = 4 << 20
 #: Rows of one length that a task ranks, about.
