@@ -135,4 +135,20 @@ SELECT conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS
     substr(best, 1, 9)::BIGINT AS cost, substr(best, 10) AS audit, sha256(coalesce(said, '')) AS repaired_sha256, coalesce(n_repaired, 0)::BIGINT AS n_repaired FROM keys JOIN best USING (conv) LEFT JOIN counts USING (conv) LEFT JOIN fixed USING (conv)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_quality_rules": QUALITY_RULES, "op4_warc": WARC, "op9_stupid_backoff": STUPID_BACKOFF, "op11_conversation_repair": CONVERSATIONS, "op13_license_scan": LICENSES}
+_TERMS = r"[0-9A-Za-z\x{80}-\x{10FFFF}]+"
+_FOLDED = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+LEXICAL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(text, '{_TERMS}') AS ws FROM documents),
+tf AS (SELECT r, {_FOLDED.format("w")} AS w, count(*) AS tf FROM (SELECT r, unnest(ws) AS w FROM d) GROUP BY ALL),
+c AS (SELECT count(*) FILTER (WHERE len(ws) > 0) AS n_docs, sum(len(ws))::BIGINT AS n_terms FROM d),
+q AS (SELECT item_id, text, {_FOLDED.format("w")} AS w, count(*) AS times FROM (SELECT item_id, text, unnest(regexp_extract_all(text, '{_TERMS}')) AS w FROM (SELECT DISTINCT item_id, text FROM benchmark)) GROUP BY ALL),
+df AS (SELECT w, count(*) AS df FROM tf GROUP BY w),
+weighed AS (SELECT item_id, text, w, times * floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1)))::BIGINT AS weight FROM q JOIN df USING (w), c),
+m AS (SELECT r, doc_id, 75 + (25 * len(ws)::BIGINT * n_docs) // n_terms AS m FROM d, c WHERE len(ws) > 0),
+s AS (SELECT item_id, text, r, doc_id, sum(weight * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score FROM weighed JOIN tf USING (w) JOIN m USING (r) GROUP BY ALL),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM ranked WHERE rank <= 20
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_quality_rules": QUALITY_RULES, "op4_warc": WARC, "op9_stupid_backoff": STUPID_BACKOFF, "op11_conversation_repair": CONVERSATIONS, "op12_lexical_search": LEXICAL, "op13_license_scan": LICENSES}

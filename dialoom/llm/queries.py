@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .ann import op5_permutation_index
 from .conversations import op11_conversation_repair
 from .language_id import op7_language_id
+from .lexical import op12_lexical_search
 from .licenses import op13_license_scan
 from .ngram_lm import op9_stupid_backoff
 from .oracle import ORACLE_SQL as ORACLE_SQL
@@ -25,6 +26,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_simhash, op2_quality_rules, op3_quality_classifier, op4_warc, op5_permutation_index,
         op6_sentencepiece, op7_language_id, op8_best_fit_packing, op9_stupid_backoff, op10_pii,
-        op11_conversation_repair, op13_license_scan,
+        op11_conversation_repair, op12_lexical_search, op13_license_scan,
     )
 }
