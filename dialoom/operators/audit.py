@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.clinical import prefix_ids
@@ -50,6 +50,25 @@ def difference(ids: DataFrame, others: DataFrame) -> DataFrame:
     return ids.select("id").distinct().join(others.select("id"), "id", "left_anti")
 
 
+def missing_ranges(ids: DataFrame, first: int = 1, last: int = 133) -> DataFrame:
+    """first and last of each run of numbers of a range that ids lacks, however far the ids are apart: work and memory go by rows.
+
+    Ids are dealt to partitions by ranges of their values, within which each meets the one before it. The two ends of
+    each partition then meet those of its neighbours, which takes two rows a partition in one place. Ids that repeat,
+    are null or lie outside the range do nothing.
+    """
+    known = ids.select(F.col("id").cast("long").alias("id")).where(F.col("id").between(first, last)).distinct()
+    bounds = ids.sparkSession.createDataFrame([(first - 1,), (last + 1,)], "id long")
+    dealt = known.union(bounds).repartitionByRange("id").withColumn("part", F.spark_partition_id())
+    within = Window.partitionBy("part").orderBy("id")
+    edge = F.lag("id").over(within).isNull() | F.lead("id").over(within).isNull()
+    met = dealt.select("id", "part", F.lag("id").over(within).alias("before"), edge.alias("edge"))
+    # edges have a partition of their own, in which the end of one range comes before the begin of the next
+    among_edges = Window.partitionBy(F.when(F.col("edge"), -1).otherwise(F.col("part"))).orderBy("id")
+    before = F.coalesce("before", F.when(F.col("edge"), F.lag("id").over(among_edges)))
+    return met.select("id", before.alias("before")).where(F.col("id") - F.col("before") > 1).select((F.col("before") + 1).alias("first"), (F.col("id") - 1).alias("last"))
+
+
 def missing_ids(ids: DataFrame, first: int = 1, last: int = 133) -> DataFrame:
-    """id: the numbers of a range that ids lacks."""
-    return ids.sparkSession.range(first, last + 1).join(ids.select(F.col("id").cast("long").alias("id")), "id", "left_anti")
+    """id: the numbers of a range that ids lacks, from the runs of missing_ranges."""
+    return missing_ranges(ids, first, last).select(F.explode(F.sequence("first", "last")).alias("id"))

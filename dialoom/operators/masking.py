@@ -2,17 +2,23 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import AFTER_LINE, blank
+from ..functions.text import AFTER_LINE
 
-#: A detector gives (start, end, label) in code points for a text.
-Detector = Callable[[str], list[tuple[int, int, str]]]
+#: (start, end, label) in code points. A detector gives those of a text, or of each of many.
+Span = tuple[int, int, str]
+Detector = Callable[[str], list[Span]]
+BatchDetector = Callable[[list[str]], list[list[Span]]]
+_AFTER_LINE = re.compile(AFTER_LINE)
 SPANS = "array<struct<start:int,end:int,label:string>>"
 #: The placeholders; fixed values.
 PLACEHOLDERS = {"NAME": "[NAME]", "ORG": "[ORG]"}
@@ -37,55 +43,160 @@ def entity_kind(label: Column) -> Column:
     return F.when(up.rlike("PER|NAME"), "NAME").when(up.contains("ORG"), "ORG")
 
 
-def resolved(spans: Column, length: Column) -> Column:
-    """Spans of known kinds with valid places, in order; overlapping ones are merged under the first's kind."""
-    kind = "array<struct<start:int,end:int,label:string>>"
-    known = F.filter(F.transform(F.coalesce(spans, F.array().cast(SPANS)), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), entity_kind(s["label"]).alias("label"))), lambda s: s["label"].isNotNull() & (s["start"] >= 0) & (s["start"] < s["end"]) & (s["end"] <= length))
+def kind_of(label: str | None) -> str | None:
+    """entity_kind of one label."""
+    up = (label or "").upper()
+    return "NAME" if "PER" in up or "NAME" in up else "ORG" if "ORG" in up else None
 
-    def merge(done: Column, s: Column) -> Column:
-        last = F.element_at(done, -1)
-        joined = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["label"].alias("label"))
-        before = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
-        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] > s["start"]), F.concat(before, F.array(joined))).otherwise(F.concat(done, F.array(s)))
 
-    return F.aggregate(F.array_sort(known), F.array().cast(kind), merge)
+def resolved(spans: list[Span], length: int) -> list[Span]:
+    """Spans of known kinds with valid places, in order, under their kinds; overlapping ones are merged under the first's."""
+    out: list[Span] = []
+    for start, end, kind in sorted((s, e, kind_of(label)) for s, e, label in spans if kind_of(label)):
+        if 0 <= start < end <= length:
+            if out and start < out[-1][1]:
+                out[-1] = (out[-1][0], max(out[-1][1], end), out[-1][2])
+            else:
+                out.append((start, end, kind))
+    return out
+
+
+def replaced(text: str, spans: list[Span]) -> str:
+    """A text with each span's placeholder instead of it: what lies between the spans is cut out once and joined."""
+    out, at = [], 0
+    for start, end, kind in resolved(spans, len(text)):
+        out += text[at:start], PLACEHOLDERS[kind]
+        at = end
+    return "".join([*out, text[at:]])
 
 
 def replace_spans(text: Column, spans: Column) -> Column:
-    """A text with each span replaced by its kind's placeholder, from the right."""
-    place = F.create_map(*[x for k, v in PLACEHOLDERS.items() for x in (F.lit(k), F.lit(v))])
-    put = lambda t, s: F.concat(F.substring(t, F.lit(1), s["start"]), place[s["label"]], F.substring(t, s["end"] + 1, F.length(t)))
-    return F.aggregate(F.reverse(resolved(spans, F.length(text))), text, put)
+    """A text column with each of its spans (SPANS) replaced; a null text stays null, null spans are none.
+
+    In Python, as merging in SQL's own functions would copy what is merged so far for each span.
+    """
+
+    def of(texts: pa.Array, found: pa.Array) -> pa.Array:
+        one = lambda t, f: None if t is None else replaced(t, [(s["start"], s["end"], s["label"]) for s in f or ()])
+        return pa.array([one(t.as_py(), f.as_py()) for t, f in zip(texts, found)], pa.string())
+
+    return F.arrow_udf(of, "string")(text, spans)
+
+
+#: Detectors that have been made in this worker.
+_MADE: dict[str, BatchDetector] = {}
+
+
+class Loaded:
+    """A detector that is made where it runs, once for each worker, as a model is: make() gives a function of many slices at once, list[str] -> list of their spans."""
+
+    def __init__(self, make: Callable[[], BatchDetector]) -> None:
+        self.make = make
+        self.key = hashlib.sha256(cloudpickle.dumps(make)).hexdigest()
+
+    def __call__(self, slices: list[str]) -> list[list[Span]]:
+        if self.key not in _MADE:
+            _MADE[self.key] = self.make()
+        return _MADE[self.key](slices)
+
+
+def windows(length: int, size: int, overlap: int) -> list[tuple[int, int]]:
+    """(start, end) of the slices of a text, which share overlap characters."""
+    if length <= size:
+        return [(0, length)]
+    overlap = min(overlap, size - 1)
+    return [(at, min(at + size, length)) for at in range(0, length - overlap, size - overlap)]
 
 
-def detect(text: Column, detector: Detector = pattern_detector, size: int = 400, overlap: int = 0) -> Column:
-    """The spans that a detector finds in a text, which it gets in slices of at most size characters.
+def stitched(spans: set[Span]) -> list[Span]:
+    """Spans that slices found, in order: those of one label that overlap are one, as each slice saw a part of it or all."""
+    out, last = [], {}
+    for start, end, label in sorted(spans):
+        if label in last and start < out[last[label]][1]:
+            out[last[label]] = (out[last[label]][0], max(end, out[last[label]][1]), label)
+        else:
+            last[label] = len(out)
+            out.append((start, end, label))
+    return out
 
-    overlap: characters that slices share, so that an entity at a cut is seen whole. None for null texts.
+
+def spans_of(texts: list[str | None], detector: Detector | Loaded, size: int = 400, overlap: int = 100, together: int = 64) -> list[list[Span]]:
+    """The spans in each text, from slices of at most size characters, those of many texts at once.
+
+    Slices overlap, and what they find is stitched by the union of intervals, so that nothing that any slice finds is
+    lost at a cut. A span that reaches a slice's cut end is looked for again in a slice twice as long, and so on: an
+    entity is found whole wherever it stands, however long, if the detector needs
+    no more than overlap to see it begin and takes it alike wherever it starts to read.
     """
+    batch = detector if isinstance(detector, Loaded) else lambda slices: [detector(x) for x in slices]
+    found: list[set[Span]] = [set() for _ in texts]
+    todo = [(n, *w) for n, text in enumerate(texts) if text for w in windows(len(text), size, overlap)]
+    while todo:
+        longer = []
+        for at in range(0, len(todo), together):
+            some = todo[at : at + together]
+            for (n, start, end), spans in zip(some, batch([texts[n][start:end] for n, start, end in some])):
+                own = [(start + s, start + e, label) for s, e, label in spans]
+                found[n].update(own)
+                if end < len(texts[n]) and (cut := [s for s, e, _ in own if e >= end]):
+                    longer.append((n, max(start, min(cut) - overlap), min(2 * end - start, len(texts[n]))))
+        todo = longer
+    return [stitched(f) for f in found]
+
+
+_SPAN_KIND = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.string())]))
 
-    def spans(text: str | None) -> list[dict]:
-        found = {(s + at, e + at, label) for at in range(0, len(text or ""), max(1, size - overlap)) for s, e, label in detector(text[at : at + size])}
-        return [dict(zip(("start", "end", "label"), x)) for x in sorted(found)]
+
+def detect(text: Column, detector: Detector | Loaded = pattern_detector, size: int = 400, overlap: int = 100) -> Column:
+    """The spans that a detector finds in a text column, as spans_of does. None for null texts."""
 
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array([spans(t) for t in texts.to_pylist()], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.string())])))
+        rows = spans_of(texts.to_pylist(), detector, size, overlap)
+        return pa.array([[dict(zip(("start", "end", "label"), x)) for x in spans] for spans in rows], _SPAN_KIND)
 
     return F.arrow_udf(of, SPANS)(text)
 
 
-def mask(files: DataFrame, detector: Detector = pattern_detector, size: int = 400, key: str = "file_id") -> DataFrame:
-    """key, stem_out, text_out, renamed, changed of files with key, stem and text; keys are unique.
+def masked_lines(texts: list[str | None], detector: Detector | Loaded, size: int, overlap: int) -> list[str | None]:
+    """The texts with each line masked for itself, every line's end as it was."""
+    lines = [_AFTER_LINE.split(t) if t else [] for t in texts]
+    flat = [x for some in lines for x in some]
+    done = iter([replaced(x, spans) for x, spans in zip(flat, spans_of([x if x.strip() else None for x in flat], detector, size, overlap))])
+    return [t if not t else "".join(next(done) for _ in some) for t, some in zip(texts, lines)]
+
+
+def masked(text: Column, detector: Detector | Loaded = pattern_detector, size: int = 400, overlap: int = 100) -> Column:
+    """A text column with each line's entities replaced; null stays null."""
+
+    def of(texts: pa.Array) -> pa.Array:
+        out, at = [], 0
+        for end in _cuts(pc.binary_length(texts).fill_null(0).to_pylist()):  # no more text at once than needed
+            out.append(pa.array(masked_lines(texts.slice(at, end - at).to_pylist(), detector, size, overlap), pa.string()))
+            at = end
+        return pa.concat_arrays(out) if out else pa.array([], pa.string())
+
+    return F.arrow_udf(of, "string")(text)
+
+
+def _cuts(sizes: list[int], most: int = 1 << 22) -> Iterator[int]:
+    """Ends of runs of texts of about most bytes."""
+    held = 0
+    for i, n in enumerate(sizes):
+        if held and held + n > most:
+            yield i
+            held = 0
+        held += n
+    if sizes:
+        yield len(sizes)
+
+
+def mask(files: DataFrame, detector: Detector | Loaded = pattern_detector, size: int = 400, key: str = "file_id", overlap: int = 100) -> DataFrame:
+    """key, stem_out, text_out, renamed, changed of files with key, stem and text, each on its own row: nothing is shuffled.
 
-    Each line is masked for itself, and every line's end is kept as it was. Null texts and stems stay null.
+    Each line is masked for itself, and every line's end is kept as it was. Null texts and stems stay null; keys may
+    be null or repeat.
     """
-    pieces = F.split(F.col("text"), AFTER_LINE)
-    rows = files.select(F.col(key).alias("k"), F.posexplode(pieces).alias("no", "line"))
-    line = F.when(blank(F.col("line")), F.col("line")).otherwise(replace_spans(F.col("line"), detect(F.col("line"), detector, size)))
-    texts = rows.select("k", "no", line.alias("line")).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("no", "line"))).alias("x"))
-    texts = texts.select("k", F.array_join(F.transform("x", lambda x: x["line"]), "").alias("masked"))
-    out = files.select(F.col(key).alias("k"), F.col("stem").alias("stem"), F.col("text").alias("text")).join(texts, "k", "left")
-    out = out.withColumns({"stem_out": replace_spans(F.col("stem"), detect(F.col("stem"), detector, size)), "text_out": F.coalesce("masked", "text")})
+    out = files.select(F.col(key).alias("k"), "stem", "text", masked(F.col("stem"), detector, size, overlap).alias("stem_out"), masked(F.col("text"), detector, size, overlap).alias("text_out"))
     return out.select(F.col("k").alias(key), "stem_out", "text_out", (~F.col("stem_out").eqNullSafe(F.col("stem"))).alias("renamed"), (~F.col("text_out").eqNullSafe(F.col("text"))).alias("changed"))
 
 

@@ -2,20 +2,42 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import clinical
 from .dataset import converted
 
 
+STATS = ("count", "mean", "median", "min", "max")
+
+
+def _placed(counts: DataFrame, *figure: str) -> DataFrame:
+    """counts (figure columns, value, n) with the places from and to that each value takes among all of its figure, and total, their number."""
+    of = Window.partitionBy(*figure) if figure else Window.partitionBy(F.lit(0))
+    return counts.withColumns({"to": F.sum("n").over(of.orderBy("value")), "total": F.sum("n").over(of)}).withColumn("from", F.col("to") - F.col("n") + 1)
+
+
+def _figures(some: Column | None = None) -> Column:
+    """struct<count, mean, median, min, max> of the values in _placed rows, of those for which some holds."""
+    here = F.col("value").isNotNull() if some is None else some & F.col("value").isNotNull()
+    of = lambda c: F.when(here, c)
+    middle = lambda at: F.max(of(F.when((F.col("from") <= at) & (at <= F.col("to")), F.col("value"))))
+    low, high = F.floor((F.col("total") + 1) / 2), F.floor((F.col("total") + 2) / 2)
+    n, value = F.coalesce(F.sum(of(F.col("n"))), F.lit(0)), F.col("value")
+    parts = n, F.round(F.sum(of(value * F.col("n"))) / F.nullif(n, F.lit(0)), 2), F.round((middle(low) + middle(high)) / 2, 2), F.min(of(value)), F.max(of(value))
+    return F.struct(*[c.alias(name) for c, name in zip(parts, STATS)])
+
+
 def safe_stats(df: DataFrame, value: str | Column) -> DataFrame:
     """One row: count, mean and median to two places, min and max; 0 and nulls without a value.
 
-    Halves are rounded away from zero. The median is exact.
+    Halves are rounded away from zero. The median is exact, and comes from how often each value occurs: counts are
+    merged in all tasks, and one then sees each distinct value once. The values are whole numbers of something.
     """
     c = F.col(value) if isinstance(value, str) else value
-    return df.agg(F.count(c).alias("count"), F.round(F.avg(c), 2).alias("mean"), F.round(F.median(c), 2).alias("median"), F.min(c).alias("min"), F.max(c).alias("max"))
+    counts = df.select(c.alias("value")).where("value IS NOT NULL").groupBy("value").agg(F.count("*").alias("n"))
+    return _placed(counts).agg(_figures().alias("s")).select("s.*")
 
 
 def distribution(df: DataFrame, value: Column, missing: str | None = None) -> DataFrame:
@@ -43,33 +65,39 @@ def scales_flat(patients: DataFrame) -> DataFrame:
     return s.select("patient_id", F.col("s.GAD-7.total").alias("gad7_total"), F.col("s.PHQ-9.total").alias("phq9_total"))
 
 
+def tallied(patients: DataFrame) -> DataFrame:
+    """figure, key, value, n: how often each key or value of each of the summary's figures occurs, from one pass over patients.
+
+    A patient's row becomes a row for each figure that it, its visits, turns and scale records have; these are counted
+    before they are shuffled. What remains is a row for each value: an age, a number of turns, a role.
+    """
+    some = lambda c: F.size(F.coalesce(c, F.array())) > 0
+    key = lambda figure, c: F.struct(F.lit(figure).alias("figure"), c.cast("string").alias("key"), F.lit(None).cast("long").alias("value"))
+    number = lambda figure, c: F.struct(F.lit(figure).alias("figure"), F.lit(None).cast("string").alias("key"), c.cast("long").alias("value"))
+    visits, scales = F.coalesce("visits", F.array()), F.coalesce("scales", F.array())
+    turns = lambda v: F.coalesce(v["dialogue"]["turns"], F.array())
+    own = F.array(
+        key("patients", F.lit("")), key("keywords", F.when(some("keywords"), "")), key("scales", F.when(some("scales"), "")),
+        key("gender", F.coalesce(F.nullif("gender", F.lit("")), F.lit("unknown"))), number("age", F.col("age")), key("age_band", clinical.age_band(F.col("age"))), number("visits", F.size(visits)),
+    )
+    roles = F.transform(F.flatten(F.transform(visits, turns)), lambda t: key("role", F.coalesce(t["role"], F.lit("other"))))
+    gad7, phq9 = (lambda s: s["GAD-7"]["total"]), (lambda s: s["PHQ-9"]["total"])
+    of_scales = (lambda s: number("gad7", gad7(s))), (lambda s: key("gad7_severity", clinical.gad7_severity(gad7(s)))), (lambda s: number("phq9", phq9(s))), (lambda s: key("phq9_severity", clinical.phq9_severity(phq9(s))))
+    rows = F.concat(own, F.transform(visits, lambda v: number("turns", F.size(turns(v)))), roles, *[F.transform(scales, f) for f in of_scales])
+    flat = converted(patients).select(F.inline(rows)).where("key IS NOT NULL OR value IS NOT NULL")
+    return flat.groupBy("figure", "key", "value").agg(F.count("*").alias("n"))
+
+
 def summary(patients: DataFrame) -> DataFrame:
-    """One row of nested statistics; failed files are no patients. Each is an aggregate of its own over what it needs, and the one-row results meet."""
-
-    def named(df: DataFrame, name: str) -> DataFrame:
-        return df.select(F.struct("*").alias(name))
-
-    def counted(df: DataFrame, name: str) -> DataFrame:
-        pairs = F.sort_array(F.collect_list(F.struct("key", "n")))
-        return df.agg(F.map_from_entries(pairs).alias(name))
-
-    patients = converted(patients)
-    p, v, t, s = patients_flat(patients), visits_flat(patients), turns_flat(patients), scales_flat(patients)
-    base = p.agg(F.count("*").alias("patient_count"), F.count_if(F.col("n_keywords") > 0).alias("patients_with_keywords"), F.count_if(F.col("n_scales") > 0).alias("patients_with_scales"))
-    parts = [
-        named(base, "base"), counted(distribution(p, F.nullif("gender", F.lit("")), "unknown"), "gender_distribution"), named(safe_stats(p, "age"), "age_stats"),
-        counted(distribution(p, clinical.age_band(F.col("age"))), "age_buckets"), named(safe_stats(p, "n_visits"), "visits_per_patient"), named(safe_stats(v, "n_turns"), "turns_per_visit"),
-        counted(distribution(t, F.col("role"), "other"), "turn_role_distribution"), named(safe_stats(s, "gad7_total"), "gad7_total"),
-        counted(distribution(s, clinical.gad7_severity(F.col("gad7_total"))), "gad7_severity_distribution"), named(safe_stats(s, "phq9_total"), "phq9_total"),
-        counted(distribution(s, clinical.phq9_severity(F.col("phq9_total"))), "phq9_severity_distribution"),
-    ]
-    row = parts[0]
-    for part in parts[1:]:
-        row = row.crossJoin(part)  # one row each
-    return row.select(
-        "base", F.struct("gender_distribution", F.struct("age_stats", "age_buckets").alias("age_distribution")).alias("demographics"),
-        F.struct("visits_per_patient", "turns_per_visit", "turn_role_distribution").alias("visits_and_dialogue"),
-        F.struct("gad7_total", "gad7_severity_distribution", "phq9_total", "phq9_severity_distribution").alias("scales"),
+    """One row of nested statistics; failed files are no patients. All figures come from one pass over patients, see tallied."""
+    is_a = lambda figure: F.col("figure") == figure
+    many = lambda figure: F.coalesce(F.sum(F.when(is_a(figure), F.col("n"))), F.lit(0))
+    by_key = lambda figure: F.map_from_entries(F.sort_array(F.collect_list(F.when(is_a(figure), F.struct("key", "n")))))  # noqa: E731  a row for each key
+    return _placed(tallied(patients), "figure").agg(
+        F.struct(many("patients").alias("patient_count"), many("keywords").alias("patients_with_keywords"), many("scales").alias("patients_with_scales")).alias("base"),
+        F.struct(by_key("gender").alias("gender_distribution"), F.struct(_figures(is_a("age")).alias("age_stats"), by_key("age_band").alias("age_buckets")).alias("age_distribution")).alias("demographics"),
+        F.struct(_figures(is_a("visits")).alias("visits_per_patient"), _figures(is_a("turns")).alias("turns_per_visit"), by_key("role").alias("turn_role_distribution")).alias("visits_and_dialogue"),
+        F.struct(_figures(is_a("gad7")).alias("gad7_total"), by_key("gad7_severity").alias("gad7_severity_distribution"), _figures(is_a("phq9")).alias("phq9_total"), by_key("phq9_severity").alias("phq9_severity_distribution")).alias("scales"),
     )
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions import clinical
 from ..operators import audit, dataset, dialogue, masking, ocr, scales, speakers, stats
-from ..sources import files, sinks
+from ..sources import files, sinks, trees
 from .build import build
 from .registry import EMAIL, query, read
 
@@ -238,7 +238,7 @@ def _addresses(text: str) -> list[tuple[int, int, str]]:
 
 def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     stem = F.concat(F.col("source"), F.when(F.col("doc_id") % 4 == 0, " a.b@c.de").otherwise(""))
-    return masking.mask(read(spark, sf_dir, "documents").select("doc_id", stem.alias("stem"), "text"), _addresses, 1 << 30, "doc_id")
+    return masking.mask(read(spark, sf_dir, "documents").select("doc_id", stem.alias("stem"), "text"), _addresses, key="doc_id")
 
 
 _MASKED = f"(SELECT doc_id, source || CASE WHEN doc_id % 4 = 0 THEN ' [NAME]' ELSE '' END AS stem_out, regexp_replace(text, '{EMAIL}', '[NAME]', 'g') AS text_out, doc_id % 4 = 0 AS renamed, text FROM documents)"
@@ -324,11 +324,42 @@ def gender_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.distribution(read(spark, sf_dir, "customer"), F.nullif(gender, F.lit("")), "unknown")
 
 
-@query(f"SELECT conv_id, turn, md5({_FLAT}) AS digest FROM conversations")
-def mirrored_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts written to a mirrored place and read back from there; colliding ones are left out."""
+def _tree(spark: SparkSession, sf_dir: str, name: Column) -> tuple[str, DataFrame | None]:
+    """Conversations' turns as a tree of text files, a folder for each hundred conversations and one for each of these. Where it is, and what was left out."""
     path = _scratch(spark)
-    rows = read(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("rel_path"), F.translate("text", "\n", " ").alias("text"))
-    sinks.write_mirrored(rows.union(rows.limit(1).select(F.lit("0-x"), "text")).union(rows.limit(1).select(F.lit("0-x"), "text")), path)
-    back = spark.read.text(path).withColumn("key", F.split(F.col("rel_path").cast("string"), "-"))
-    return back.select(F.col("key")[0].cast("long").alias("conv_id"), F.col("key")[1].cast("long").alias("turn"), F.md5("value").alias("digest"))
+    rel = F.concat_ws("/", F.format_string("%06d", F.expr("conv_id div 100")), F.format_string("c%08d", "conv_id"), name)
+    try:
+        sinks.write_mirrored(read(spark, sf_dir, "conversations").select(rel.alias("rel_path"), "text"), path)
+    except sinks.Collisions as left_out:
+        return path, left_out.rows
+    return path, None
+
+
+_REL = "printf('%06d/c%08d/%04d %s.txt', conv_id // 100, conv_id, turn, role)"
+
+
+def _by_turn() -> Column:
+    return F.format_string("%04d %s.txt", "turn", "role")
+
+
+@query(f"SELECT {_REL} AS rel_path, strlen(text)::BIGINT AS length, md5(text) AS digest FROM conversations")
+def mirrored_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A file for each turn, written and read back: true paths, bytes as they are."""
+    path, _ = _tree(spark, sf_dir, _by_turn())
+    return trees.read(spark, path, "*.txt").select("rel_path", "length", F.md5("content").alias("digest"))
+
+
+@query(f"SELECT {_REL} AS rel_path, row_number() OVER (ORDER BY {_REL}) AS nth FROM conversations WHERE role = 'user'")
+def files_in_path_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of one name pattern, numbered in the order of their paths, which partitions of even bytes keep."""
+    path, _ = _tree(spark, sf_dir, _by_turn())
+    kept = trees.read(spark, path, "* user.txt", partition_bytes=4 << 20).select("rel_path")
+    return files.numbered(kept)
+
+
+@query("SELECT printf('%06d/c%08d/%s.txt', conv_id // 100, conv_id, role) AS rel_path, count(*)::BIGINT AS n, CASE WHEN count(*) > 1 THEN 'collision' END AS error, CASE WHEN count(*) = 1 THEN md5(any_value(text)) END AS digest FROM conversations GROUP BY 1")
+def mirrored_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files named by role alone: those of several turns are reported and not written, the others are."""
+    path, left_out = _tree(spark, sf_dir, F.concat("role", F.lit(".txt")))
+    done = trees.read(spark, path).select("rel_path", F.lit(1).cast("long").alias("n"), F.lit(None).cast("string").alias("error"), F.md5("content").alias("digest"))
+    return done if left_out is None else done.unionByName(left_out.withColumn("digest", F.lit(None).cast("string")))

@@ -218,6 +218,15 @@ def missing_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.missing_ids(read(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), 1, last)
 
 
+@query("""WITH k AS (SELECT DISTINCT 999999999999 - o_custkey * 1000003 AS id FROM orders UNION SELECT unnest([0, 1000000000000])),
+g AS (SELECT id, lag(id) OVER (ORDER BY id) AS before FROM k)
+SELECT before + 1 AS first, id - 1 AS last FROM g WHERE id - before > 1""")
+def missing_id_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gaps among ids near 10^12 with wide spaces between, as first and last number of each."""
+    ids = read(spark, sf_dir, "orders").select((F.lit(999999999999) - F.col("o_custkey") * 1000003).alias("id"))
+    return audit.missing_ranges(ids, 1, 999999999999)
+
+
 @query("SELECT doc_id AS id FROM documents UNION SELECT doc_id FROM labels")
 def union_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     ids = [read(spark, sf_dir, t).select(F.col("doc_id").alias("id")) for t in ("documents", "labels")]

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import posixpath
+import re
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import trees
+
 _TURN = "struct<role:string,text:string,speaker_note:string>"
 _SCALE = "struct<items:array<int>,total:int>"
 PATIENT = f"struct<patient_id:string,name:string,gender:string,age:int,keywords:array<string>,scales:array<struct<respondent_role:string,`GAD-7`:{_SCALE},`PHQ-9`:{_SCALE}>>,visits:array<struct<visit_id:string,dialogue:struct<source_file:string,turns:array<{_TURN}>>>>>"
@@ -27,16 +32,21 @@ def existing(spark: SparkSession, folders: list[str]) -> list[str]:
     return [f for f, p in paths if p.getFileSystem(conf).exists(p)]
 
 
-def text_files(spark: SparkSession, folders: str | list[str], recursive: bool = True) -> DataFrame:
+def text_files(spark: SparkSession, folders: str | list[str], recursive: bool = True, in_order: bool = False) -> DataFrame:
     """file_id, path, folder, name, stem, text, error of each *.txt. Folders that are missing are skipped.
 
     file_id is a hash of the path. Line ends become \\n; bytes that aren't UTF-8 give a null text and bad_utf8.
+    in_order: rows come in the order of paths, in partitions of even bytes, from the format file_tree; else from Spark's
+    own reader, which knows more file systems and no order.
     """
     found = existing(spark, [folders] if isinstance(folders, str) else folders)
     kind = "file_id long, path string, folder string, name string, stem string, text string, error string"
     if not found:
         return spark.createDataFrame([], kind)
-    raw = _binary(spark, found, "*.txt", recursive)
+    if in_order:
+        raw = trees.read(spark, found, "*.txt", recursive=recursive).withColumn("name", _base(F.col("path")))
+    else:
+        raw = _binary(spark, found, "*.txt", recursive)
     good = F.is_valid_utf8(F.col("content").cast("string"))
     text = F.regexp_replace(F.col("content").cast("string"), "\r\n?", "\n")
     return raw.select(
@@ -45,6 +55,27 @@ def text_files(spark: SparkSession, folders: str | list[str], recursive: bool =
     )
 
 
+def within(path: Column, folders: list[str]) -> Column:
+    """A path as it is within the folder that all the given ones are in, or are."""
+    plain = [re.sub(r"^[A-Za-z0-9]+:(//[^/]*)?", "", f).rstrip("/") for f in folders]
+    top = posixpath.commonpath([posixpath.abspath(p) for p in plain]).rstrip("/")
+    return F.substring(path, F.instr(path, f"{top}/") + len(top) + 1, F.length(path))
+
+
+def numbered(rows: DataFrame, name: str = "nth") -> DataFrame:
+    """rows with their numbers from 1 in the order of partitions and of rows within them, which stay where they are.
+
+    Only the partitions' counts meet in one place. The order must be the same when rows are read again, as it is for files.
+    """
+    placed = rows.withColumn("__at", F.monotonically_increasing_id())
+    part = F.shiftright("__at", 33)
+    counts = placed.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(counts.select("__part", before.alias("__before")))  # a row for each partition
+    at = F.col("__at").bitwiseAND((1 << 33) - 1) + F.col("__before") + 1
+    return placed.join(starts, part == F.col("__part")).withColumn(name, at).drop("__at", "__part", "__before")
+
+
 def images(spark: SparkSession, folder: str) -> DataFrame:
     """path, stem, content of the photos directly in a folder."""
     raw = _binary(spark, [folder], "*", False).where(F.lower("name").rlike(r"\.(jpg|jpeg|png|bmp)$"))

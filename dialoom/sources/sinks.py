@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import dataset, stats
+from . import files, trees
 
 
 def tables(patients: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -38,16 +39,50 @@ def summary_document(summary: DataFrame, path: str, meta: DataFrame | None = Non
     one_document(full.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value")), path)
 
 
+#: Bytes that a name in a path may have.
+NAME_BYTES = 255
+
+
+class Collisions(ValueError):
+    """Texts that have no place of their own weren't written; report has their paths."""
+
+    def __init__(self, report: str, rows: DataFrame) -> None:
+        super().__init__(f"some texts weren't written, as their paths collide or are none: see {report}")
+        self.report, self.rows = report, rows
+
+
+def collisions(texts: DataFrame) -> DataFrame:
+    """rel_path, n and error of the paths of rel_path rows that are none (bad_path) or that several rows would write (collision).
+
+    A path is none that is null, names no file below a folder, or has a name too long. Paths alone are grouped, not texts.
+    """
+    path = F.col("rel_path")
+    bad = path.isNull() | path.rlike(r"(^|/)\.{0,2}(/|$)") | F.exists(F.split(path, "/"), lambda x: F.octet_length(x) > NAME_BYTES)
+    error = F.when(bad, "bad_path").when(F.col("n") > 1, "collision")
+    return texts.groupBy("rel_path").agg(F.count("*").alias("n")).select("rel_path", "n", error.alias("error")).where(F.col("error").isNotNull())
+
+
 def mirrored(texts: DataFrame) -> DataFrame:
-    """rel_path and text of rel_path, text rows; the error collision marks paths that several rows would write."""
-    n = texts.groupBy("rel_path").agg(F.count("*").alias("n"))
-    return texts.join(n, "rel_path").select("rel_path", "text", F.when(F.col("n") > 1, "collision").alias("error"))
+    """rel_path, text and error (null, collision, bad_path) of rel_path, text rows."""
+    found = collisions(texts).select(F.col("rel_path").alias("p"), "error")
+    return texts.join(found, F.col("rel_path").eqNullSafe(F.col("p")), "left").select("rel_path", "text", "error")
 
 
 def write_mirrored(texts: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Masked or relabelled texts, or pages' markdown, to a new place: a folder for each rel_path that holds its text.
+    """A file for each row of rel_path and text (or binary content), at that path below the given one, its bytes as they are; a null text is empty.
 
-    Colliding paths are left out; mirrored tells which they are. A text's file ends with one line end more.
+    Texts whose paths collide are all left out, the others are written. Then what was left out is reported as rows,
+    in a parquet table at _collisions below the path, and Collisions is raised. mode: errorifexists or overwrite.
     """
-    good = mirrored(texts).where(F.col("error").isNull())
-    good.select("rel_path", "text").write.mode(mode).partitionBy("rel_path").text(path)
+    spark = texts.sparkSession
+    if mode == "errorifexists" and files.existing(spark, [path]):
+        raise FileExistsError(path)
+    report = f"{path.rstrip('/')}/{trees.COLLISIONS}"
+    content = F.coalesce(F.col("content" if "content" in texts.columns else "text").cast("binary"), F.lit(b""))
+    left_out = collisions(texts)
+    kept = texts.where(F.col("rel_path").isNotNull()).join(left_out.select("rel_path"), "rel_path", "left_anti")
+    trees.write(kept.select("rel_path", content.alias("content")), path, mode == "overwrite")
+    left_out.write.mode("overwrite").parquet(report)
+    rows = spark.read.schema("rel_path string, n long, error string").parquet(report)
+    if not rows.isEmpty():
+        raise Collisions(report, rows)

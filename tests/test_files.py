@@ -2,11 +2,12 @@
 
 import json
 import os
+import re
 
 import pytest
 
 from dialoom.__main__ import main
-from dialoom.operators import dataset, dialogue, masking, ocr, speakers, stats
+from dialoom.operators import audit, dataset, dialogue, masking, ocr, speakers, stats
 from dialoom.plans.build import build, build_folder
 from dialoom.sources import files, sinks
 from dialoom.streaming import ingest
@@ -235,8 +236,67 @@ def test_command_line(spark, folder, tmp_path, capsys):
     main(["mask", folder])
     said = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
     assert said[0]["converted_files"] == 2 and said[1]["source_total_files"] == 4
-    assert said[-3]["file_count"] == 4 and said[-2]["files_total"] == 4 and said[-1]["files_output"] == 4
-    assert any("_12，13" in x or "12，13" in x for x in os.listdir(f"{tmp_path}/l"))
+    assert said[-2]["files_total"] == 4 and said[-1]["files_output"] == 4
+    reports = {}
+    for x in said:
+        reports.setdefault(x.get("report"), []).append(x)
+    assert reports["folder"][0]["file_count"] == 4 and [x["name"] for x in reports["no_id"]] == ["[NAME].txt"]
+    assert [(x["id"], len(x["names"])) for x in reports["index"]] == [(7, 1), (9, 1), (12, 1), (13, 1)] and reports["all"][0]["unique_ids"] == 4 and "duplicate" not in reports
+    assert [(x["first"], x["last"]) for x in reports["missing"]] == [(1, 6), (8, 8), (10, 11), (14, 133)]
+    assert sorted(x for x in os.listdir(f"{tmp_path}/l") if x.endswith(".txt")) == sorted(x for x in os.listdir(folder) if x.endswith(".txt"))
+
+
+def detector(text):
+    return [(m.start(), m.end(), "PER") for m in re.finditer("Zoe", text)]
+
+
+def test_texts_keep_their_places(spark, tmp_path, capsys):
+    for name, text in (("a/x/1[N].txt", "Zoe\n"), ("b/x/1[N].txt", "a Zoe"), ("a/x/2[N].txt", "no"), ("a/3 Zoe.txt", "\n"), ("a/3 [NAME].txt", "y")):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_text(text, encoding="utf-8")
+    roots, mask = [f"{tmp_path}/in/a", f"{tmp_path}/in/b"], ["--detector", "tests.test_files:detector", "--chunk-chars", "4", "--overlap", "3"]
+    assert main(["label", *roots, "--out", f"{tmp_path}/l"]) == 0
+    assert {p.relative_to(tmp_path / "l").as_posix(): p.read_bytes() for p in (tmp_path / "l").rglob("*.txt")} == {"a/x/1[N].txt": "[医生]：Zoe\n".encode(), "b/x/1[N].txt": "[医生]：a Zoe".encode(), "a/x/2[N].txt": "[医生]：no".encode(), "a/3 Zoe.txt": b"\n", "a/3 [NAME].txt": "[医生]：y".encode()}
+    capsys.readouterr()
+    assert main(["mask", *roots, *mask, "--dry-run", "--out", f"{tmp_path}/m"]) == 0
+    said = capsys.readouterr().out.splitlines()
+    assert len(said) == 6 and said[0].endswith("a/3 Zoe.txt -> a/3 [NAME].txt") and said[1].endswith("a/3 [NAME].txt -> a/3 [NAME].txt") and not (tmp_path / "m").exists()
+    assert main(["mask", *roots, *mask, "--out", f"{tmp_path}/m"]) == 1  # two files would have one place
+    got = capsys.readouterr()
+    assert json.loads(got.err.splitlines()[0]) == {"rel_path": "a/3 [NAME].txt", "n": 2, "error": "collision"}
+    assert json.loads(got.out.splitlines()[-1]) == {"files_output": 5, "files_renamed": 1, "files_changed": 2}
+    assert {p.relative_to(tmp_path / "m").as_posix(): p.read_text() for p in (tmp_path / "m").rglob("*.txt")} == {"a/x/1[N].txt": "[NAME]\n", "b/x/1[N].txt": "a [NAME]", "a/x/2[N].txt": "no"}
+
+
+def client(request):
+    import base64
+
+    text = base64.b64decode(request["file"]).decode()
+    return 200, json.dumps({"result": {"layoutParsingResults": [{"markdown": {"text": text}}] if text != "none" else []}})
+
+
+def test_photos_to_pages(spark, tmp_path, capsys):
+    (tmp_path / "p").mkdir()
+    for name, text in (("a.JPG", "一"), ("b.png", "none"), ("c.bmp", "三\n")):
+        (tmp_path / "p" / name).write_text(text, encoding="utf-8")
+    args = ["ocr", f"{tmp_path}/p", "--client", "tests.test_files:client", "--pacing", "0", "--out", f"{tmp_path}/md"]
+    pages = lambda: {p.name: p.read_text(encoding="utf-8") for p in (tmp_path / "md").glob("*.md")}
+    assert main(args) == 0 and pages() == {"a.md": "一", "c.md": "三\n"}
+    (tmp_path / "p" / "d.jpeg").write_text("四", encoding="utf-8")
+    (tmp_path / "p" / "b.png").write_text("二", encoding="utf-8")
+    assert main(args) == 0 and pages() == {"a.md": "一", "b.md": "二", "c.md": "三\n", "d.md": "四"}
+    said = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert said == [{"total": 3, "success": 2, "skipped": 0, "failed": 1}, {"total": 4, "success": 2, "skipped": 2, "failed": 0}]
+
+
+def test_gaps_as_ranges(spark):
+    of = lambda ids, *r: [(x["first"], x["last"]) for x in audit.missing_ranges(spark.createDataFrame([(i,) for i in ids], "id long"), *r).orderBy("first").collect()]
+    assert of([]) == [(1, 133)] and of(range(1, 134)) == [] and of([None, 5, 5, 900, -3]) == [(1, 4), (6, 133)]
+    far = [10**12 * i + i % 3 for i in range(1, 300)]
+    ends = [0, *far, 10**15 + 1]
+    assert of(far, 1, 10**15) == [(a + 1, b - 1) for a, b in zip(ends, ends[1:])]
+    assert of(list(range(10**12, 10**12 + 5000)), 10**12 - 2, 10**12 + 5001) == [(10**12 - 2, 10**12 - 1), (10**12 + 5000, 10**12 + 5001)]
+    assert [r.id for r in audit.missing_ids(spark.createDataFrame([(2,), (4,)], "id int"), 1, 5).orderBy("id").collect()] == [1, 3, 5]
 
 
 def test_flat_scan(spark, folder, tmp_path):
