@@ -9,6 +9,7 @@ by bit into chunk rows again, and digests are carried from chunk to chunk; no ta
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -111,10 +112,12 @@ def parse(content: bytes, piece: int = 1 << 20) -> Iterator[tuple[dict[str, str]
 
     def more() -> bool:
         nonlocal inflate, at
-        while at < len(content) or inflate.unconsumed_tail:
-            if inflate.eof:
+        while True:
+            if inflate.eof:  # of a member, which other writers begin anew for each record
                 at -= len(inflate.unused_data)
                 inflate = zlib.decompressobj(31)
+            if at >= len(content) and not inflate.unconsumed_tail:
+                return False
             data = inflate.unconsumed_tail or content[at : at + piece]
             at += 0 if inflate.unconsumed_tail else len(data)
             try:
@@ -125,14 +128,13 @@ def parse(content: bytes, piece: int = 1 << 20) -> Iterator[tuple[dict[str, str]
             held.extend(got)
             if got:
                 return True
-        return False
 
     while True:
         while (end := held.find(b"\r\n\r\n")) < 0:
             if not more():
                 return
         lines = held[:end].decode("utf-8", "replace").split(_NEW_LINE)
-        header = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines[1:])}
+        header = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         if not header.get("content-length", "").isdigit():
             return
         stop = end + 4 + int(header["content-length"])
@@ -142,17 +144,26 @@ def parse(content: bytes, piece: int = 1 << 20) -> Iterator[tuple[dict[str, str]
         del held[: stop + 4]
 
 
+_PAGE, _NUMBER, _DIGEST = re.compile(r"<urn:page:(-?[0-9]{1,19})[#>]"), re.compile("-?[0-9]{1,19}"), re.compile("sha256:([0-9a-f]{64})")
 CHUNK_DDL = "record string, page_id long, url string, type string, refers_to long, chunk int, segmented boolean, bytes long, digest string, data binary"
 
 
 def read(spark: SparkSession, path: str, batch_bytes: int = 1 << 24) -> DataFrame:
-    """The chunk rows of the archives in a folder. bytes and digest are what the header says, null in continuations."""
+    """The chunk rows of the archives in a folder. bytes and digest are what the header says, null in continuations.
+
+    Archives of other writers are read as well: of records that aren't responses, revisits or continuations nothing is
+    kept; a record id or a reference that names no page gives a null page_id or refers_to, and a number or a digest
+    that is none of ours counts as not told.
+    """
     names = [x.split()[0] for x in CHUNK_DDL.split(", ")]
     kinds = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.string(), pa.binary()]
 
+    def number(text: str | None, most: int, default: int | None = None) -> int | None:
+        return int(text) if text and _NUMBER.fullmatch(text) and abs(int(text)) <= most else default
+
     def page(urn: str | None) -> int | None:
-        number = urn.removeprefix("<urn:page:").rstrip(">").partition("#")[0] if urn else "null"
-        return None if number == "null" else int(number)
+        found = _PAGE.match(urn or "")
+        return number(found[1], (1 << 63) - 1) if found else None
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
@@ -169,8 +180,9 @@ def read(spark: SparkSession, path: str, batch_bytes: int = 1 << 24) -> DataFram
                         continue
                     body = block.find(b"\r\n\r\n")
                     data = block if h["warc-type"] == "continuation" else block[body + 4 :] if body >= 0 else b""
-                    length, digest = h.get("x-payload-length"), h.get("warc-payload-digest", "").removeprefix("sha256:")
-                    out.append((f"{record} {h.get('x-row', '')}", page(record), h.get("warc-target-uri"), h["warc-type"], page(h.get("warc-refers-to")), int(h.get("warc-segment-number", 1)), "warc-segment-number" in h, int(length) if length else None, digest or None, data))
+                    length, digest = number(h.get("x-payload-length"), 1 << 62), _DIGEST.fullmatch(h.get("warc-payload-digest", ""))
+                    segment = number(h.get("warc-segment-number"), 1 << 30)
+                    out.append((f"{record} {h.get('x-row', '')}", page(record), h.get("warc-target-uri"), h["warc-type"], page(h.get("warc-refers-to")), segment or 1, segment is not None, length, digest and digest[1], data))
                     size += len(data) + 500
                     if size >= batch_bytes:
                         yield batch()
@@ -184,19 +196,20 @@ def read(spark: SparkSession, path: str, batch_bytes: int = 1 << 24) -> DataFram
 
 
 def records(chunks: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, chunks, intact of each record of chunk rows.
+    """record_id, page_id, payload_bytes, payload_digest, record_type, refers_to, chunks, intact of each record of chunk rows.
 
     A record in one chunk is digested where it is; the chunks of longer ones meet, sorted, in one task, which
     carries the digest from chunk to chunk. intact: what was read has the size and digest that its header says; of a
-    revisit, whose payload is elsewhere, that its header says them.
+    revisit, whose payload is elsewhere, that its header says them. It is null where the header says neither, as other
+    writers' do.
     """
     whole = ~F.col("segmented")
     slim = chunks.select(
         "record", "page_id", "type", "refers_to", "chunk", "bytes", "digest", F.octet_length("data").cast("long").alias("size"),
         F.when(whole, F.sha2("data", 256)).alias("sha"), F.when(~whole, F.col("data")).alias("data"),
     )
-    names = ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "chunks", "intact")
-    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_())
+    names = ("record_id", "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "chunks", "intact")
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.bool_())
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         head, state, size, n = None, None, 0, 0
@@ -207,7 +220,8 @@ def records(chunks: DataFrame) -> DataFrame:
             told = (head["bytes"], head["digest"])
             got = told if head["type"] == "revisit" else (size, sha)
             kind = "revisit" if head["type"] == "revisit" else "response"
-            out.append((head["page_id"], *got, kind, head["refers_to"], n, got == told and None not in told))
+            intact = None if told == (None, None) else got == told and None not in told
+            out.append((head["record"].rpartition(" ")[0], head["page_id"], *got, kind, head["refers_to"], n, intact))
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -228,7 +242,7 @@ def records(chunks: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], list(names))
 
     together = slim.repartition("record").sortWithinPartitions("record", "chunk")
-    return together.mapInArrow(carry, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, chunks int, intact boolean")
+    return together.mapInArrow(carry, "record_id string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, chunks int, intact boolean")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,4 +252,4 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     path = new_path(spark, "warc")
     write(chunk_rows(mark_revisits(table(spark, sf_dir, "pages"))), path)
-    return records(read(spark, path))
+    return records(read(spark, path)).drop("record_id")

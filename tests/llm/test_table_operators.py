@@ -375,3 +375,31 @@ def test_scores(spark, sf, odd, empty):
     assert means[0] < np.median(list(means.values())) < means[1] == means[41] == max(means.values())
     assert ngram_lm.score(empty).count() == 0 and ngram_lm.score(odd, empty).count() == odd.count()
     assert odd.where(F.col("text").isNull()).count() == 1
+
+
+def foreign(kind, block, *fields):
+    head = [f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:uuid:{len(block):032x}>", *fields, f"Content-Length: {len(block)}"]
+    return ("WARC/1.0\r\n" + "\r\n".join(head) + "\r\n\r\n").encode() + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    """uuid ids, records that aren't responses, digests and numbers of other kinds, headers without a space: rows, never a failed job."""
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    bodies = [b"<p>hello</p>" * 9, b"", b"x"]
+    made = [
+        foreign("warcinfo", b"software: other/1.0\r\n"), foreign("request", b"GET / HTTP/1.1\r\nHost: a.example\r\n\r\n"),
+        foreign("response", http + bodies[0], "WARC-Target-URI: http://a.example/", "WARC-Payload-Digest: sha1:2WAXX5NUWNNCS2BDKCO5OVDQBJVNKIVV"),
+        foreign("metadata", b"fetchTimeMs: 1"), foreign("response", http + bodies[1], "WARC-Segment-Number: one", "X-Payload-Length: many"),
+        foreign("revisit", b"HTTP/1.1 200 OK\r\n\r\n", "WARC-Refers-To: <urn:uuid:1>", "WARC-Payload-Digest: md5:1"), foreign("response", http + bodies[2] + b"y" * 3, "X-Payload-Length: 99999999999999999999999999"),
+        foreign("conversion", b"z"), foreign("resource", b"zz"), foreign("response", b"no http", "WARC-Record-ID:<urn:page:12x>"),
+    ]
+    import gzip
+
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(r) for r in made))
+    rows = warc.records(warc.read(spark, f"file://{tmp_path}")).collect()
+    assert len(rows) == 5 and all(r.page_id is None and r.refers_to is None and r.intact is None for r in rows)
+    got = {r.record_id: (r.payload_bytes, r.payload_digest, r.record_type) for r in rows}
+    size = len(http)
+    uuid = lambda n: f"<urn:uuid:{n:032x}>"
+    told = lambda b: (len(b), hashlib.sha256(b).hexdigest(), "response")
+    assert got == {uuid(size + 108): told(bodies[0]), uuid(size): told(b""), uuid(19): (None, None, "revisit"), uuid(size + 4): told(b"xyyy"), "<urn:page:12x>": told(b"")}
