@@ -44,12 +44,16 @@ def ngram_buckets(text: str) -> Iterator[np.ndarray]:
         yield np.concatenate(out)
 
 
+#: Languages whose part of the matrix is one broadcast.
+SLICE = 256
+
+
 @dataclass
 class Model:
-    """log_prob: float32 [BUCKETS, languages]; prior: [languages]."""
+    """log_prob: float32 [BUCKETS, languages], whole or in slices of languages; prior: [languages]."""
 
     languages: list[str]
-    log_prob: np.ndarray
+    log_prob: np.ndarray | list[np.ndarray]
     prior: np.ndarray
     shared: object = field(default=None, repr=False)
 
@@ -58,17 +62,18 @@ class Model:
         if not text or not self.languages or not any(any(map(str.isalpha, m.group())) for m in _LETTER.finditer(text)):
             return UNKNOWN, 0.0
         total = self.prior.copy()
+        slices = self.log_prob if isinstance(self.log_prob, list) else [self.log_prob]
         for buckets in ngram_buckets(text):
-            total += self.log_prob[buckets].sum(axis=0, dtype=np.float64)
+            total += np.concatenate([s[buckets].sum(axis=0, dtype=np.float64) for s in slices])
         best = int(np.argmax(total))
         return self.languages[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = 3_000, max_languages: int = 256, smoothing: float = 0.05) -> Model:
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = 3_000, smoothing: float = 0.05) -> Model:
     """Learns from a sample of at most about max_rows rows of each language (all, if fewer) that have a text.
 
-    Of more than max_languages languages the commonest are learnt, the smaller name first on a tie, which bounds the
-    matrix. The counts are summed in Spark; what the driver gets has at most BUCKETS rows for each language.
+    Every language is learnt, however many there are: the matrix has 256 KB for each. The counts are summed in Spark;
+    what the driver gets has at most BUCKETS rows for each language.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
@@ -85,7 +90,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(n[at])], ["lang", "bucket", "n"])
 
-    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages).collect()
+    sizes = known.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each language
     share = {r.lang: int((1 << 30) * min(1.0, 0.9 * max_rows / r.n)) if r.n > max_rows else 1 << 30 for r in sizes}
     least = F.create_map(*[F.lit(x) for pair in share.items() for x in pair]) if share else F.create_map(F.lit(""), F.lit(0))
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(1 << 30)) < F.coalesce(F.try_element_at(least, F.col("lang")), F.lit(0))
@@ -100,11 +105,13 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
 
 def predict(spark: SparkSession, model: Model, text: Column) -> Column:
-    """struct<lang_pred, score> of a text column. The broadcast matrix is BUCKETS floats for each language."""
-    shared = spark.sparkContext.broadcast((model.languages, model.log_prob, model.prior))
+    """struct<lang_pred, score> of a text column. The matrix, BUCKETS floats for each language, is broadcast in slices of SLICE languages."""
+    slices = [spark.sparkContext.broadcast(np.ascontiguousarray(model.log_prob[:, i : i + SLICE])) for i in range(0, len(model.languages), SLICE)]
+    shared = spark.sparkContext.broadcast((model.languages, model.prior))
 
     def of(texts: pa.Array) -> pa.Array:
-        scorer = Model(*shared.value)
+        languages, prior = shared.value
+        scorer = Model(languages, [s.value for s in slices], prior)
         lang, score = zip(*map(scorer.predict_text, each(texts))) if len(texts) else ((), ())
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
 

@@ -344,3 +344,15 @@ def test_more_kinds_and_redaction(odd, empty):
     assert odd.select(pii.redact(F.col("text")).alias("t")).where("t is null").count() == 1
     assert pii.scan(empty).count() == 0 and pii.scan(odd).count() == odd.count()
     assert zlib.crc32(b"") == 0 and public_vocabulary("x")
+
+
+def test_every_language_is_learnt(spark):
+    """More languages than a slice of the matrix has, those of the last slice as well as the first."""
+    word = lambda k: "".join(chr(97 + (k * 7 + i * (k % 11 + 1)) % 26) for i in range(9)) + chr(0x400 + k)
+    rows = [(3 * k + i, f"{word(k)} {word(k)} {i}", f"l{k:03}") for k in range(300) for i in range(2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(docs)
+    assert len(model.languages) == 300 and language_id.SLICE < 300
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs, model).collect()}
+    assert got == {i: lang for i, _, lang in rows}
+    assert model.predict_text(rows[-1][1])[0] == "l299"
