@@ -7,7 +7,7 @@ import importlib
 import json
 import sys
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import audit, dataset, masking, ocr, speakers, stats
@@ -113,16 +113,20 @@ def main(argv: list[str] | None = None) -> int:
     parser.add_argument("--pacing", type=float, default=0.5, help="seconds after each photo of a task (ocr)")
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("dialoom").getOrCreate()
+    failed = 0
     if args.command == "build":
         patients = build_folder(spark, args.folders, args.sheet)
         if args.out:
             sinks.one_document(dataset.document(patients, ",".join(args.folders)), args.out)
         _report(dataset.build_counts(patients))
     elif args.command in ("split", "stats"):
-        document = files.dataset(spark, args.folders[0])
+        document, faults = files.checked(spark, args.folders[0])
+        for row in faults.toLocalIterator():
+            failed = 1
+            print(json.dumps(row.asDict(), ensure_ascii=False), file=sys.stderr)
         patients, meta = files.patients_of(document), files.meta_of(document)
         if args.command == "split":
-            known = meta.first()
+            known = meta.first() or Row(source_total_files=0, source_converted_files=0)
             divided = dataset.split(patients)
             for row in dataset.split_counts(divided, known.source_total_files, known.source_converted_files).collect():
                 print(json.dumps(row.asDict()))
@@ -139,7 +143,7 @@ def main(argv: list[str] | None = None) -> int:
         return _ocr(args, spark)
     else:
         return _texts(args, spark)
-    return 0
+    return failed
 
 
 if __name__ == "__main__":

@@ -32,17 +32,31 @@ def converted(patients: DataFrame) -> DataFrame:
     return patients.where(F.col("error").isNull()) if "error" in patients.columns else patients
 
 
-def build_counts(patients: DataFrame) -> DataFrame:
-    """One row of the build's counters; errors lists the files that failed, by path."""
+def _counters() -> list[Column]:
     good = F.col("error").isNull()
     some = lambda c: F.size(F.coalesce(c, F.array())) > 0
-    return patients.agg(
+    return [
         F.count("*").alias("total_files"), F.count_if(good).alias("converted_files"), F.count_if(~good).alias("failed_files"),
         F.count_if(some("keywords")).alias("patients_with_keywords"), F.count_if(F.col("gender") != "").alias("patients_with_gender"),
         F.count_if(F.col("age").isNotNull()).alias("patients_with_age"), F.count_if(some("scales")).alias("patients_with_scales"),
         F.coalesce(F.sum(F.size(F.coalesce("visits", F.array()))), F.lit(0)).alias("total_visits"),
-        F.sort_array(F.collect_list(F.when(~good, F.struct(F.col("path").alias("file"), "error")))).alias("errors"),
-    )
+    ]
+
+
+def build_figures(patients: DataFrame) -> DataFrame:
+    """One row of the build's counters, without its errors, which are as many as there are: see build_errors."""
+    return patients.agg(*_counters())
+
+
+def build_errors(patients: DataFrame) -> DataFrame:
+    """file and error of each file that failed."""
+    return patients.where(F.col("error").isNotNull()).select(F.col("path").alias("file"), "error")
+
+
+def build_counts(patients: DataFrame) -> DataFrame:
+    """One row of the build's counters; errors lists the files that failed, by path: for a build whose failures one machine can hold."""
+    failed = F.when(F.col("error").isNotNull(), F.struct(F.col("path").alias("file"), "error"))
+    return patients.agg(*_counters(), F.sort_array(F.collect_list(failed)).alias("errors"))
 
 
 def in_order(patients: DataFrame) -> DataFrame:
@@ -79,12 +93,39 @@ def turns_without(turns: DataFrame, key: str, role: str = CAREGIVER) -> DataFram
     return turns.join(turns.where(F.col("role") == role).select(key), key, "left_anti")
 
 
+#: The nested record of a patient in a document.
+RECORD = ("patient_id", "name", "gender", "age", "keywords", "scales", "visits")
+
+
+def document_head(patients: DataFrame, source_dir: str, split_name: str | None = None, source_total: int = 0, source_converted: int = 0) -> DataFrame:
+    """The document with its counters, its lists of errors and patients left empty: one row, however many patients there are."""
+    meta = [F.lit(SCHEMA_VERSION).alias("schema_version"), F.lit(True).alias("patient_centered"), F.lit(source_dir).alias("source_dir"), *([F.lit(split_name).alias("split")] if split_name else [])]
+    if split_name:
+        counts = split_counts(converted(patients).withColumn("split", F.lit(split_name)), source_total, source_converted).drop("split")
+        none = patients.sparkSession.createDataFrame([(0, 0, source_total, source_converted)], "total_patients long, total_visits long, source_total_files long, source_converted_files long")
+        counts = counts.union(none).orderBy(F.desc("total_patients")).limit(1)  # a split that nobody is in
+    else:
+        counts = build_figures(patients).withColumn("errors", F.array().cast("array<string>"))
+    empty = F.array().cast("array<string>").alias("patients")
+    return counts.select(F.to_json(F.struct(F.struct(*meta).alias("dataset_meta"), F.struct(*counts.columns).alias("stats"), empty), {"pretty": "true"}).alias("value"))
+
+
+def document_pieces(rows: DataFrame, fields: tuple[str, ...], depth: int, *order: Column | str) -> DataFrame:
+    """value: each row's fields as an object of a list that is depth levels deep in a document, in order from partition to partition.
+
+    Rows are dealt to partitions by ranges of the order, each of which a task can write by itself.
+    """
+    text = F.regexp_replace(F.to_json(F.struct(*fields), {"pretty": "true"}), "\n", "\n" + "  " * depth)  # strings hold no line ends as they are
+    keys = [F.col(o) if isinstance(o, str) else o for o in order]
+    return rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select(text.alias("value"))
+
+
 def document(patients: DataFrame, source_dir: str, split_name: str | None = None, source_total: int = 0, source_converted: int = 0) -> DataFrame:
     """One row, one JSON document: for export of a dataset that one machine can hold. Null fields are left out.
 
     source_total, source_converted: the counters of the build that a split was made of; without a split they're counted.
     """
-    nested = F.struct("patient_id", "name", "gender", "age", "keywords", "scales", "visits")
+    nested = F.struct(*RECORD)
     ordered = F.struct(clinical.numeric_suffix(F.col("patient_id")).alias("n"), "path", nested.alias("p"))
     good = converted(patients)
     listed = good.agg(F.sort_array(F.collect_list(F.struct(F.col("file_id"), ordered.alias("o")))).alias("x"))

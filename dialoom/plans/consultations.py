@@ -225,11 +225,33 @@ def _scratch(spark: SparkSession) -> str:
 @query(f"""SELECT printf('P-%06d', conv_id + 1) AS patient_id, (conv_id + 1) || '.txt' AS source_file, n_visits::INT AS n_visits, (SELECT count(*) FROM {_FILES})::BIGINT AS source_total_files,
     (SELECT count(*) FROM {_FILES} WHERE error IS NULL)::BIGINT AS source_converted_files FROM {_FILES} WHERE error IS NULL""")
 def document_patients(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The dataset as one JSON document, read back."""
+    """The dataset as one JSON document that tasks write in parts, read back part by part."""
     path = _scratch(spark)
-    sinks.one_document(dataset.document(_built(spark, sf_dir), "in"), path)
-    back = files.dataset(spark, path)
-    return files.patients_of(back).select("patient_id", F.col("path").alias("source_file"), F.size("visits").alias("n_visits")).crossJoin(files.meta_of(back).drop("schema_version"))  # one row
+    sinks.tables(_built(spark, sf_dir), f"{path}/table")
+    sinks.ordered_document(spark.read.parquet(f"{path}/table"), f"{path}/document", "in")
+    back = files.document_patients(spark, f"{path}/document")
+    return back.select("patient_id", F.col("path").alias("source_file"), F.size("visits").alias("n_visits")).crossJoin(files.document_meta(spark, f"{path}/document").drop("schema_version"))  # one row
+
+
+_FAULTY = """(SELECT conv_id, sum(length(text))::BIGINT % 5 AS kind, '{"stats": {"total_files": ' || count(*) || '}, "patients": [{"patient_id": "P-' || conv_id || '"' AS good FROM conversations GROUP BY 1)"""
+
+
+@query(f"""SELECT conv_id, CASE kind WHEN 0 THEN 'empty_document' WHEN 1 THEN 'malformed_json' WHEN 2 THEN 'wrong_type' WHEN 3 THEN 'wrong_type' END AS error,
+    CASE kind WHEN 1 THEN '1:' || (length(good) + 1) WHEN 2 THEN '$.patients[0].age' WHEN 3 THEN '$.patients[0].visits[1].dialogue.turns' END AS place, CASE kind WHEN 4 THEN 1 END::INT AS n_patients FROM {_FAULTY}""")
+def faulty_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document for each conversation, of which some are empty, cut off or hold values of other types: rows with a code and a place."""
+    by = read(spark, sf_dir, "conversations").groupBy("conv_id").agg((F.sum(F.length("text")) % 5).alias("kind"), F.count("*").alias("n"))
+    start = F.concat(F.lit('{"stats": {"total_files": '), F.col("n").cast("string"), F.lit('}, "patients": [{"patient_id": "P-'), F.col("conv_id").cast("string"), F.lit('"'))
+    end = {2: ', "age": "ten"}]}', 3: ', "visits": [{}, {"dialogue": {"turns": "x"}}]}]}', 4: "}]}"}
+    text = F.when(F.col("kind") == 0, " \n").when(F.col("kind") == 1, start)
+    for kind, rest in end.items():
+        text = text.when(F.col("kind") == kind, F.concat(start, F.lit(rest)))
+    path = _scratch(spark)
+    sinks.write_mirrored(by.select(F.format_string("%d.json", "conv_id").alias("rel_path"), text.alias("text")), path)
+    good, bad = files.checked(spark, path, "*.json")
+    conv = F.regexp_extract("path", r"(\d+)\.json$", 1).cast("long").alias("conv_id")
+    none = lambda kind: F.lit(None).cast(kind)
+    return bad.select(conv, "error", "place", none("int").alias("n_patients")).unionByName(good.select(conv, none("string").alias("error"), none("string").alias("place"), F.size("patients").alias("n_patients")))
 
 
 def _addresses(text: str) -> list[tuple[int, int, str]]:

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import clinical
 from ..operators import dataset, stats
 from . import files, trees
 
@@ -24,6 +27,44 @@ def one_document(document: DataFrame, path: str, mode: str = "errorifexists") ->
     document.coalesce(1).write.mode(mode).text(path)
 
 
+#: What stands between the objects of a list in a document, and how its empty lists look.
+_BETWEEN, _EMPTY = ", ", '"%s" : [ ]'
+MANIFEST = "manifest.json"
+
+
+def ordered_document(patients: DataFrame, path: str, source_dir: str, split_name: str | None = None, source_total: int = 0, source_converted: int = 0) -> None:
+    """The dataset as one document in parts: byte for byte what dataset.document gives in one row, for any number of patients.
+
+    head holds the document with its lists empty, patients and errors hold the lists' objects in files that tasks
+    wrote side by side, in order from file to file, and manifest.json says which bytes of which make the document, in
+    order: join_document puts them together, files.document_patients reads the parts as they are. patients is read
+    several times, so it had best be a table.
+    """
+    spark = patients.sparkSession
+    head = dataset.document_head(patients, source_dir, split_name, source_total, source_converted)
+    head.coalesce(1).write.text(f"{path}/head")
+    text = "\n".join(r.value for r in spark.read.text(f"{path}/head").collect())  # one small document
+    lists = {"patients": dataset.document_pieces(dataset.converted(patients), dataset.RECORD, 1, clinical.numeric_suffix(F.col("patient_id")), "path")}
+    if not split_name:
+        lists = {"errors": dataset.document_pieces(dataset.build_errors(patients), ("file", "error"), 2, "file", "error"), **lists}
+    manifest: list[dict] = []
+    for name, pieces in lists.items():
+        pieces.write.option("lineSep", _BETWEEN).text(f"{path}/{name}")
+        parts = [{"path": f"{name}/{n}", "bytes": size} for n, size in files.listed(spark, f"{path}/{name}") if size and n.startswith("part-")]
+        before, _, text = text.partition(_EMPTY % name)
+        if parts:
+            parts[-1]["bytes"] -= len(_BETWEEN)  # nothing comes after the last
+        manifest += [{"text": before + (_EMPTY % name)[:-1]}, *parts, {"text": "]" if not parts else " ]"}]
+    manifest.append({"text": text})
+    files.put(spark, f"{path}/{MANIFEST}", json.dumps(manifest, ensure_ascii=False).encode())
+
+
+def join_document(spark: SparkSession, path: str, out: str) -> None:
+    """The parts of ordered_document as one file, copied a buffer at a time in whatever file system they are in."""
+    manifest = json.loads(files.get(spark, f"{path}/{MANIFEST}"))
+    files.concatenate(spark, [m["text"].encode() if "text" in m else (f"{path}/{m['path']}", m["bytes"]) for m in manifest], out)
+
+
 def split_documents(patients: DataFrame, path: str, source_dir: str) -> None:
     """The two parts as documents, each with its own label."""
     divided, counts = dataset.split(patients), dataset.build_counts(patients).select("total_files", "converted_files").first()

@@ -72,14 +72,15 @@ class TreeReader(DataSourceReader):
         self.most = int(options.get("partitionbytes", options.get("partitionBytes", 128 << 20)))
 
     def listed(self) -> list[tuple[str, str, int]]:
-        """path, path within its root and size of all files that the filters let pass, in order; a missing root has none."""
+        """path, path within its root and size of all files that the filters let pass, in order; a missing root has none, a root that is a file itself alone."""
         found = set()
         for root in self.roots:
             system, top = located(root)
-            if system.get_file_info(top).type != pafs.FileType.Directory:
+            itself = system.get_file_info(top)
+            if itself.type == pafs.FileType.NotFound:
                 continue
-            for info in system.get_file_info(pafs.FileSelector(top, recursive=self.recursive)):
-                rel = posixpath.relpath(info.path, top)
+            for info in [itself] if itself.is_file else system.get_file_info(pafs.FileSelector(top, recursive=self.recursive)):
+                rel = itself.base_name if itself.is_file else posixpath.relpath(info.path, top)
                 own = not rel.startswith((STAGING, f"{COLLISIONS}/")) and rel != DONE
                 if info.is_file and own and rel.startswith(self.prefix) and fnmatchcase(info.base_name, self.pattern):
                     found.add((info.path if root.startswith(("/", "file:")) else f"{root.rstrip('/')}/{rel}", rel, info.size))

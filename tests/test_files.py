@@ -52,6 +52,14 @@ def test_text_files(spark, folder):
     assert files.text_files(spark, f"{folder}/missing").count() == 0
 
 
+def test_empty_files_are_files(spark, tmp_path):
+    (tmp_path / "5x.txt").touch()
+    (row,) = files.text_files(spark, str(tmp_path)).collect()
+    assert (row.stem, row.text, row.error) == ("5x", "", None)
+    (built,) = build_folder(spark, str(tmp_path)).collect()
+    assert (built.patient_id, built.visits, built.error) == ("P-000005", [], None)
+
+
 def test_build_folder(spark, folder):
     rows = by_first_id(build_folder(spark, folder))
     man, child = rows[9], rows[12]
