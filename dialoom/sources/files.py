@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from . import trees
+from . import trees, workbooks
 
 _TURN = "struct<role:string,text:string,speaker_note:string>"
 _SCALE = "struct<items:array<int>,total:int>"
@@ -125,15 +125,10 @@ def images(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def sheet(spark: SparkSession, path: str) -> DataFrame:
-    """A score sheet: parquet, csv with a header (all strings), or xlsx where pandas has a reader for it.
-
-    A workbook is one questionnaire's answers, and is read on the driver.
-    """
+    """A score sheet: parquet, csv with a header, or a workbook (xlsx, or a folder of them named so); all strings but in parquet."""
     kind = path.rstrip("/").rsplit(".", 1)[-1].lower()
-    if kind in ("xlsx", "xls"):
-        import pandas as pd
-
-        return spark.createDataFrame(pd.read_excel(path, dtype=str))
+    if kind in ("xlsx", "xlsm"):
+        return workbooks.read(spark, path)
     if kind == "parquet":
         return spark.read.parquet(path)
     return spark.read.option("header", "true").option("multiLine", "true").option("escape", '"').csv(path)
