@@ -90,10 +90,16 @@ def tallied(patients: DataFrame) -> DataFrame:
 
 def summary(patients: DataFrame) -> DataFrame:
     """One row of nested statistics; failed files are no patients. All figures come from one pass over patients, see tallied."""
+    return figures(tallied(patients))
+
+
+def figures(tallies: DataFrame) -> DataFrame:
+    """The summary of tallied rows, those of several builds or batches as well: what each has adds up."""
+    tallies = tallies.groupBy("figure", "key", "value").agg(F.sum("n").alias("n"))
     is_a = lambda figure: F.col("figure") == figure
     many = lambda figure: F.coalesce(F.sum(F.when(is_a(figure), F.col("n"))), F.lit(0))
     by_key = lambda figure: F.map_from_entries(F.sort_array(F.collect_list(F.when(is_a(figure), F.struct("key", "n")))))  # noqa: E731  a row for each key
-    return _placed(tallied(patients), "figure").agg(
+    return _placed(tallies, "figure").agg(
         F.struct(many("patients").alias("patient_count"), many("keywords").alias("patients_with_keywords"), many("scales").alias("patients_with_scales")).alias("base"),
         F.struct(by_key("gender").alias("gender_distribution"), F.struct(_figures(is_a("age")).alias("age_stats"), by_key("age_band").alias("age_buckets")).alias("age_distribution")).alias("demographics"),
         F.struct(_figures(is_a("visits")).alias("visits_per_patient"), _figures(is_a("turns")).alias("turns_per_visit"), by_key("role").alias("turn_role_distribution")).alias("visits_and_dialogue"),

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import clinical
 from ..operators import audit, dataset, dialogue, masking, ocr, scales, speakers, stats
 from ..sources import files, sinks, trees
+from ..streaming import photos
 from .build import build
 from .registry import EMAIL, query, read
 
@@ -321,6 +322,21 @@ def ocr_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ocr.counts(*_photos(spark, sf_dir))
 
 
+@query(f"""WITH p AS (SELECT *, n % 4 = 1 AS again FROM {_PHOTO})
+SELECT page_id::VARCHAR AS stem, CASE WHEN again THEN 3 ELSE 1 END::INT AS attempts, CASE WHEN n % 4 = 0 THEN 'success' ELSE 'failed' END AS status, CASE n % 4 WHEN 0 THEN 'p' || n || chr(10) || 'q' END AS text FROM p""")
+def photo_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as photos that arrive in two rounds; those that the service couldn't take are tried again in later rounds, after which they have failed for good."""
+    path, pages = _scratch(spark), read(spark, sf_dir, "pages")
+    rows = pages.select(F.col("page_id").cast("string").alias("path"), F.col("page_id").cast("string").alias("stem"), F.coalesce("html", F.lit("")).cast("binary").alias("content"), "page_id")
+    again = lambda due: due.join(rows.select("stem", "content"), "stem")
+    for number in range(4):
+        came = rows.where(F.col("page_id") % 2 == number).drop("page_id") if number < 2 else None
+        now = F.lit(f"2030-01-0{number + 1} 00:00:00").cast("timestamp")
+        for _ in range(2):  # the second as after a restart: nothing is sent again
+            photos.take(spark, came, path, _answer, str(number), now, again, pacing=0, prepare=_as_it_is)
+    return photos.standing(photos.ledger(spark, path)).select("stem", "attempts", "status", "text")
+
+
 def _stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers and suppliers as two folders of files; every fifth customer's name begins with no id."""
     key = F.col("c_custkey").cast("string")
