@@ -43,9 +43,9 @@ def _counters() -> list[Column]:
     ]
 
 
-def build_figures(patients: DataFrame) -> DataFrame:
-    """One row of the build's counters, without its errors, which are as many as there are: see build_errors."""
-    return patients.agg(*_counters())
+def build_figures(patients: DataFrame, *by: str) -> DataFrame:
+    """One row of the build's counters, or one for each value of some columns, without its errors, which are as many as there are: see build_errors."""
+    return patients.groupBy(*by).agg(*_counters())
 
 
 def build_errors(patients: DataFrame) -> DataFrame:

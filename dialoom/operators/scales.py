@@ -12,6 +12,10 @@ ID_COLUMN, ITEM_PHRASE = "序号", "在过去2个星期"
 SCALES = {"GAD-7": ("G", 7), "PHQ-9": ("P", 9)}
 
 
+#: A patient's scale records.
+RECORDS = "array<struct<respondent_role:string,`GAD-7`:struct<items:array<int>,total:int>,`PHQ-9`:struct<items:array<int>,total:int>>>"
+
+
 class NoIdColumn(KeyError):
     """The sheet has no column of ids."""
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clinical
@@ -140,6 +140,18 @@ def label(files: DataFrame, key: str = "file_id") -> DataFrame:
     return df.select(F.col("k").alias(key), "text_out", (~F.col("text_out").eqNullSafe(F.col("text"))).alias("changed"), "explicit_turns", "heuristic_turns")
 
 
+def carry_forward(rows: DataFrame, value: Column, by: list[str], order: list[str], name: str) -> DataFrame:
+    """rows with the last value that isn't null so far, of those with the same by in an order: the flat form of role lines that hold for the lines after them."""
+    so_far = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return rows.withColumn(name, F.last(value, ignorenulls=True).over(so_far))
+
+
+def alternate(rows: DataFrame, first: Column, other: Column, by: list[str], order: list[str], name: str) -> DataFrame:
+    """rows with two values in turn, of those with the same by in an order: the flat form of speakers who alternate."""
+    nth = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return rows.withColumn(name, F.when(nth % 2 == 1, first).otherwise(other))
+
+
 def label_counts(labelled: DataFrame) -> DataFrame:
     """One row: files, those changed, with explicit and with guessed labels, and the numbers of both."""
     total = lambda c: F.coalesce(F.sum(c), F.lit(0)).alias(c)

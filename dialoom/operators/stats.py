@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clinical
@@ -120,6 +120,20 @@ _COUNTED = {
 DEFINITIONS = _COUNTED | {f"{path}.{stat}": f"{stat} of {what}" for path, what in _MEASURED.items() for stat in ("count", "mean", "median", "min", "max")}
 
 
-def metric_definitions(spark: SparkSession) -> DataFrame:
-    """metric and definition of each of the summary's 33 figures."""
-    return spark.createDataFrame(sorted(DEFINITIONS.items()), "metric string, definition string")
+def explained(summary: DataFrame) -> DataFrame:
+    """metric, definition, value and counts: each of a summary's 33 figures with its meaning. A distribution has its counts as key=n, joined by commas, any other figure a value."""
+    rows = []
+    for metric, definition in sorted(DEFINITIONS.items()):
+        spread = metric in _COUNTED and not metric.startswith("base.")
+        found = F.col(metric)
+        counts = F.array_join(F.transform(F.array_sort(F.map_entries(found)), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string"))), ",") if spread else F.lit(None).cast("string")
+        rows.append(F.struct(F.lit(metric).alias("metric"), F.lit(definition).alias("definition"), (F.lit(None) if spread else found).cast("double").alias("value"), counts.alias("counts")))
+    return summary.select(F.inline(F.array(*rows)))
+
+
+def role_profile(turns: DataFrame, key: str) -> DataFrame:
+    """role, n_turns, n_patients, n_chars, last_turn and median_chars of turns (key, turn, role, text): what each role says."""
+    n = F.length("text")
+    return turns.groupBy("role").agg(
+        F.count("*").alias("n_turns"), F.count_distinct(key).alias("n_patients"), F.sum(n).cast("long").alias("n_chars"), F.max("turn").alias("last_turn"), F.round(F.median(n), 2).alias("median_chars")
+    )

@@ -27,8 +27,7 @@ def build(text_rows: DataFrame, sheet: DataFrame | None) -> DataFrame:
     except KeyError:
         rows, fault = None, "no_column"
     if rows is None:
-        record = "array<struct<respondent_role:string,`GAD-7`:struct<items:array<int>,total:int>,`PHQ-9`:struct<items:array<int>,total:int>>>"
-        found = parsed.withColumns({"scales": F.array().cast(record), "scale_error": F.lit(fault).cast("string")})
+        found = parsed.withColumns({"scales": F.array().cast(scales.RECORDS), "scale_error": F.lit(fault).cast("string")})
     else:
         found = parsed.join(scales.lookup(titled.select("file_id", F.col("meta.ids").alias("ids")), rows), "file_id", "left")
     return dataset.assemble(found.withColumn("error", F.coalesce("error", "scale_error")))

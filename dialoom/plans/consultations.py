@@ -49,6 +49,19 @@ def _dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.withColumn("text", F.concat(head, "text"))
 
 
+@query(f"""WITH t AS (SELECT conv_id, turn, replace({_FLAT}, 'OUT', 'out') AS flat FROM conversations)
+SELECT conv_id, (2 * ((turn + 1) // 3) + 1)::INT AS visit_no, count(*)::INT AS n_turns, md5(string_agg(CASE turn % 3 WHEN 1 THEN 'patient:' ELSE 'doctor:' END || flat, '|' ORDER BY turn)) AS digest FROM t GROUP BY ALL
+UNION ALL SELECT conv_id, (2 * (turn // 3) + 2)::INT, 0, md5('') FROM t WHERE turn % 3 = 1""")
+def inline_separators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Separators within lines: what stands before one ends a visit, what stands after it opens the next, which has no turns if that holds no marker."""
+    flat = F.replace("flat", F.lit("OUT"), F.lit("out"))
+    line = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("[医生]："), flat)).when(F.col("turn") % 3 == 1, F.concat(F.lit("[患者]："), flat, F.lit("OUT尾OUT"))).otherwise(F.concat(F.lit("[医生]："), flat))
+    apart = F.when(F.col("turn") % 3 == 1, F.lit("出去"))
+    parsed = dialogue.parse(_transcripts(spark, sf_dir, line, apart)).select("conv_id", F.inline("visits"))
+    said = F.array_join(F.transform("turns", lambda t: F.concat_ws(":", t["role"], t["text"])), "|")
+    return parsed.select("conv_id", "visit_no", F.size("turns").alias("n_turns"), F.md5(said).alias("digest"))
+
+
 #: The turns that a dialogue is to give: from the first doctor's on, visits of four numbers each.
 _TURNS = f"""(WITH t AS (SELECT *, coalesce(min(CASE WHEN role = 'assistant' THEN turn END) OVER (PARTITION BY conv_id), 0) AS first FROM {_TURN}),
 v AS (SELECT *, dense_rank() OVER (PARTITION BY conv_id ORDER BY turn // 4) AS visit_no FROM t WHERE turn >= first)
@@ -125,14 +138,15 @@ _RULES = """(VALUES (0, '【D】 你好', '[医生]：你好', NULL, false, fals
     (5, '家属12', NULL, '[患者家属]', false, false, false, '[患者]'), (6, '文字记录:', NULL, NULL, true, true, false, '[患者]'), (7, '录于 2030年 1月2日', NULL, NULL, true, true, false, '[患者]'),
     (8, '你好，医生', NULL, NULL, false, false, true, '[患者]'), (9, '请问医生', NULL, NULL, false, false, true, '[患者]'), (10, '我儿子咳', NULL, NULL, false, false, false, '[患者家属]'), (11, ' ', NULL, NULL, true, true, false, '[患者]'),
     (12, '我孙女', NULL, NULL, false, false, false, '[患者家属]'), (13, '他爸爸', NULL, NULL, false, false, false, '[患者家属]'), (14, '家里', NULL, NULL, false, false, false, '[患者家属]'), (15, '医生：我', NULL, NULL, false, false, true, '[患者]'),
-    (16, '患者', NULL, '[患者]', false, false, false, '[患者]'))"""
+    (16, '患者', NULL, '[患者]', false, false, false, '[患者]'), (17, '我家孩子', NULL, NULL, false, false, false, '[患者家属]'), (18, '问我女儿', NULL, NULL, false, false, false, '[患者家属]'), (19, '我孙子呢', NULL, NULL, false, false, false, '[患者家属]'),
+    (20, '他妈妈说', NULL, NULL, false, false, false, '[患者家属]'), (21, '孩子', NULL, NULL, false, false, false, '[患者家属]'))"""
 _RULE_LINES = re.findall(r"\(\d+, '([^']*)'", _RULES)
 
 
-@query(f"SELECT p_partkey, bracket, role_line, meta, skipped, opener, CASE WHEN p_size < 18 THEN '[患者家属]' ELSE other END AS other FROM part JOIN {_RULES} r(n, line, bracket, role_line, meta, skipped, opener, other) ON p_partkey % 17 = n")
+@query(f"SELECT p_partkey, bracket, role_line, meta, skipped, opener, CASE WHEN p_size < 18 THEN '[患者家属]' ELSE other END AS other FROM part JOIN {_RULES} r(n, line, bracket, role_line, meta, skipped, opener, other) ON round(p_retailprice * 100)::BIGINT % 22 = n")
 def label_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The rules for single lines, a part's number choosing the line and its size being the age."""
-    line = F.element_at(F.array(*map(F.lit, _RULE_LINES)), (F.col("p_partkey") % len(_RULE_LINES) + 1).cast("int"))
+    """The rules for single lines, all nine cues among them; a part's price chooses the line, its size is the age."""
+    line = F.element_at(F.array(*map(F.lit, _RULE_LINES)), (F.round(F.col("p_retailprice") * 100).cast("long") % len(_RULE_LINES) + 1).cast("int"))
     df = read(spark, sf_dir, "part").select("p_partkey", "p_size", line.alias("line"))
     x = F.col("line")
     return df.select("p_partkey", speakers.bracket_label(x).alias("bracket"), speakers.role_line(x).alias("role_line"), speakers.is_meta(x).alias("meta"), speakers.is_skipped(x).alias("skipped"), speakers.is_patient_opener(x).alias("opener"), speakers.other_side(F.col("p_size"), x).alias("other"))
@@ -140,10 +154,10 @@ def label_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT k, CASE n WHEN 0 THEN k::VARCHAR WHEN 1 THEN k || ',' || (k + 1) WHEN 2 THEN k::VARCHAR WHEN 4 THEN '12' END AS ids, CASE n WHEN 3 THEN NULL WHEN 4 THEN '3' ELSE '[N]' END AS name,
     CASE n WHEN 1 THEN '男' WHEN 2 THEN '女' END AS gender, CASE n WHEN 1 THEN (k % 90)::INT END AS age, CASE n WHEN 1 THEN (k % 90)::INT END AS age_in_stem,
-    CASE n WHEN 0 THEN k::VARCHAR WHEN 1 THEN k || ',' || (k + 1) WHEN 2 THEN k::VARCHAR WHEN 3 THEN '' ELSE '123' END AS prefix_ids FROM (SELECT c_custkey + 1 AS k, c_custkey % 5 AS n FROM customer)""")
+    CASE n WHEN 0 THEN k::VARCHAR WHEN 1 THEN k || ',' || (k + 1) WHEN 2 THEN k::VARCHAR WHEN 3 THEN '' ELSE '123' END AS prefix_ids FROM (SELECT c_custkey + 1 AS k, floor(abs(c_acctbal))::BIGINT % 5 AS n FROM customer)""")
 def title_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """File stems of every form: ids and a name, several ids, a gender, an age, no id, digits alone."""
-    k, n = (F.col("c_custkey") + 1).cast("string"), F.col("c_custkey") % 5
+    """File stems of every form, as a customer's balance chooses: ids and a name, several ids, a gender, an age, no id, digits alone."""
+    k, n = (F.col("c_custkey") + 1).cast("string"), F.floor(F.abs("c_acctbal")).cast("long") % 5
     many = F.concat(k, F.lit("，"), (F.col("c_custkey") + 2).cast("string"), F.lit(" [N] 男 "), ((F.col("c_custkey") + 1) % 90).cast("string"), F.lit("岁"))
     stem = F.when(n == 0, F.concat(k, F.lit("[N]"))).when(n == 1, many).when(n == 2, F.concat(k, F.lit(" [N] 女"))).when(n == 3, F.lit("[N]")).otherwise("123")
     df = read(spark, sf_dir, "customer").select((F.col("c_custkey") + 1).alias("k"), stem.alias("stem"))
@@ -278,10 +292,12 @@ def mask_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masking.mask_counts(_masked(spark, sf_dir))
 
 
-@query("SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'NAME' WHEN 1 THEN 'ORG' WHEN 2 THEN 'NAME' END AS kind FROM customer")
+@query("""SELECT doc_id, label, CASE WHEN regexp_matches(upper(label), 'PER|NAME') THEN 'NAME' WHEN contains(upper(label), 'ORG') THEN 'ORG' END AS kind
+FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS label FROM documents) WHERE regexp_matches(label, '[ap][en]r|o[rn]|na')""")
 def entity_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    label = F.element_at(F.array(*map(F.lit, ("B-per", "I-org", "Full_Name", "DATE"))), (F.col("c_custkey") % 4 + 1).cast("int"))
-    return read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), masking.entity_kind(label).alias("kind"))
+    """The documents' words that look somewhat like labels, as labels."""
+    words = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0))).alias("label")).distinct()
+    return words.where(F.col("label").rlike("[ap][en]r|o[rn]|na")).select("doc_id", "label", masking.entity_kind(F.col("label")).alias("kind"))
 
 
 def _answer(request: dict) -> tuple[int, str]:
@@ -355,10 +371,10 @@ def ids_of_all_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.all_ids(_stems(spark, sf_dir))
 
 
-@query("SELECT CASE c_custkey % 3 WHEN 0 THEN '男' WHEN 1 THEN '女' ELSE 'unknown' END AS key, count(*)::BIGINT AS n FROM customer GROUP BY 1")
+@query("SELECT CASE WHEN c_mktsegment < 'B' THEN '男' WHEN c_mktsegment < 'H' THEN '女' ELSE 'unknown' END AS key, count(*)::BIGINT AS n FROM customer GROUP BY 1")
 def gender_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An empty gender counts as unknown."""
-    gender = F.when(F.col("c_custkey") % 3 == 0, "男").when(F.col("c_custkey") % 3 == 1, "女").otherwise("")
+    """Customers by what their segment stands for; an empty gender counts as unknown."""
+    gender = F.when(F.col("c_mktsegment") < "B", "男").when(F.col("c_mktsegment") < "H", "女").otherwise("")
     return stats.distribution(read(spark, sf_dir, "customer"), F.nullif(gender, F.lit("")), "unknown")
 
 

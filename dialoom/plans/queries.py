@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import clinical
@@ -32,11 +32,14 @@ def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _nested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations as patients of one visit."""
+    """Conversations as patients of one visit each, assembled as the build does."""
     turn = F.struct("turn", F.struct("role", "text", F.lit(None).cast("string").alias("speaker_note")).alias("t"))
     by = _turns(spark, sf_dir).groupBy("conv_id").agg(F.sort_array(F.collect_list(turn)).alias("x"))
-    visit = F.struct(clinical.visit_id(F.col("conv_id"), F.lit(1)).alias("visit_id"), F.struct(F.lit("conversations").alias("source_file"), F.transform("x", lambda x: x["t"]).alias("turns")).alias("dialogue"))
-    return by.select("conv_id", clinical.patient_id(F.col("conv_id")).alias("patient_id"), F.array(visit).alias("visits"))
+    none = lambda kind: F.lit(None).cast(kind)
+    meta = F.struct(F.array(F.col("conv_id").cast("int")).alias("ids"), F.concat(F.lit("n"), "conv_id").alias("name"), none("string").alias("gender"), none("int").alias("age"))
+    visits = F.array(F.struct(F.lit(1).alias("visit_no"), F.transform("x", lambda x: x["t"]).alias("turns")))
+    parsed = by.select(F.col("conv_id").alias("file_id"), F.lit("conversations").alias("path"), none("string").alias("error"), meta.alias("meta"), none("array<string>").alias("keywords"), none(scales.RECORDS).alias("scales"), visits.alias("visits"))
+    return dataset.assemble(parsed)
 
 
 @query(f"SELECT {_ROLE} AS key, count(*)::BIGINT AS n FROM conversations GROUP BY 1")
@@ -145,16 +148,14 @@ def turn_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT event_id, last_value(CASE WHEN event_type IN ('signup', 'error') THEN event_type END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS carried FROM events")
 def carry_forward_role(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A user's last signup or error holds until the next."""
-    so_far = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     kind = F.when(F.col("event_type").isin("signup", "error"), F.col("event_type"))
-    return read(spark, sf_dir, "events").select("event_id", F.last(kind, ignorenulls=True).over(so_far).alias("carried"))
+    return speakers.carry_forward(read(spark, sf_dir, "events"), kind, ["user_id"], ["ts", "event_id"], "carried").select("event_id", "carried")
 
 
 @query("SELECT conv_id, turn, CASE WHEN row_number() OVER (PARTITION BY conv_id ORDER BY turn) % 2 = 1 THEN 'doctor' ELSE 'patient' END AS speaker FROM conversations WHERE length(text) > 20")
 def alternating_role(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nth = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
     kept = read(spark, sf_dir, "conversations").where(F.length("text") > 20)
-    return kept.select("conv_id", "turn", F.when(nth % 2 == 1, "doctor").otherwise("patient").alias("speaker"))
+    return speakers.alternate(kept, F.lit("doctor"), F.lit("patient"), ["conv_id"], ["turn"], "speaker").select("conv_id", "turn", "speaker")
 
 
 @query("""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents),
@@ -229,8 +230,8 @@ def missing_id_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id AS id FROM documents UNION SELECT doc_id FROM labels")
 def union_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = [read(spark, sf_dir, t).select(F.col("doc_id").alias("id")) for t in ("documents", "labels")]
-    return ids[0].union(ids[1]).distinct()
+    names = [read(spark, sf_dir, t).select(F.lit(t).alias("folder"), F.col("doc_id").cast("string").alias("name"), F.col("doc_id").cast("string").alias("stem")) for t in ("documents", "labels")]
+    return audit.all_ids(audit.named_ids(names[0].union(names[1]))).select(F.col("id").cast("long").alias("id"))
 
 
 @query("SELECT doc_id AS id FROM documents EXCEPT SELECT doc_id FROM labels")
@@ -276,19 +277,22 @@ _NUMBER = "CASE WHEN user_id % 7 = 0 THEN 'n/a' ELSE user_id::VARCHAR END"
 
 
 def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as files of a build: those without a number have failed, a value above 50 is a gender that is known."""
     raw = F.when(F.col("user_id") % 7 == 0, "n/a").otherwise(F.col("user_id").cast("string"))
-    return read(spark, sf_dir, "events").select("event_id", "event_type", "value", to_int(raw).alias("number"))
+    none = F.array().cast("array<string>")
+    df = read(spark, sf_dir, "events").select("event_type", F.col("event_id").cast("string").alias("path"), F.when(F.col("value") > 50, "x").alias("gender"), to_int(raw).alias("age"))
+    return df.withColumns({"error": F.when(F.col("age").isNull(), "bad_item"), "keywords": none, "scales": none, "visits": none})
 
 
 @query(f"SELECT event_type, count(*)::BIGINT AS total, count(TRY_CAST({_NUMBER} AS INT))::BIGINT AS converted, (count(*) - count(TRY_CAST({_NUMBER} AS INT)))::BIGINT AS failed, count(CASE WHEN value > 50 THEN 1 END)::BIGINT AS with_value FROM events GROUP BY 1")
 def ingest_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    good = F.col("number").isNotNull()
-    return _numbered(spark, sf_dir).groupBy("event_type").agg(F.count("*").alias("total"), F.count_if(good).alias("converted"), F.count_if(~good).alias("failed"), F.count_if(F.col("value") > 50).alias("with_value"))
+    counts = dataset.build_figures(_numbered(spark, sf_dir), "event_type")
+    return counts.select("event_type", F.col("total_files").alias("total"), F.col("converted_files").alias("converted"), F.col("failed_files").alias("failed"), F.col("patients_with_gender").alias("with_value"))
 
 
 @query(f"SELECT event_id, 'bad_item' AS error FROM events WHERE TRY_CAST({_NUMBER} AS INT) IS NULL")
 def error_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _numbered(spark, sf_dir).where(F.col("number").isNull()).select("event_id", F.lit("bad_item").alias("error"))
+    return dataset.build_errors(_numbered(spark, sf_dir)).select(F.col("file").cast("long").alias("event_id"), "error")
 
 
 @query(f"SELECT printf('P-%06d', conv_id) AS patient_id, printf('V-%06d-1', conv_id) AS visit_id, {_ROLE} AS role, length(text)::BIGINT AS n_chars FROM conversations")
@@ -300,16 +304,32 @@ def nested_build(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT {_ROLE} AS role, count(*)::BIGINT AS n_turns, count(DISTINCT conv_id)::BIGINT AS n_patients, sum(length(text))::BIGINT AS n_chars, max(turn)::BIGINT AS last_turn, round(median(length(text)), 2) AS median_chars FROM conversations GROUP BY 1")
 def patient_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: what each role says."""
-    n = F.length("text")
-    return _turns(spark, sf_dir).groupBy("role").agg(
-        F.count("*").alias("n_turns"), F.count_distinct("conv_id").alias("n_patients"), F.sum(n).cast("long").alias("n_chars"), F.max("turn").alias("last_turn"), F.round(F.median(n), 2).alias("median_chars")
-    )
+    return stats.role_profile(_turns(spark, sf_dir), "conv_id")
 
 
-@query("""SELECT path || '.' || stat AS metric, stat || ' of ' || what AS definition FROM (VALUES ('demographics.age_distribution.age_stats', 'valid ages'), ('visits_and_dialogue.visits_per_patient', 'visits of a patient'),
-    ('visits_and_dialogue.turns_per_visit', 'turns of a visit'), ('scales.gad7_total', 'valid GAD-7 totals'), ('scales.phq9_total', 'valid PHQ-9 totals')) m(path, what), (VALUES ('count'), ('mean'), ('median'), ('min'), ('max')) s(stat)
-UNION ALL SELECT * FROM (VALUES ('base.patient_count', 'patients'), ('base.patients_with_keywords', 'patients with a keyword'), ('base.patients_with_scales', 'patients with a scale record'),
-    ('demographics.gender_distribution', 'patients by gender, unknown where missing'), ('demographics.age_distribution.age_buckets', 'patients by age band, unknown where missing'),
-    ('visits_and_dialogue.turn_role_distribution', 'turns by role'), ('scales.gad7_severity_distribution', 'GAD-7 totals by severity'), ('scales.phq9_severity_distribution', 'PHQ-9 totals by severity')) c(metric, definition)""")
+_ABOUT = "(SELECT conv_id, count(*) AS turns, (sum(length(text)) % 100)::INT AS age, (sum(length(text)) % 3)::INT AS n FROM conversations GROUP BY 1)"
+
+
+def _map(key: str, table: str) -> str:
+    return f"(SELECT string_agg(key || '=' || n, ',' ORDER BY key) FROM (SELECT {key} AS key, count(*) AS n FROM {table} GROUP BY 1))"
+
+
+_BAND = "CASE WHEN n = 0 THEN 'unknown' WHEN age <= 12 THEN '0-12' WHEN age <= 17 THEN '13-17' WHEN age <= 44 THEN '18-44' WHEN age <= 59 THEN '45-59' ELSE '60+' END"
+_TAKEN = ("(VALUES ('demographics.age_distribution.age_stats', 'valid ages'), ('visits_and_dialogue.visits_per_patient', 'visits of a patient'), "
+          "('visits_and_dialogue.turns_per_visit', 'turns of a visit'), ('scales.gad7_total', 'valid GAD-7 totals'), ('scales.phq9_total', 'valid PHQ-9 totals')) m(path, what)")
+
+
+@query(f"""WITH a AS {_ABOUT}, v AS (SELECT 'demographics.age_distribution.age_stats' AS path, age AS v FROM a WHERE n > 0 UNION ALL SELECT 'visits_and_dialogue.visits_per_patient', 1 FROM a UNION ALL SELECT 'visits_and_dialogue.turns_per_visit', turns FROM a),
+s AS (SELECT path, what, count(v)::DOUBLE AS "count", round(avg(v), 2) AS mean, round(median(v), 2) AS median, min(v)::DOUBLE AS "min", max(v)::DOUBLE AS "max" FROM {_TAKEN} LEFT JOIN v USING (path) GROUP BY ALL)
+SELECT path || '.' || stat AS metric, stat || ' of ' || what AS definition, CASE stat WHEN 'count' THEN "count" WHEN 'mean' THEN mean WHEN 'median' THEN median WHEN 'min' THEN "min" ELSE "max" END AS value, NULL::VARCHAR AS counts FROM s, (VALUES ('count'), ('mean'), ('median'), ('min'), ('max')) x(stat)
+UNION ALL SELECT 'base.patient_count', 'patients', (SELECT count(*) FROM a), NULL UNION ALL SELECT 'base.patients_with_keywords', 'patients with a keyword', (SELECT count(*) FROM a WHERE n = 2), NULL UNION ALL SELECT 'base.patients_with_scales', 'patients with a scale record', 0, NULL
+UNION ALL SELECT 'demographics.gender_distribution', 'patients by gender, unknown where missing', NULL, {_map("CASE n WHEN 0 THEN '男' WHEN 1 THEN '女' ELSE 'unknown' END", "a")}
+UNION ALL SELECT 'demographics.age_distribution.age_buckets', 'patients by age band, unknown where missing', NULL, {_map(_BAND, "a")}
+UNION ALL SELECT 'visits_and_dialogue.turn_role_distribution', 'turns by role', NULL, {_map(_ROLE, "conversations")}
+UNION ALL SELECT 'scales.gad7_severity_distribution', 'GAD-7 totals by severity', NULL, '' UNION ALL SELECT 'scales.phq9_severity_distribution', 'PHQ-9 totals by severity', NULL, ''""")
 def metric_definitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.metric_definitions(spark)
+    """What each of the summary's figures means, beside the figure: conversations are patients whose age, gender and keywords their texts' length gives."""
+    chars = read(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("file_id")).agg(F.sum(F.length("text")).alias("c"))
+    n = F.col("c") % 3
+    about = {"age": F.when(n > 0, (F.col("c") % 100).cast("int")), "gender": F.when(n == 0, "男").when(n == 1, "女"), "keywords": F.when(n == 2, F.array(F.lit("k")))}
+    return stats.explained(stats.summary(_nested(spark, sf_dir).join(chars, "file_id").withColumns(about)))
