@@ -21,7 +21,7 @@ from ..operators import audit, dataset, dialogue, masking, ocr, scales, speakers
 from ..sources import files, sinks, trees
 from ..streaming import photos
 from .build import build
-from .registry import EMAIL, query, read
+from .registry import EMAIL, query, read, spread
 
 _FLAT = "replace(text, chr(10), ' ')"
 _TURN = f"(SELECT conv_id, turn, role, {_FLAT} AS flat FROM conversations)"
@@ -29,7 +29,9 @@ _TURN = f"(SELECT conv_id, turn, role, {_FLAT} AS flat FROM conversations)"
 
 def _transcripts(spark: SparkSession, sf_dir: str, *parts: Column) -> DataFrame:
     """conv_id and text: the lines that parts (null: none) give for each turn, in order."""
-    rows = read(spark, sf_dir, "conversations").withColumn("flat", F.translate("text", "\n", " "))
+    # as many parts as a shuffle has, however few bytes they hold: what follows is heavy for each dialogue
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    rows = read(spark, sf_dir, "conversations").repartition(n, "conv_id").withColumn("flat", F.translate("text", "\n", " "))
     line = F.struct("turn", F.concat_ws("\n", *parts).alias("line"))
     by = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(line)).alias("x"))
     return by.select("conv_id", F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("text"))
@@ -275,7 +277,7 @@ def _addresses(text: str) -> list[tuple[int, int, str]]:
 
 def _masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     stem = F.concat(F.col("source"), F.when(F.col("doc_id") % 4 == 0, " a.b@c.de").otherwise(""))
-    return masking.mask(read(spark, sf_dir, "documents").select("doc_id", stem.alias("stem"), "text"), _addresses, key="doc_id")
+    return masking.mask(spread(read(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", stem.alias("stem"), "text"), _addresses, key="doc_id")
 
 
 _MASKED = f"(SELECT doc_id, source || CASE WHEN doc_id % 4 = 0 THEN ' [NAME]' ELSE '' END AS stem_out, regexp_replace(text, '{EMAIL}', '[NAME]', 'g') AS text_out, doc_id % 4 = 0 AS renamed, text FROM documents)"
@@ -296,7 +298,7 @@ def mask_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS label FROM documents) WHERE regexp_matches(label, '[ap][en]r|o[rn]|na')""")
 def entity_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents' words that look somewhat like labels, as labels."""
-    words = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0))).alias("label")).distinct()
+    words = spread(read(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), 0))).alias("label")).distinct()
     return words.where(F.col("label").rlike("[ap][en]r|o[rn]|na")).select("doc_id", "label", masking.entity_kind(F.col("label")).alias("kind"))
 
 

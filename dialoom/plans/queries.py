@@ -16,12 +16,17 @@ from ..functions import clinical
 from ..functions.text import after, lines, to_int
 from ..operators import audit, dataset, dialogue, masking, scales, speakers, stats
 from . import consultations  # noqa: F401  registers its queries
-from .registry import EMAIL, ORACLE_SQL, QUERIES, query, read  # noqa: F401
+from .registry import EMAIL, ORACLE_SQL, QUERIES, query, read, spread  # noqa: F401
 
 _ROLE = "CASE role WHEN 'user' THEN 'patient' WHEN 'assistant' THEN 'doctor' WHEN 'system' THEN 'caregiver' ELSE 'other' END"
 _STATS = "count({0})::BIGINT AS count, round(avg({0}), 2) AS mean, round(median({0}), 2) AS median, min({0}) AS min, max({0}) AS max"
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, dealt to all cores where the table is small."""
+    return spread(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 def _label(role: Column) -> Column:
     """A speaker label for a role of the conversations table."""
     return F.when(role == "user", "P1").when(role == "assistant", "医生").when(role == "system", "患者家属").otherwise("x")
@@ -130,7 +135,7 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seg)::INT AS visi
 def visit_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines under 40 characters separate a document's visits."""
     text = F.array_join(F.transform(lines(F.lower("text")), lambda x: F.when(F.length(x) < 40, "OUT").otherwise(x)), "\n")
-    v = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(dialogue.visits(text)).alias("i", "v"))
+    v = _documents(spark, sf_dir).select("doc_id", F.posexplode(dialogue.visits(text)).alias("i", "v"))
     return v.select("doc_id", (F.col("i") + 1).alias("visit_no"), F.length("v").cast("long").alias("n_chars"), F.md5("v").alias("digest"))
 
 
@@ -141,7 +146,7 @@ SELECT doc_id, t::INT AS turn_no, 'doctor' AS role, md5(x) AS digest FROM j""")
 def turn_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that begin with A to M open a document's turns."""
     text = F.array_join(F.transform(lines(F.col("text")), lambda x: F.when(x.rlike("^[A-M]"), F.concat(F.lit("[D1]"), x)).otherwise(x)), "\n")
-    t = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(dialogue.turns(text)).alias("i", "t"))
+    t = _documents(spark, sf_dir).select("doc_id", F.posexplode(dialogue.turns(text)).alias("i", "t"))
     return t.select("doc_id", (F.col("i") + 1).alias("turn_no"), "t.role", F.md5("t.text").alias("digest"))
 
 
@@ -163,14 +168,14 @@ n AS (SELECT doc_id, count(*) AS turns FROM l WHERE trim(line) <> '' AND NOT reg
 SELECT doc_id, coalesce(turns, 0)::BIGINT AS heuristic_turns, (length(text) + 5 * coalesce(turns, 0))::BIGINT AS n_chars_out FROM documents LEFT JOIN n USING (doc_id)""")
 def speaker_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as unlabelled transcripts: every line but blank ones and headers gets a speaker's label of five characters."""
-    files = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("file_id"), F.col("source").alias("stem"), "text")
+    files = _documents(spark, sf_dir).select(F.col("doc_id").alias("file_id"), F.col("source").alias("stem"), "text")
     done = speakers.label(files)
     return done.select(F.col("file_id").alias("doc_id"), "heuristic_turns", F.length("text_out").cast("long").alias("n_chars_out"))
 
 
 @query("SELECT doc_id, length(t)::BIGINT AS n_chars, md5(t) AS digest FROM (SELECT doc_id, CASE WHEN strpos(text, ' the ') > 0 THEN substr(text, strpos(text, ' the ')) ELSE text END AS t FROM documents)")
 def trim_to_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = read(spark, sf_dir, "documents").select("doc_id", after(F.col("text"), " the ").alias("t"))
+    t = _documents(spark, sf_dir).select("doc_id", after(F.col("text"), " the ").alias("t"))
     return t.select("doc_id", F.length("t").cast("long").alias("n_chars"), F.md5("t").alias("digest"))
 
 
@@ -179,7 +184,7 @@ SELECT doc_id, (generate_subscripts(w, 1) - 1)::INT AS pos, trim(unnest(w), ' 
 def keyword_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents cut at their commas and full stops, which stand for the keyword separators."""
     words = dialogue.keyword_list(F.translate("text", ",.", "，、"))
-    return read(spark, sf_dir, "documents").select("doc_id", F.posexplode(words).alias("pos", "token"))
+    return _documents(spark, sf_dir).select("doc_id", F.posexplode(words).alias("pos", "token"))
 
 
 @query("SELECT c_custkey, regexp_extract(split_part(c_name, '#', 2), '^([0-9]+)', 1)::INT AS id, 1::INT AS n_ids FROM customer")
@@ -258,13 +263,13 @@ def mask_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Addresses stand for names: only texts with an at-sign are searched."""
     pattern = re.compile(EMAIL)
     found = masking.detect(F.col("text"), lambda t: [(*m.span(), "PER") for m in pattern.finditer(t)] if "@" in t else [], size=1 << 30)
-    masked = read(spark, sf_dir, "documents").select("doc_id", "text", found.alias("spans")).select("doc_id", "text", masking.replace_spans(F.col("text"), F.col("spans")).alias("t"))
+    masked = _documents(spark, sf_dir).select("doc_id", "text", found.alias("spans")).select("doc_id", "text", masking.replace_spans(F.col("text"), F.col("spans")).alias("t"))
     return masked.select("doc_id", F.md5("t").alias("digest"), (F.col("t") != F.col("text")).alias("changed"))
 
 
 @query("SELECT doc_id, s::INT AS start, md5(substr(text, (s + 1)::BIGINT, 400)) AS digest FROM documents, range(0, greatest(length(text), 0), 400) t(s)")
 def text_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = read(spark, sf_dir, "documents").select("doc_id", F.explode(masking.chunks(F.col("text"))).alias("c"))
+    c = _documents(spark, sf_dir).select("doc_id", F.explode(masking.chunks(F.col("text"))).alias("c"))
     return c.select("doc_id", "c.start", F.md5("c.chunk").alias("digest"))
 
 
