@@ -6,6 +6,7 @@ number of rows and one column for each language, and is broadcast; texts are sco
 
 from __future__ import annotations
 
+import math
 import re
 from collections import defaultdict
 from collections.abc import Iterator
@@ -44,6 +45,8 @@ def ngram_buckets(text: str) -> Iterator[np.ndarray]:
         yield np.concatenate(out)
 
 
+#: The mean log-probability of n-grams that all buckets hold alike: a text in a learnt language lies far above it.
+CHANCE = -math.log(BUCKETS)
 #: Languages whose part of the matrix is one broadcast.
 SLICE = 256
 
@@ -57,16 +60,21 @@ class Model:
     prior: np.ndarray
     shared: object = field(default=None, repr=False)
 
-    def predict_text(self, text: str | None) -> tuple[str, float]:
-        """The likeliest language and its posterior; (und, 0.0) for a null text, one without a letter or an empty model."""
+    def rate_text(self, text: str | None) -> tuple[str, float, float]:
+        """The likeliest language, its posterior, and the mean log-probability of the text's n-grams in it; (und, 0.0, CHANCE) for a null text, one without a letter or an empty model."""
         if not text or not self.languages or not any(any(map(str.isalpha, m.group())) for m in _LETTER.finditer(text)):
-            return UNKNOWN, 0.0
-        total = self.prior.copy()
+            return UNKNOWN, 0.0, CHANCE
+        total, n = self.prior.copy(), 0
         slices = self.log_prob if isinstance(self.log_prob, list) else [self.log_prob]
         for buckets in ngram_buckets(text):
             total += np.concatenate([s[buckets].sum(axis=0, dtype=np.float64) for s in slices])
+            n += len(buckets)
         best = int(np.argmax(total))
-        return self.languages[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum())
+        return self.languages[best], float(1 / np.exp(np.minimum(total - total[best], 0)).sum()), float((total[best] - self.prior[best]) / max(n, 1))
+
+    def predict_text(self, text: str | None) -> tuple[str, float]:
+        """The likeliest language and its posterior."""
+        return self.rate_text(text)[:2]
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_rows: int = 3_000, smoothing: float = 0.05) -> Model:
@@ -105,23 +113,23 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
 
 
 def predict(spark: SparkSession, model: Model, text: Column) -> Column:
-    """struct<lang_pred, score> of a text column. The matrix, BUCKETS floats for each language, is broadcast in slices of SLICE languages."""
+    """struct<lang_pred, score, per_gram> of a text column, see Model.rate_text. The matrix, BUCKETS floats for each language, is broadcast in slices of SLICE languages."""
     slices = [spark.sparkContext.broadcast(np.ascontiguousarray(model.log_prob[:, i : i + SLICE])) for i in range(0, len(model.languages), SLICE)]
     shared = spark.sparkContext.broadcast((model.languages, model.prior))
 
     def of(texts: pa.Array) -> pa.Array:
         languages, prior = shared.value
         scorer = Model(languages, [s.value for s in slices], prior)
-        lang, score = zip(*map(scorer.predict_text, each(texts))) if len(texts) else ((), ())
-        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["lang_pred", "score"])
+        lang, score, per_gram = zip(*map(scorer.rate_text, each(texts))) if len(texts) else ((), (), ())
+        return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(per_gram, pa.float64())], ["lang_pred", "score", "per_gram"])
 
-    return F.arrow_udf(of, "struct<lang_pred:string,score:double>").asNondeterministic()(text)
+    return F.arrow_udf(of, "struct<lang_pred:string,score:double,per_gram:double>").asNondeterministic()(text)
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred and score of each row. Other columns are ignored, whatever their names; null texts are und."""
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    return df.select("doc_id", predict(docs.sparkSession, model, F.col("text")).alias("r")).select("doc_id", "r.*")
+    return df.select("doc_id", predict(docs.sparkSession, model, F.col("text")).alias("r")).select("doc_id", "r.lang_pred", "r.score")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

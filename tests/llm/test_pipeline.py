@@ -101,3 +101,19 @@ def test_run_is_its_stages(spark, sf):
 def test_quality_stage_without_a_label_keeps_all(spark, odd, tmp_path):
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     assert corpus_pipeline.keep_quality(spark, odd, str(tmp_path)).count() == odd.count()
+
+
+def test_language_stage_rejects_texts_unlike_all_it_learnt(spark, documents):
+    strange = ["Это русский текст, которого никто не знал", "日本語のテキスト", "1234 5678"]
+    docs = documents.unionByName(spark.createDataFrame([(10**9 + 4 * i + 2, t, None, "x", len(t)) for i, t in enumerate(strange)], documents.schema))
+    got = {r.doc_id for r in corpus_pipeline.identify_language(spark, docs, "").collect()}
+    assert not [i for i in got if i >= 10**9] and got == {r.doc_id for r in documents.collect()}
+
+
+def test_stages_keep_columns_of_any_name(spark, sf, documents):
+    more = {c: F.lit(i) for i, c in enumerate(("row", "found", "__found", "__id", "__null", "__hash", "__hash2", "fp", "root", "a.b"))}
+    docs = documents.withColumns(more)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, docs, sf)
+        assert got.columns == docs.columns, name
+        assert got.select(*[f"`{c}`" for c in more]).distinct().collect() == [tuple(range(len(more)))], name
