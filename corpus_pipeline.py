@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialoom.llm import language_id, packing, pii, quality_classifier, simhash
@@ -22,17 +22,31 @@ LEAST_QUALITY = 0.5
 REMEMBER = 40_000_000
 
 
+def _row(docs: DataFrame, **instead: Column) -> list[Column]:
+    """The columns of docs out of a struct named row, whatever their names."""
+    return [instead.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns]
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents in a language that the model knows, and gives lang where it was null."""
+    """Keeps documents in a language that the model knows, and gives lang where it was null.
+
+    Rejected are null texts, those without a letter, those that no language is likelier for than all others together,
+    and those whose n-grams are less likely in their language than chance. Rows with a null doc_id aren't learnt from
+    but judged like others, repeated rows each for themselves; of equally likely languages the first by name counts.
+    """
     bound_batches(spark)
     model = language_id.fit(docs.where(remainder(F.col("doc_id"), 4) != 2))
-    found = docs.withColumn("__found", language_id.predict(spark, model, F.col("text")))
-    known = found.where((F.col("__found.lang_pred") != language_id.UNKNOWN) & (F.col("__found.score") >= LEAST_LANGUAGE))
-    return known.withColumn("lang", F.coalesce("lang", "__found.lang_pred")).select(docs.columns)
+    found = docs.select(F.struct("*").alias("row"), language_id.predict(spark, model, F.col("text")).alias("found"))
+    known = found.where((F.col("found.lang_pred") != language_id.UNKNOWN) & (F.col("found.score") >= LEAST_LANGUAGE) & (F.col("found.per_gram") >= language_id.CHANCE))
+    return known.select(_row(docs, lang=F.coalesce("row.lang", "found.lang_pred")))
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents of sufficient quality score."""
+    """Keeps documents of sufficient quality score.
+
+    A null text scores as an empty one. Rows with a null doc_id have no label to learn from but are judged like others,
+    repeated rows each for themselves; a score of just LEAST_QUALITY is kept.
+    """
     weights = quality_classifier.fit(docs, quality_classifier.learnable(table(spark, sf_dir, "labels")))
     return docs.where(quality_classifier.score(spark, weights, F.col("text")) >= LEAST_QUALITY)
 
@@ -49,14 +63,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     key = {"__id": F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "__null": F.col("doc_id").isNull()}
     keep = found.select(*[c.alias(n) for n, c in key.items()], *mark)
     key |= mark
-    kept = docs.withColumns(key).join(keep, list(key), "left_semi")
-    return kept.dropDuplicates(list(key)).select(docs.columns)
+    rows = docs.select(F.struct("*").alias("row"), *[c.alias(n) for n, c in key.items()])
+    return rows.join(keep, list(key), "left_semi").dropDuplicates(list(key)).select(_row(docs))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces personal data by its kind, and counts the characters anew."""
     text = docs.withColumn("text", pii.redact(F.col("text")))
-    return text.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    return text.withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
