@@ -1,10 +1,11 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by its nearest pivots in order. Rows are indexed in blocks: in each block the pivots'
-inverted files hold, for each row, the place of the pivot in the row's permutation. A query reads the files of
-its own pivots, which gives the footrule distance to every row that shares one; the nearest by footrule, ties
-included, are reranked by exact cosine. Permutations are long (half of the pivots), as with short ones the rows
-that are reranked hold too few of the nearest in a full block; so a file has a byte for each row of the block. Queries are cut into blocks too, and a task gets one block of each.
+A vector is represented by its nearest pivots in order. Rows are indexed in blocks: in each block a pivot's inverted
+file holds the rows that have it among their nearest, with its place there. A query reads the files of its own nearest
+pivots and no others, which gives the footrule distance, as far as these tell, to every row that shares one; the
+nearest by footrule, ties included, are reranked by exact cosine. With many pivots files are short: a query reads a few
+postings for each row of a block, where a scan reads whole vectors. Queries are cut into blocks too, and a task gets one
+block of each.
 """
 
 from __future__ import annotations
@@ -51,7 +52,7 @@ def permutations(m: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
 
 
 class Block:
-    """The inverted files of one block: for each pivot and row, length less the pivot's place (zero: none). Copies of a vector are one row."""
+    """The inverted files of one block: for each pivot the rows that it is near to and what it saves them. Copies of a vector are one row."""
 
     def __init__(self, ids: np.ndarray, m: np.ndarray, pivots: np.ndarray, length: int, keep: int) -> None:
         order = np.lexsort((ids, *m.T[::-1]))
@@ -65,26 +66,29 @@ class Block:
         self.ids = [ids[s : min(e, s + keep)] for s, e in zip(starts, ends)]  # the smallest ids of each vector suffice
         self.norms = np.sqrt((self.rows * self.rows).sum(axis=1))
         self.pivots, self.length = pivots, length
-        perm = permutations(self.rows, pivots, length)
-        kind, self.sums = (np.uint8, np.uint16) if length < 256 else (np.uint16, np.uint32)
-        self.files = np.zeros((len(pivots), len(perm)), kind)
-        for place in range(length):
-            self.files[perm[:, place], np.arange(len(perm))] = length - place
+        near = permutations(self.rows, pivots, length).ravel()
+        posted = np.argsort(near, kind="stable")
+        self.posted = (posted // length).astype(np.int32)
+        self.saves = (length - posted % length).astype(np.uint16)
+        self.starts = np.searchsorted(near[posted], np.arange(len(pivots) + 1)).tolist()
+
+    def totals(self, perm: np.ndarray) -> np.ndarray:
+        """What each row's footrule distance falls short of the most there is, by the pivots of a query: each that it shares saves the length less the later place."""
+        parts = [(self.starts[p], self.starts[p + 1]) for p in perm.tolist()]
+        rows = np.concatenate([self.posted[a:b] for a, b in parts])
+        saved = np.concatenate([np.minimum(self.saves[a:b], self.length - place) for place, (a, b) in enumerate(parts)])
+        return np.bincount(rows, saved, len(self.rows))
 
     def nearest(self, query_id: int, q: np.ndarray, perm: np.ndarray, k: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
         """ids and cosines of the k nearest of those that footrule ranks first."""
         if not len(self.rows):
             return np.zeros(0, np.int64), np.zeros(0)
-        # footrule = a constant of the length less twice what each shared pivot saves: the length less the later place
-        total, saved = np.zeros(len(self.rows), self.sums), np.empty(len(self.rows), self.files.dtype)
-        for place, p in enumerate(perm):
-            np.minimum(self.files[p], saved.dtype.type(self.length - place), out=saved)
-            total += saved
-        if len(total) > depth:
+        if len(self.rows) > depth:
+            total = self.totals(perm)
             least = np.partition(total, len(total) - depth)[len(total) - depth]
             near = np.flatnonzero(total >= least) if least > 0 else np.union1d(np.flatnonzero(total), np.arange(depth))
         else:
-            near = np.arange(len(total))
+            near = np.arange(len(self.rows))
         cosine = (self.rows[near] * q).sum(axis=1) / (self.norms[near] * np.sqrt((q * q).sum()))
         if len(near) > 4 * k:
             cut = np.partition(-cosine, 2 * k)[2 * k]
@@ -127,10 +131,12 @@ def choose_pivots(vectors: DataFrame, n_pivots: int, sample: int, vec_col: str)
     return m[picked], dim
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 5, n_pivots: int = 256, length: int = 128, depth: int = 1024, sample: int = 20_000, block: int = BLOCK, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, queries: DataFrame, k: int = 5, n_pivots: int = 2048, length: int = 64, depth: int = 1024, read: int = 48, sample: int = 20_000, block: int = BLOCK, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest of vectors, its own row left out.
 
-    depth: distinct rows of a block that are reranked, besides those that tie with the last. Vectors that are
+    length: nearest pivots that a row is posted under; read: those whose files a query reads. depth: distinct rows of a
+    block that are reranked, besides those that tie with the last. The search is exact with a depth of block, as then all
+    rows are reranked, and so it is in a block of no more rows than depth, for which no file is read. Vectors that are
     null, zero, of another length than the commonest, or hold null or non-finite components take no part.
     Ties go to the smaller vec_id. A row that is repeated whole counts once, as a query and as a candidate; rows that
     share a vec_id but not the vector are queries and candidates of their own, and a query leaves out its own row alone.
@@ -162,7 +168,7 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 5, n_pivots: int = 2
                 qids = part["id"].to_numpy()[which]
                 new = [(int(i), v.tobytes()) not in seen and not seen.add((int(i), v.tobytes())) for i, v in zip(qids, q)]
                 q, qids = q[new], qids[new]
-                for qid, one, perm in zip(qids, q, permutations(q, shared.value, length)):
+                for qid, one, perm in zip(qids, q, permutations(q, shared.value, min(read, length))):
                     ids, score = index.nearest(int(qid), one, perm, k, depth)
                     out.append((np.full(len(ids), qid), np.full(len(ids), xxhash.xxh64_intdigest(one.tobytes()), np.uint64).view(np.int64), ids, score))
         cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]

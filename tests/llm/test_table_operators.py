@@ -192,6 +192,34 @@ def test_ann_recall_in_a_full_block(spark):
     assert depth * 50 < len(m) and hits / (5 * len(asked)) >= 0.9
 
 
+@pytest.mark.parametrize("n", [2000, 20_000, 65_536])
+def test_ann_recall_and_work_by_size(spark, n):
+    """With the query's own pivots and parameters: recall, and the postings and rows that a query reads, against a scan's."""
+    given_rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    rng, drawn = np.random.default_rng(1), []
+    for label in sorted({r.label for r in given_rows}):
+        m = np.array([r.embedding for r in given_rows if r.label == label])
+        drawn.append(rng.multivariate_normal(m.mean(axis=0), np.cov(m.T), math.ceil(n * len(m) / len(given_rows))))
+    m = rng.permutation(np.concatenate(drawn))[:n]
+    d = {k: p.default for k, p in inspect.signature(ann.search).parameters.items()}
+    some = spark.createDataFrame(pa.table({"v": pa.array(m[: d["sample"]].tolist(), pa.list_(pa.float64()))}))
+    pivots, _ = ann.choose_pivots(some, d["n_pivots"], d["sample"], "v")
+    index = ann.Block(np.arange(n), m, pivots, min(d["length"], len(pivots)), 6)
+    norm, asked, hits, read = np.sqrt((m * m).sum(axis=1)), range(0, n, max(1, n // 150)), 0, 0
+    for at, perm in zip(asked, ann.permutations(m[asked], pivots, d["read"])):
+        score = m @ m[at] / norm
+        score[at] = -np.inf
+        hits += len(set(np.argpartition(-score, 5)[:5].tolist()) & set(index.nearest(at, m[at], perm, 5, d["depth"])[0].tolist()))
+        read += sum(index.starts[p + 1] - index.starts[p] for p in perm.tolist())
+    assert hits / (5 * len(asked)) >= 0.9
+    if n == ann.BLOCK:
+        assert read / len(asked) + d["depth"] * m.shape[1] < 0.06 * m.size  # of the numbers that a scan multiplies
+    exact = index.nearest(7, m[7], perm, 5, n)[0].tolist()
+    score = m @ m[7] / norm
+    score[7] = -np.inf
+    assert exact == np.argsort(-score)[:5].tolist()
+
+
 def test_ann_on_odd_vectors(spark):
     rows = [(0, [1.0, 0.0], "x"), (50, [0.0, 0.0], "x"), (1, None, "x"), (2, [1.0, None], "x"), (3, [float("nan"), 1.0], "x"), (4, [1.0], "x"), (5, [1.0, 0.0], "x"), (6, [2.0, 0.0], "x"), (7, [0.0, 1.0], "x"), (None, [1.0, 1.0], "x")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string")
