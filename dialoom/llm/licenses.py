@@ -89,7 +89,8 @@ def spans(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: s
     """row, doc_id, n_words, template, label, phrase, grams, votes, first, last: merged diagonals of each row of docs.
 
     first and last are the words, from 0, that the span begins and ends at. Each row of docs also has a span of
-    template -1 without votes that count, so that rows without a hit stay. row tells rows of one id apart. Only hits
+    template -1 without votes that count, so that rows without a hit stay. row tells rows of one id apart; it is a row's
+    place in docs, which had best be a table, so that a lost task finds its rows in the same order. Only hits
     are shuffled, by row: no license and no passage that many documents share meets in one place.
     """
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("words"))
