@@ -227,7 +227,7 @@ def summary_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(
         "base.patient_count", "base.patients_with_scales", many(gender, "男").alias("men"), many(gender, "女").alias("women"), many(gender, "unknown").alias("unknown"),
         many(F.col("demographics.age_distribution.age_buckets"), "18-44").alias("adults"), F.col("visits_and_dialogue.visits_per_patient.mean").alias("mean_visits"),
-        F.col("visits_and_dialogue.visits_per_patient.max").alias("most_visits"), many(role, "doctor").alias("doctor_turns"),
+        F.col("visits_and_dialogue.visits_per_patient.max").cast("int").alias("most_visits"), many(role, "doctor").alias("doctor_turns"),
     )
 
 
