@@ -409,8 +409,7 @@ def mirrored_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def files_in_path_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files of one name pattern, numbered in the order of their paths, which partitions of even bytes keep."""
     path, _ = _tree(spark, sf_dir, _by_turn())
-    kept = trees.read(spark, path, "* user.txt", partition_bytes=4 << 20).select("rel_path")
-    return files.numbered(kept)
+    return trees.read(spark, path, "* user.txt", partition_bytes=4 << 20, numbered=True).select("rel_path", "nth")
 
 
 @query("SELECT printf('%06d/c%08d/%s.txt', conv_id // 100, conv_id, role) AS rel_path, count(*)::BIGINT AS n, CASE WHEN count(*) > 1 THEN 'collision' END AS error, CASE WHEN count(*) = 1 THEN md5(any_value(text)) END AS digest FROM conversations GROUP BY 1")

@@ -1,12 +1,15 @@
 """Trees of files: true paths, bytes as they are, collisions, failed tasks, order and even partitions."""
 
 import os
+from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from dialoom.plans.queries import QUERIES
 from dialoom.sources import files, sinks, trees
 
 
@@ -93,3 +96,40 @@ def test_order_filters_and_partitions(spark, tmp_path):
     plain = files.text_files(spark, roots)
     assert sorted(r.p for r in plain.select(files.within(F.col("path"), roots).alias("p")).collect()) == [r.p for r in inside]
     assert "/" not in files.text_files(spark, roots[:1]).select(files.within(F.col("path"), roots[:1]).alias("p")).first().p
+
+
+def test_tasks_move_files(spark, tmp_path, monkeypatch):
+    seen, dealt = [], trees._by_tasks
+
+    def by_tasks(spark, path, manifests, act):
+        seen.append((act.__name__, len(manifests), len([x for x in os.listdir(path) if not x.startswith(trees.STAGING)])))
+        dealt(spark, path, manifests, act)
+        if act is trees.place:  # a task that is run again finds its files moved
+            dealt(spark, path, manifests, act)
+
+    monkeypatch.setattr(trees, "_by_tasks", by_tasks)
+    rows = spark.range(0, 60, 1, 3).select(F.format_string("d%d/%02d.txt", F.col("id") % 4, "id").alias("rel_path"), F.col("id").cast("string").cast("binary").alias("content"))
+    trees.write(rows, f"{tmp_path}/out")
+    assert seen == [("look", 3, 0), ("place", 3, 0)]
+    assert on_disk(f"{tmp_path}/out") == {f"d{i % 4}/{i:02}.txt": str(i).encode() for i in range(60)} and not [x for x in os.listdir(f"{tmp_path}/out") if x.startswith(trees.STAGING)]
+
+
+def test_manifests_are_bounded(tmp_path, monkeypatch):
+    monkeypatch.setattr(trees, "MOVES", 7)
+    monkeypatch.setattr(trees, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(taskAttemptId=lambda: 5)))
+    batch = pa.RecordBatch.from_pydict({"rel_path": [f"d/{i}" for i in range(21)], "content": [b"%d" % i for i in range(21)]})
+    writer = trees.TreeWriter(f"{tmp_path}/out", False)
+    staged = writer.write(iter([batch, batch.slice(0, 0)]))
+    assert [os.path.basename(m) for m in staged.manifests] == ["manifest-0", "manifest-7", "manifest-14"]
+    writer.commit([staged, None])
+    assert on_disk(f"{tmp_path}/out") == {f"d/{i}": b"%d" % i for i in range(21)} and sorted(os.listdir(f"{tmp_path}/out")) == ["_SUCCESS", "d"]
+
+
+def test_numbers_come_with_the_listing(spark, tmp_path):
+    for i in range(150):
+        (tmp_path / f"{i * 7919 % 1000:03}.{'txt' if i % 3 else 'md'}").write_bytes(b"x" * i)
+    got = trees.read(spark, str(tmp_path), "*.txt", partition_bytes=1 << 20, numbered=True)
+    assert got.rdd.getNumPartitions() > 4
+    assert {r.nth: r.path for r in got.collect()} == {r.nth: r.path for r in files.numbered(got.drop("nth")).collect()}
+    plan = QUERIES["files_in_path_order"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BatchScan") == 1 and "Exchange" not in plan
