@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import batched
 
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import AFTER_LINE
@@ -25,6 +26,23 @@ PLACEHOLDERS = {"NAME": "[NAME]", "ORG": "[ORG]"}
 _DEFAULT = ((re.compile(r"(?:Mr|Mrs|Ms|Dr)\.? [A-Z][a-z]+"), "PER"), (re.compile(r"[一-鿿]{2,8}(?:医院|公司|大学)"), "ORG"))
 
 
+#: Bytes of texts that go to a worker at once, about, and that are taken apart into lines and slices at once.
+BATCH_BYTES, RUN_BYTES = 4 << 20, 1 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Sends texts to Python workers in batches of bounded bytes, where Spark would send 10,000 rows however long. A session's own smaller bound stays."""
+    if not 0 < _bytes_of(spark.conf.get(_BATCH_KEY)) <= BATCH_BYTES:
+        spark.conf.set(_BATCH_KEY, BATCH_BYTES)
+
+
+def _bytes_of(size: str) -> int:
+    """A size as a session gives it: a number, or one with a unit."""
+    number, unit = re.fullmatch(r"(-?\d+)([kmgtp]?)i?b?", size.lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
 def pattern_detector(text: str) -> list[tuple[int, int, str]]:
     """The detector for where no model is at hand: titles with a name, and institutions."""
     return [(*m.span(), label) for pattern, label in _DEFAULT for m in pattern.finditer(text)]
@@ -80,6 +98,7 @@ def replace_spans(text: Column, spans: Column) -> Column:
         one = lambda t, f: None if t is None else replaced(t, [(s["start"], s["end"], s["label"]) for s in f or ()])
         return pa.array([one(t.as_py(), f.as_py()) for t, f in zip(texts, found)], pa.string())
 
+    bound_batches(SparkSession.active())
     return F.arrow_udf(of, "string")(text, spans)
 
 
@@ -108,7 +127,7 @@ def windows(length: int, size: int, overlap: int) -> list[tuple[int, int]]:
     return [(at, min(at + size, length)) for at in range(0, length - overlap, size - overlap)]
 
 
-def stitched(spans: set[Span]) -> list[Span]:
+def stitched(spans: Iterable[Span]) -> list[Span]:
     """Spans that slices found, in order: those of one label that overlap are one, as each slice saw a part of it or all."""
     out, last = [], {}
     for start, end, label in sorted(spans):
@@ -129,19 +148,19 @@ def spans_of(texts: list[str | None], detector: Detector | Loaded, size: int = 4
     no more than overlap to see it begin and takes it alike wherever it starts to read.
     """
     batch = detector if isinstance(detector, Loaded) else lambda slices: [detector(x) for x in slices]
-    found: list[set[Span]] = [set() for _ in texts]
-    todo = [(n, *w) for n, text in enumerate(texts) if text for w in windows(len(text), size, overlap)]
+    found: dict[int, set[Span]] = {}  # of texts that have any, as most lines have none
+    todo = ((n, *w) for n, text in enumerate(texts) if text for w in windows(len(text), size, overlap))
     while todo:
         longer = []
-        for at in range(0, len(todo), together):
-            some = todo[at : at + together]
+        for some in batched(todo, together):
             for (n, start, end), spans in zip(some, batch([texts[n][start:end] for n, start, end in some])):
                 own = [(start + s, start + e, label) for s, e, label in spans]
-                found[n].update(own)
+                if own:
+                    found.setdefault(n, set()).update(own)
                 if end < len(texts[n]) and (cut := [s for s, e, _ in own if e >= end]):
                     longer.append((n, max(start, min(cut) - overlap), min(2 * end - start, len(texts[n]))))
         todo = longer
-    return [stitched(f) for f in found]
+    return [stitched(found.get(n, ())) for n in range(len(texts))]
 
 
 _SPAN_KIND = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("label", pa.string())]))
@@ -150,10 +169,13 @@ _SPAN_KIND = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("l
 def detect(text: Column, detector: Detector | Loaded = pattern_detector, size: int = 400, overlap: int = 100) -> Column:
     """The spans that a detector finds in a text column, as spans_of does. None for null texts."""
 
+    def some(texts: list[str | None]) -> list[list[dict]]:
+        return [[dict(zip(("start", "end", "label"), x)) for x in spans] for spans in spans_of(texts, detector, size, overlap)]
+
     def of(texts: pa.Array) -> pa.Array:
-        rows = spans_of(texts.to_pylist(), detector, size, overlap)
-        return pa.array([[dict(zip(("start", "end", "label"), x)) for x in spans] for spans in rows], _SPAN_KIND)
+        return _in_runs(texts, some, _SPAN_KIND)
 
+    bound_batches(SparkSession.active())
     return F.arrow_udf(of, SPANS)(text)
 
 
@@ -169,16 +191,22 @@ def masked(text: Column, detector: Detector | Loaded = pattern_detector, size: i
     """A text column with each line's entities replaced; null stays null."""
 
     def of(texts: pa.Array) -> pa.Array:
-        out, at = [], 0
-        for end in _cuts(pc.binary_length(texts).fill_null(0).to_pylist()):  # no more text at once than needed
-            out.append(pa.array(masked_lines(texts.slice(at, end - at).to_pylist(), detector, size, overlap), pa.string()))
-            at = end
-        return pa.concat_arrays(out) if out else pa.array([], pa.string())
+        return _in_runs(texts, lambda some: masked_lines(some, detector, size, overlap), pa.string())
 
+    bound_batches(SparkSession.active())
     return F.arrow_udf(of, "string")(text)
 
 
-def _cuts(sizes: list[int], most: int = 1 << 22) -> Iterator[int]:
+def _in_runs(texts: pa.Array, act: Callable[[list[str | None]], list], kind: pa.DataType) -> pa.Array:
+    """What act makes of texts, of no more at once than needed."""
+    out, at = [], 0
+    for end in _cuts(pc.binary_length(texts).fill_null(0).to_pylist()):
+        out.append(pa.array(act(texts.slice(at, end - at).to_pylist()), kind))
+        at = end
+    return pa.concat_arrays(out) if out else pa.array([], kind)
+
+
+def _cuts(sizes: list[int], most: int = RUN_BYTES) -> Iterator[int]:
     """Ends of runs of texts of about most bytes."""
     held = 0
     for i, n in enumerate(sizes):
@@ -196,6 +224,7 @@ def mask(files: DataFrame, detector: Detector | Loaded = pattern_detector, size:
     Each line is masked for itself, and every line's end is kept as it was. Null texts and stems stay null; keys may
     be null or repeat.
     """
+    bound_batches(files.sparkSession)
     out = files.select(F.col(key).alias("k"), "stem", "text", masked(F.col("stem"), detector, size, overlap).alias("stem_out"), masked(F.col("text"), detector, size, overlap).alias("text_out"))
     return out.select(F.col("k").alias(key), "stem_out", "text_out", (~F.col("stem_out").eqNullSafe(F.col("stem"))).alias("renamed"), (~F.col("text_out").eqNullSafe(F.col("text"))).alias("changed"))
 

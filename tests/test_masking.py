@@ -2,7 +2,9 @@
 
 import re
 import time
+import tracemalloc
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -94,3 +96,30 @@ def test_detector_made_once_for_many_slices(spark):
 @pytest.mark.parametrize("text", ["", " \n", "\r\n", " ", "x\x0b", "Dr A\x85Dr B\x1c"])
 def test_line_ends_stay(text):
     assert masking.masked_lines([text], names, 400, 100) == [NAME.sub("[NAME]", text)]
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    def held(texts: pa.Array) -> pa.Array:
+        return pa.array([texts.nbytes] * len(texts), pa.int64())
+
+    rows = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("ab cd "), 1000).alias("text"), F.lit("s").alias("stem"), F.col("id").alias("file_id"))  # 24 MB in one task
+    for asked in (lambda: masking.mask(rows, names), lambda: masking.detect(F.col("text"), names), lambda: masking.masked(F.col("text"), names)):
+        spark.conf.unset(masking._BATCH_KEY)
+        asked()
+        assert rows.select(F.arrow_udf(held, "long")("text").alias("n")).agg(F.max("n")).first()[0] < 1.1 * masking.BATCH_BYTES
+    spark.conf.set(masking._BATCH_KEY, "1m")  # a session's own smaller bound stays
+    masking.mask(rows, names)
+    assert spark.conf.get(masking._BATCH_KEY) == "1m"
+    spark.conf.unset(masking._BATCH_KEY)
+
+
+def test_lines_without_entities_take_little():
+    texts = ["a\n" * 50_000, "Dr Ann", None]
+    tracemalloc.start()
+    got = masking.spans_of(texts[0].split("\n") + texts[1:], names)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [[]] * 50_001 + [[(0, 6, "PER")], []] and most < 10e6
+    runs = []
+    out = masking._in_runs(pa.array(["x" * 300_000] * 10 + [None]), lambda some: runs.append(len(some)) or some, pa.string())
+    assert max(runs) <= 4 and out.to_pylist() == ["x" * 300_000] * 10 + [None]
